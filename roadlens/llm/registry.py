@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(doc_id: str, n: int):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each whole text, learned from the rows outside the held-out fold."""
+    from . import langid
+
+    docs = _read(spark, sf_dir, "documents")
+    held = F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False))
+    model = langid.fit(docs.where(~held))
+    out = langid.predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of at most 2048 tokens."""
     from . import pack
@@ -16,6 +32,16 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_read(spark, sf_dir, "documents")).drop("copy")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each whole text, learned from labels outside the held-out fold."""
+    from . import toxicity
+
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training(docs, _read(spark, sf_dir, "labels")))
+    held = F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False))
+    return toxicity.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), model)
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes, equal texts together."""
     from . import shard
@@ -23,6 +49,16 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.by_bytes(_read(spark, sf_dir, "documents"))
 
 
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM and unigram log10 probabilities of each whole text."""
+    from . import ppm
+
+    docs = _read(spark, sf_dir, "documents")
+    held = F.coalesce(_remainder("doc_id", 7) == 2, F.lit(False))
+    out = ppm.score(docs, docs.where(~held))
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside occurring benchmark windows."""
     from . import decontaminate
@@ -30,5 +66,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack, op8_shard, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_pack, op4_toxicity, op8_shard, op9_ppm, op10_decontaminate)}
 ORACLE: dict[str, str] = {}

@@ -36,6 +36,7 @@ END = 256
 SYMBOLS = 257
 PAD = 10  # a text starts as if after line ends
 TOKEN, GRAM, TEXTS = 0, 1, 2
+SLICE = 1 << 19  # bytes of text worked on at once
 
 
 def _grams(s: tv.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +83,7 @@ def _count(batches):
 
     for batch in batches:
         texts += batch.num_rows
-        for s in tv.slices(batch.column(0)):
+        for s in tv.slices(batch.column(0), SLICE):
             ws, we, _ = s.words(tv.NONSPACE)
             for kind, keys in ((TOKEN, s.span_hash(ws, we).view(np.int64)), (GRAM, _grams(s)[0])):
                 u, c = np.unique(keys, return_counts=True)
@@ -93,7 +94,7 @@ def _count(batches):
                     before = sum(len(p[0]) for p in held[kind])
                     held[kind] = [_merge(held[kind])]
                     size += len(held[kind][0][0]) - before
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from flush()
                 size = 0
     yield from flush()
@@ -169,6 +170,8 @@ class Trie:
                 gone = kinds <= 0
                 self.low[k] = np.where(gone, 0.0, np.log(np.where(gone, 1.0, rest + kinds)))  # rest >= 0: a longer context's counts are part of a shorter one's
                 self.low_escape[k] = np.where(gone, 0.0, np.log(np.where(gone, 1.0, kinds)) - self.low[k])
+            for part in (self.log_c, self.top):
+                part[k] = part[k].astype(np.float32)
             previous = ((self.grams[k], self.contexts[k]), c, total, distinct)
         kinds = len(self.log_c[0])
         self.unseen = -np.log(max(1, SYMBOLS - kinds))
@@ -212,7 +215,7 @@ def _score(trie_of, words_of):
         table = Table(words)
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for s in tv.slices(batch.column(2)):
+            for s in tv.slices(batch.column(2), SLICE):
                 key, off = _grams(s)
                 sums = np.concatenate([[0.0], np.cumsum(trie.log_p(key))])
                 ws, we, woff = s.words(tv.NONSPACE)
@@ -252,7 +255,7 @@ def _frequent(df: DataFrame, most: int) -> DataFrame:
     return df.where(F.lit(False)) if least is None else df.where(bucket >= least)
 
 
-def fit(texts: DataFrame, max_grams: int = 1_500_000) -> tuple[DataFrame, Trie, int, int, int]:
+def fit(texts: DataFrame, max_grams: int = 1_000_000) -> tuple[DataFrame, Trie, int, int, int]:
     """(stored counts, trie, tokens N, distinct V, texts) of a DataFrame with a column ``text``."""
     counts = scratch.table(texts.select("text").mapInArrow(_count, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c")), "counts")
     stats = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
@@ -275,7 +278,7 @@ def fit(texts: DataFrame, max_grams: int = 1_500_000) -> tuple[DataFrame, Trie,
     return counts, Trie({i: (key[k == i], c[k == i]) for i in range(ORDER + 1)}), n, v, n_texts
 
 
-def score(docs: DataFrame, texts: DataFrame, max_grams: int = 1_500_000, max_words: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, texts: DataFrame, max_grams: int = 1_000_000, max_words: int = 200_000) -> DataFrame:
     """Scores of docs (doc_id, text, further named columns kept) by models of ``texts``.
 
     Columns: doc_id, n_tokens, n_known, train_tokens, base_score, score.

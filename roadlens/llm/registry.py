@@ -42,6 +42,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), model)
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each whole text left after removing repeated 100-byte strings."""
+    from . import suffix
+
+    return suffix.dedup(_read(spark, sf_dir, "documents"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes, equal texts together."""
     from . import shard
@@ -66,5 +73,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_pack, op4_toxicity, op8_shard, op9_ppm, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_pack, op4_toxicity, op5_suffix, op8_shard, op9_ppm, op10_decontaminate)}
 ORACLE: dict[str, str] = {}

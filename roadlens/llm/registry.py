@@ -32,12 +32,19 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_read(spark, sf_dir, "documents")).drop("copy")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    from . import simhash
+
+    return simhash.classes(_read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each whole text, learned from labels outside the held-out fold."""
     from . import toxicity
 
     docs = _read(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.training(docs, _read(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, toxicity.training(_read(spark, sf_dir, "labels")))
     held = F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False))
     return toxicity.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), model)
 
@@ -73,5 +80,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_pack, op4_toxicity, op5_suffix, op8_shard, op9_ppm, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_pack, op3_simhash, op4_toxicity, op5_suffix, op8_shard, op9_ppm, op10_decontaminate)}
 ORACLE: dict[str, str] = {}

@@ -8,7 +8,7 @@ those, blocks are scored from the largest bound down, and the search ends when n
 nearer example than the k found: the k nearest are exact.  The vote is weighted by similarity and
 mapped to a probability by isotonic regression on the examples' own leave-one-out votes.
 
-Fitting uses at most about ``max_examples`` labelled rows (chosen by the hash of their text), so the
+Fitting uses at most about ``max_examples`` labelled rows (chosen by a hash), so the
 broadcast index is bounded by that, ``max_terms`` and the terms of a text.  Scoring is one scan.
 
 Defined cases: a text without any kept term, the null and the empty text among them, gets the
@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import textvec as tv
 
 PREFIXES = (4, 5, 6, 7)
@@ -181,15 +182,19 @@ class Model:
         return float(min(1.0, max(0.0, 0.999 * np.interp(vote, self.x, self.y) + 0.001 * vote)))
 
 
-def fit(labelled: DataFrame, max_examples: int = 20_000, max_terms: int = 4000, least_chi: float = 30.0, k: int = 25, dedupe: bool = True) -> Model:
-    """Model from rows (doc_id, text, toxic); doc_id only names the evidence."""
-    spark = labelled.sparkSession
-    rows = labelled.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    # copies of an example count once: else whatever a much-copied text says would look tied to its label
-    rows = rows.groupBy(F.md5("text").alias("_key"), "toxic").agg(F.min_by(F.struct("id", "text"), "id").alias("x")).select("x.id", "x.text", "toxic") if dedupe else rows
-    count = rows.count()
-    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(unit < min(1.0, max_examples / max(1, count)))
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_terms: int = 4000, least_chi: float = 30.0, k: int = 25) -> Model:
+    """Model from the texts of docs (doc_id, text) that labels (doc_id, toxic) marks.
+
+    The labels are sampled before any text is met, so they are a table of about ``max_examples`` rows
+    at most and are broadcast to the texts.  Equal texts with equal labels count once: else whatever a
+    much-copied text says would look tied to its label.  doc_id only names the evidence.
+    """
+    spark = docs.sparkSession
+    marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    unit = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    few = marked.where(unit < min(1.0, max_examples / max(1, marked.count())))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "id")
+    sample = scratch.table(rows.groupBy(F.md5("text").alias("_key"), "toxic").agg(F.min_by(F.struct("id", "text"), "id").alias("x")).select("x.id", "x.text", "toxic"), "examples")
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     total = n0 + n1
@@ -277,9 +282,8 @@ def remainder(doc_id: str, n: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
-def training(docs: DataFrame, labels: DataFrame, n: int = 5) -> DataFrame:
-    """Labelled rows outside the held-out fold: (doc_id, text, toxic); null ids join nothing."""
-    y = labels.select("doc_id", "toxic").where("toxic in (0, 1)").where(remainder("doc_id", n) != 0)
-    return docs.select("doc_id", "text").join(y, "doc_id")
+def training(labels: DataFrame, n: int = 5) -> DataFrame:
+    """Labels outside the held-out fold."""
+    return labels.where(remainder("doc_id", n) != 0)
 
 

@@ -123,33 +123,30 @@ class Index:
 
     def nearest(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples of positive similarity, nearest first."""
-        bound = np.zeros(self.blocks)
-        for x, q in zip(t, w, strict=True):
-            a, b = self.block_at[x], self.block_at[x + 1]
-            bound[self.block[a:b]] += q * self.most[a:b]
+        count = self.block_at[t + 1] - self.block_at[t]
+        cell = tv.ragged(self.block_at[t], count)  # the terms' blocks
+        q = np.repeat(w, count)
+        block = self.block[cell]
+        bound = np.bincount(block, q * self.most[cell], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best, score = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, 8
+        done, step = 0, 16
+        chosen = np.zeros(self.blocks, bool)
         while done < len(order):
             if len(best) == self.k and bound[order[done]] < score[-1] - 1e-12:
                 break
-            mine = np.sort(order[done : done + step])
-            done, step = done + step, step * 2
-            sims = np.zeros(len(mine) * BLOCK)
-            for x, q in zip(t, w, strict=True):
-                a, b = self.block_at[x], self.block_at[x + 1]
-                i = np.searchsorted(self.block[a:b], mine)
-                ok = i < b - a
-                ok[ok] = self.block[a + i[ok]] == mine[ok]
-                g = a + i[ok]
-                p = tv.ragged(self.begin[g], self.begin[g + 1] - self.begin[g])
-                slot = np.repeat(np.flatnonzero(ok), self.begin[g + 1] - self.begin[g])
-                sims[slot * BLOCK + self.e[p] % BLOCK] += q * self.w[p]
+            mine = order[done : done + step]
+            done, step = done + step, step * 4
+            chosen[mine] = True
+            use = np.flatnonzero(chosen[block])
+            chosen[mine] = False
+            size = self.begin[cell[use] + 1] - self.begin[cell[use]]
+            p = tv.ragged(self.begin[cell[use]], size)
+            sims = np.bincount(self.e[p], np.repeat(q[use], size) * self.w[p], self.n)
             hit = np.flatnonzero(sims > 0)
-            ids = mine[hit // BLOCK] * BLOCK + hit % BLOCK
-            keep = ids != without
-            best, score = np.append(best, ids[keep]), np.append(score, sims[hit[keep]])
+            hit = hit[hit != without]
+            best, score = np.append(best, hit), np.append(score, sims[hit])
             top = np.lexsort((best, -np.round(score, 12)))[: self.k]
             best, score = best[top], score[top]
         return best, score
@@ -182,7 +179,7 @@ class Model:
         return float(min(1.0, max(0.0, 0.999 * np.interp(vote, self.x, self.y) + 0.001 * vote)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_terms: int = 4000, least_chi: float = 30.0, k: int = 25) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_terms: int = 1500, least_chi: float = 30.0, k: int = 25) -> Model:
     """Model from the texts of docs (doc_id, text) that labels (doc_id, toxic) marks.
 
     The labels are sampled before any text is met, so they are a table of about ``max_examples`` rows
@@ -251,6 +248,7 @@ def _score(model_of, keep: list[str]):
 
     def run(batches):
         m: Model = model_of.value
+        memo: dict = {}  # texts of equal vectors have equal neighbours
         for batch in batches:
             scores, evidence = [], []
             for s in tv.slices(_lowered(batch.column(batch.schema.get_field_index("text")))):
@@ -260,9 +258,16 @@ def _score(model_of, keep: list[str]):
                         scores.append(m.bare)
                         evidence.append([])
                         continue
-                    best, sim = m.index.nearest(t[at[r] : at[r + 1]], w[at[r] : at[r + 1]])
-                    scores.append(m.score(m.index.vote(best, sim, m.prior)))
-                    evidence.append([{"example_id": int(m.index.ids[i]), "similarity": float(x), "toxic": int(m.index.label[i])} for i, x in zip(best[:3], sim[:3], strict=True)])
+                    ti, wi = t[at[r] : at[r + 1]], w[at[r] : at[r + 1]]
+                    same = (ti.tobytes(), wi.tobytes())
+                    if same not in memo:
+                        if len(memo) > 20_000:
+                            memo.clear()
+                        best, sim = m.index.nearest(ti, wi)
+                        near = [{"example_id": int(m.index.ids[i]), "similarity": float(x), "toxic": int(m.index.label[i])} for i, x in zip(best[:3], sim[:3], strict=True)]
+                        memo[same] = (m.score(m.index.vote(best, sim, m.prior)), near)
+                    scores.append(memo[same][0])
+                    evidence.append(memo[same][1])
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(evidence, kind)], names=[*keep, "score", "predicted", "evidence"])
 
     return run

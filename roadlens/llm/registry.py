@@ -56,6 +56,23 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(_read(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of each document as a file /source/lang/doc_id.txt, by its lines or its directories."""
+    from . import licenses
+
+    docs = _read(spark, sf_dir, "documents")
+    none = F.lit("none")
+    path = F.concat(F.lit("/"), F.coalesce("source", none), F.lit("/"), F.coalesce("lang", none), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return licenses.scan(docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text")).withColumnRenamed("id", "doc_id")
+
+
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of equal label with cosine 0.93 or more."""
+    from . import vectors
+
+    return vectors.link(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes, equal texts together."""
     from . import shard
@@ -80,5 +97,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_pack, op3_simhash, op4_toxicity, op5_suffix, op8_shard, op9_ppm, op10_decontaminate)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_pack, op3_simhash, op4_toxicity, op5_suffix, op6_licenses, op7_vectors, op8_shard, op9_ppm, op10_decontaminate)}
+
+
+def _oracle() -> dict[str, str]:
+    from . import licenses
+
+    return {"op6_licenses": licenses.sql()}
+
+
+ORACLE: dict[str, str] = _oracle()

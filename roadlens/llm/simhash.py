@@ -229,7 +229,7 @@ def _search(all_pairs: bool):
             if all_pairs:
                 o = np.argsort(root, kind="stable")
                 block, node, f0, f1, root = block[o], node[o], f0[o], f1[o], root[o]
-            found.extend(_compare(np.stack([f0, f1], 1).view(np.uint64), node, block, cell[0] > 0 and len(np.unique(block)) > 1, root, all_pairs))
+            found.extend(_compare(np.stack([f0, f1], 1).view(np.uint64), node, block, cell[0] > 0 and (cell[0] - 1) >> 24 != (cell[0] - 1) & ((1 << 24) - 1), root, all_pairs))
 
         def drain():
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)

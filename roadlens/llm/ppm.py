@@ -179,7 +179,7 @@ class Trie:
     def log_p(self, key: np.ndarray) -> np.ndarray:
         """Natural log probability of each gram of order ORDER."""
         row = self.grams[ORDER].find(key)
-        out = self.top[ORDER][row] if len(self.top[ORDER]) else np.zeros(len(key))
+        out = self.top[ORDER][row].astype(np.float64) if len(self.top[ORDER]) else np.zeros(len(key))
         left = np.flatnonzero(row < 0)
         out[left] = 0.0
         came = np.full(len(left), -1)  # the context escaped from, a row of the next order's contexts
@@ -217,7 +217,7 @@ def _score(trie_of, words_of):
             cols: list[list] = [[] for _ in range(6)]
             for s in tv.slices(batch.column(2), SLICE):
                 key, off = _grams(s)
-                sums = np.concatenate([[0.0], np.cumsum(trie.log_p(key))])
+                sums = np.concatenate([[0.0], np.cumsum(trie.log_p(key), dtype=np.float64)])
                 ws, we, woff = s.words(tv.NONSPACE)
                 h = s.span_hash(ws, we).view(np.int64)
                 row = tv.row_of(woff)

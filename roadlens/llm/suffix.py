@@ -9,7 +9,9 @@ the work is cut in a way that loses nothing:
    with one such anchor form a run; a run's context is its windows' bytes.
 2. Runs meet by anchor hash in one shuffle of small rows.  All but the first run of equal contexts
    are repeated whole.  A first one can only share windows with runs of the same hash whose contexts
-   differ, and only then are its bytes fetched.
+   differ, and only then are its bytes fetched.  Two contexts with a common window also agree on the
+   anchor and (LENGTH - GRAM) / 2 bytes to its left, or as many to its right; contexts without such a
+   partner are dropped.
 3. Those contexts, routed by hash, are cut into shards; the shards' Burrows-Wheeler transforms are
    merged by interleave refinement (module bwt), and the intervals of equal LENGTH-byte prefixes are
    the repeated windows; all but an interval's earliest member are marked.
@@ -47,10 +49,11 @@ SHARDS = 4
 SAMPLE = 20_000  # documents, about, whose hashes are counted to find hot ones
 
 MARK, EDGE, HOT = 0, 1, 2
+LOW = 0xFFFF  # a run's column n: its windows, and above them the anchor's place in its context
 
 
 def runs_of(s: tv.Slice, length: int, gram: int):
-    """Runs of a slice: (row, start in the row, windows, anchor hash, context hash)."""
+    """Runs of a slice: (row, start in the row, windows and anchor's place, anchor hash, context hash)."""
     n, span = len(s.buf), length - gram + 1
     none = np.zeros(0, np.int64)
     if n < length:
@@ -76,7 +79,7 @@ def runs_of(s: tv.Slice, length: int, gram: int):
     anchor = (least[begin] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     row = np.searchsorted(s.off, begin, "right") - 1
     context = tv.mix(s.span_hash(begin, begin + count + length - 1) + (anchor - begin).astype(np.uint64) * tv.COMBINE[5])
-    return row, begin - s.off[row], count, grams[anchor].view(np.int64), context.view(np.int64)
+    return row, begin - s.off[row], count | (anchor - begin) << 16, grams[anchor].view(np.int64), context.view(np.int64)
 
 
 def _first(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,6 +221,12 @@ def _unzip(z, raw) -> bytes:
     return b"" if raw is None else z.decompress(raw)
 
 
+def _ragged_bytes(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(size, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(buf[tv.ragged(start, size)])])
+
+
 def _contexts(length: int):
     """(doc_id, z, edges) to the edges' bytes, or for hot hashes to single windows."""
 
@@ -225,36 +234,51 @@ def _contexts(length: int):
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                cold: list[list] = [[], [], [], [], []]
-                hot: list[list[np.ndarray]] = [[], [], [], []]
                 part = batch.slice(lo, 500)
-                for doc, raw, edges in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    text = _unzip(z, raw)
-                    wide = [e for e in edges if e["kind"] == HOT]
-                    for e in edges:
-                        piece = text[e["start"] : e["start"] + e["n"] + length - 1]
-                        if e["kind"] == EDGE and len(piece) == e["n"] + length - 1:
-                            for c, v in zip(cold, (e["h"], doc, e["start"], e["n"], piece), strict=True):
-                                c.append(v)
-                    if wide:
-                        s = tv.Slice(0, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-                        s.sums(tv.CODES)
-                        start, n = np.array([e["start"] for e in wide]), np.array([e["n"] for e in wide])
-                        n = np.clip(len(text) - length + 1 - start, 0, n)
-                        at = tv.ragged(start, n)
-                        for c, v in zip(hot, (np.repeat(np.array([e["h"] for e in wide]), n), s.span_hash(at, at + length).view(np.int64), np.full(len(at), doc), at), strict=True):
-                            c.append(v)
-                m = len(cold[0])
-                yield pa.RecordBatch.from_arrays([pa.array(cold[0], pa.int64()), pa.array(np.zeros(m, np.int64)), pa.array(cold[1], pa.int64()), pa.array(cold[2], pa.int32()), pa.array(cold[3], pa.int32()), pa.array(np.full(m, EDGE, np.int32)), pa.array(cold[4], pa.binary())], names=["h", "c", "doc_id", "start", "n", "kind", "bytes"])
-                if hot[0]:
-                    h, w, doc, start = (np.concatenate(x) for x in hot)
-                    order, first = _first((h, w), doc, start)
-                    kind = np.where(first, HOT, MARK).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[order]), pa.array(w[order]), pa.array(doc[order]), pa.array(start[order].astype(np.int32)), pa.array(np.ones(len(h), np.int32)), pa.array(kind), pa.nulls(len(h), pa.binary())], names=["h", "c", "doc_id", "start", "n", "kind", "bytes"])
+                texts = [_unzip(z, raw) for raw in part.column(1).to_pylist()]
+                buf = np.frombuffer(b"".join(texts), np.uint8)
+                off = np.zeros(len(texts) + 1, np.int64)
+                np.cumsum([len(t) for t in texts], out=off[1:])
+                edges = part.column(2)
+                flat = edges.flatten()
+                h, start, n, kind = (flat.field(c).to_numpy() for c in ("h", "start", "n", "kind"))
+                of = np.repeat(np.arange(len(texts)), np.asarray(edges.value_lengths()))
+                doc = part.column(0).to_numpy()[of]
+                room = np.diff(off)[of] - length + 1 - start  # of versions of a document one may be shorter
+                windows = np.clip(n & LOW, 0, np.maximum(room, 0))
+                i = np.flatnonzero((kind == EDGE) & (windows == n & LOW))
+                yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(np.zeros(len(i), np.int64)), pa.array(doc[i]), pa.array(start[i]), pa.array(n[i]), pa.array(kind[i]), _ragged_bytes(buf, off[of[i]] + start[i], windows[i].astype(np.int64) + length - 1)], names=["h", "c", "doc_id", "start", "n", "kind", "bytes"])
+                i = np.flatnonzero(kind == HOT)
+                if len(i):
+                    s = tv.Slice(0, buf, off)
+                    s.sums(tv.CODES)
+                    w = windows[i].astype(np.int64)
+                    at = tv.ragged(off[of[i]] + start[i], w)
+                    hash_, owner = s.span_hash(at, at + length).view(np.int64), np.repeat(i, w)
+                    keys = (h[owner], hash_)
+                    order, first = _first(keys, doc[owner], at - off[of[owner]])
+                    out = owner[order]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(hash_[order]), pa.array(doc[out]), pa.array((at[order] - off[of[out]]).astype(np.int32)), pa.array(np.ones(len(out), np.int32)), pa.array(np.where(first, HOT, MARK).astype(np.int32)), pa.nulls(len(out), pa.binary())], names=["h", "c", "doc_id", "start", "n", "kind", "bytes"])
 
     return run
 
 
+def partners(h: np.ndarray, n: np.ndarray, buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Whether a context agrees with another one of its hash on half of what surrounds the anchor."""
+    half = (length - gram) // 2
+    place = n >> 16
+    s = tv.Slice(0, buf, off)
+    s.sums(tv.CODES)
+    at = off[:-1] + place
+    keep = np.zeros(len(h), bool)
+    for i, lo, hi in ((np.flatnonzero(place >= half), at - half, at + gram), (np.flatnonzero(place - (n & LOW) + 1 < half), at, at + gram + half)):
+        if len(i):
+            key = tv.mix(s.span_hash(lo[i], hi[i]) ^ tv.mix(h[i].view(np.uint64)))
+            _, of, count = np.unique(key, return_inverse=True, return_counts=True)
+            keep[i] |= count[of] > 1
+    return keep
+
+
 def resolve(doc: np.ndarray, start: np.ndarray, n: np.ndarray, pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (doc, start) of the windows of some contexts that are also at an earlier position."""
     if len(pieces) < 1:
@@ -281,35 +305,57 @@ def resolve(doc: np.ndarray, start: np.ndarray, n: np.ndarray, pieces: list[byte
     return d[late], p[late]
 
 
-def _resolve(length: int):
-    def run(batches):
-        held: list = []
-        size = 0
-
-        def flush(rows):
-            doc, start, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-            d, p = resolve(doc, start, n, [r[4] for r in rows], length)
+def _resolve(length: int, gram: int):
+    """Contexts sorted by hash to the repeated windows among them."""
+
+    def work(t: pa.Table):
+        h, doc, start, n = (t.column(c).to_numpy() for c in ("h", "doc_id", "start", "n"))
+        raw = t.column("bytes").combine_chunks()
+        raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
+        off = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        buf = np.frombuffer(raw.buffers()[2], np.uint8)[off[0] : off[-1]]
+        off = off - off[0]
+        keep = np.flatnonzero(partners(h, n, buf, off, length, gram))
+        new = np.append(True, h[keep][1:] != h[keep][:-1]) if len(keep) else np.zeros(0, bool)
+        size = np.diff(off)[keep]
+        part = (np.cumsum(size) - size) // BUCKET  # merged together; a hash stays whole
+        part = part[np.maximum.accumulate(np.where(new, np.arange(len(keep)), 0))] if len(keep) else part
+        for mine in np.split(keep, np.flatnonzero(np.diff(part)) + 1) if len(keep) else ():
+            d, p = resolve(doc[mine], start[mine].astype(np.int64), (n[mine] & LOW).astype(np.int64), [buf[off[i] : off[i + 1]].tobytes() for i in mine], length)
             if len(d):
                 one = np.zeros(len(d), np.int64)
                 yield _batch(one, one, d, p, one + 1, one)
 
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 6)), strict=True):
-                if size >= BUCKET and r[0] != held[-1][0]:
-                    yield from flush(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[4])
-        if held:
-            yield from flush(held)
+            if not batch.num_rows:
+                continue
+            h = batch.column(0).to_numpy()
+            last = int(np.searchsorted(h, h[-1]))  # the last hash may go on
+            if last == 0 and held and held[-1].column(0)[-1].as_py() == h[0]:
+                held.append(batch)
+                size += batch.nbytes
+                continue
+            held.append(batch.slice(0, last))
+            size += batch.nbytes
+            if size >= 4 * BUCKET:
+                full = [b for b in held if b.num_rows]
+                if full:
+                    yield from work(pa.Table.from_batches(full))
+                held, size = [], 0
+            held.append(batch.slice(last))
+        if full := [b for b in held if b.num_rows]:
+            yield from work(pa.Table.from_batches(full))
 
     return run
 
 
 def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """Runs of repeated windows: (doc_id, start, n), stored; docs needs (doc_id long, text)."""
-    if length % 2:
-        raise ValueError("length must be even")
+    if length % 2 or length > LOW or gram >= length:
+        raise ValueError("length must be even, under 65536 and over gram")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and octet_length(text) >= %d" % length)
     total = docs.select("doc_id").count()
@@ -326,10 +372,10 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     edges = met.where(F.col("kind") != MARK).groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n", "kind")).alias("edges"))
     packed = docs.mapInArrow(_zip(1), "doc_id long, z binary")
     found = scratch.table(edges.join(packed, "doc_id").select("doc_id", "z", "edges").mapInArrow(_contexts(length), RUN + ", bytes binary"), "contexts")
-    cold = found.where(F.col("kind") == EDGE).repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_resolve(length), RUN)
+    cold = found.where(F.col("kind") == EDGE).repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_resolve(length, gram), RUN)
     single = found.where(F.col("kind") == HOT).select("h", "c", "doc_id", "start", "n", "kind").repartition(parts, "h", "c").sortWithinPartitions("h", "c", "doc_id", "start").mapInArrow(_meet(group), RUN).where(F.col("kind") == MARK)
     at_once = found.where(F.col("kind") == MARK).select("h", "c", "doc_id", "start", "n", "kind")
-    out = met.where(F.col("kind") == MARK).union(at_once).union(cold).union(single).select("doc_id", "start", "n")
+    out = met.where(F.col("kind") == MARK).union(at_once).union(cold).union(single).select("doc_id", "start", F.expr(f"n & {LOW}").alias("n"))
     out = scratch.table(out, "marks")
     scratch.drop(met, found)
     return out

@@ -25,6 +25,7 @@ def running_confusion(points: DataFrame) -> DataFrame:
 def windowed_counts(events: DataFrame, width: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Events per window and type with late rows up to ``late``; append mode emits closed windows."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # event time needs an instant
     return events.withWatermark("ts", late).groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 

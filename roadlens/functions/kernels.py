@@ -83,57 +83,62 @@ def corners(box: np.ndarray) -> np.ndarray:
     return np.stack([box[:, 0:1] + c * x - n * y, box[:, 1:2] + n * x + c * y], 2)
 
 
-def clip_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Area shared by two convex counter-clockwise polygons (clipping by half planes)."""
-    poly = a
-    for k in range(len(b)):
-        if len(poly) < 3:
-            return 0.0
-        p, d = b[k], b[(k + 1) % len(b)] - b[k]
-        side = d[0] * (poly[:, 1] - p[1]) - d[1] * (poly[:, 0] - p[0])
-        nxt, side_n = np.roll(poly, -1, 0), np.roll(side, -1)
-        out = []
-        for v, w, s, t in zip(poly, nxt, side, side_n, strict=True):
-            if s >= -1e-12:
-                out.append(v)
-            if (s > 1e-12 and t < -1e-12) or (s < -1e-12 and t > 1e-12):
-                out.append(v + (w - v) * (s / (s - t)))
-        poly = np.array(out).reshape(-1, 2)
-    if len(poly) < 3:
-        return 0.0
-    x, y = poly[:, 0], poly[:, 1]
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
+def clip_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Areas shared by pairs of convex counter-clockwise polygons (m, k, 2): clipping by half planes."""
+    m = len(a)
+    poly, n = a, np.full(m, a.shape[1])
+    for k in range(b.shape[1]):
+        v = poly.shape[1]
+        slot = np.arange(v)
+        p = b[:, k, None]
+        d = b[:, (k + 1) % b.shape[1], None] - p
+        side = d[..., 0] * (poly[..., 1] - p[..., 1]) - d[..., 1] * (poly[..., 0] - p[..., 0])
+        nxt = np.where(slot + 1 < n[:, None], slot + 1, 0)
+        there = slot < n[:, None]
+        other = np.take_along_axis(side, nxt, 1)
+        cross = there & (((side > 1e-12) & (other < -1e-12)) | ((side < -1e-12) & (other > 1e-12)))
+        t = side / np.where(cross, side - other, 1)
+        cut = poly + (np.take_along_axis(poly, nxt[..., None], 1) - poly) * t[..., None]
+        points = np.stack([poly, cut], 2).reshape(m, 2 * v, 2)
+        keep = np.stack([there & (side >= -1e-12), cross], 2).reshape(m, 2 * v)
+        n = keep.sum(1)
+        order = np.argsort(~keep, 1, kind="stable")[:, : max(1, n.max(initial=0))]
+        poly = np.take_along_axis(points, order[..., None], 1)
+    slot = np.arange(poly.shape[1])
+    nxt = np.where(slot + 1 < n[:, None], slot + 1, 0)
+    q = np.take_along_axis(poly, nxt[..., None], 1)
+    twice = np.where(slot < n[:, None], poly[..., 0] * q[..., 1] - poly[..., 1] * q[..., 0], 0).sum(1)
+    return np.where(n >= 3, np.abs(twice) / 2, 0)
 
 
-def iou(a: np.ndarray, b: np.ndarray, kind: str = "3d", wanted: np.ndarray | None = None) -> np.ndarray:
-    """IoU of all (or the wanted) pairs of boxes (n, 7: cx, cy, cz, l, w, h, heading): kind aa, 2d or 3d."""
-    out = np.zeros((len(a), len(b)))
-    if not len(a) or not len(b):
-        return out
+def pair_iou(a: np.ndarray, b: np.ndarray, kind: str = "3d") -> np.ndarray:
+    """IoU of boxes a[i] and b[i] (m, 7: cx, cy, cz, l, w, h, heading): kind aa, 2d or 3d."""
     dims = slice(3, 6) if kind == "3d" else slice(3, 5)
     ok = lambda x: ((x[:, dims] > SMALL) & (x[:, dims] < LARGE)).all(1)
-    fine = ok(a)[:, None] & ok(b)[None, :]
-    if wanted is not None:
-        fine &= wanted
-    if not fine.any():
-        return out
+    fine = np.flatnonzero(ok(a) & ok(b))
+    out = np.zeros(len(a))
+    a, b = a[fine], b[fine]
+    shared = lambda i: np.clip(np.minimum(a[:, i] + a[:, 3 + i] / 2, b[:, i] + b[:, 3 + i] / 2) - np.maximum(a[:, i] - a[:, 3 + i] / 2, b[:, i] - b[:, 3 + i] / 2), 0, None)
     if kind == "aa":
-        span = [np.clip(np.minimum(a[:, None, i] + a[:, None, 3 + i] / 2, b[None, :, i] + b[None, :, 3 + i] / 2) - np.maximum(a[:, None, i] - a[:, None, 3 + i] / 2, b[None, :, i] - b[None, :, 3 + i] / 2), 0, None) for i in (0, 1)]
-        inter = span[0] * span[1]
+        inter = shared(0) * shared(1)
     else:
-        inter = np.zeros_like(out)
+        inter = np.zeros(len(a))
         flat = [0, 1, 3, 4, 6]
-        ca, cb = corners(a[:, flat]), corners(b[:, flat])
-        near = fine.copy()
-        for i in (0, 1):  # bounding boxes first
-            near &= (ca[:, :, i].max(1)[:, None] >= cb[:, :, i].min(1)) & (cb[:, :, i].max(1)[None, :] >= ca[:, :, i].min(1)[:, None])
-        for i, j in zip(*np.nonzero(near), strict=True):
-            inter[i, j] = clip_area(ca[i], cb[j])
-    area = lambda x: x[:, 3] * x[:, 4]
-    va, vb = area(a), area(b)
+        reach = np.hypot(a[:, 3], a[:, 4]) / 2 + np.hypot(b[:, 3], b[:, 4]) / 2
+        near = np.flatnonzero(np.hypot(a[:, 0] - b[:, 0], a[:, 1] - b[:, 1]) <= reach)  # circles first
+        if len(near):
+            inter[near] = clip_areas(corners(a[near][:, flat]), corners(b[near][:, flat]))
+    va, vb = a[:, 3] * a[:, 4], b[:, 3] * b[:, 4]
     if kind == "3d":
-        inter = inter * np.clip(np.minimum(a[:, None, 2] + a[:, None, 5] / 2, b[None, :, 2] + b[None, :, 5] / 2) - np.maximum(a[:, None, 2] - a[:, None, 5] / 2, b[None, :, 2] - b[None, :, 5] / 2), 0, None)
-        va, vb = va * a[:, 5], vb * b[:, 5]
-    union = va[:, None] + vb[None, :] - inter
-    out[fine] = np.clip(inter[fine] / union[fine], 0, 1)
+        inter, va, vb = inter * shared(2), va * a[:, 5], vb * b[:, 5]
+    out[fine] = np.clip(np.round(inter / (va + vb - inter), 9), 0, 1)  # a threshold must not hang on the last bits
+    return out
+
+
+def iou(a: np.ndarray, b: np.ndarray, kind: str = "3d", wanted: np.ndarray | None = None) -> np.ndarray:
+    """IoU of all (or the wanted) pairs of boxes of a and b, as a matrix."""
+    out = np.zeros((len(a), len(b)))
+    i, j = np.nonzero(np.ones_like(out, bool) if wanted is None else wanted)
+    if len(i):
+        out[i, j] = pair_iou(a[i], b[j], kind)
     return out

@@ -124,11 +124,21 @@ def _frame_counts(config: dict):
         ps_all = {x: p[f"s_{x}"].to_numpy() for x in generators}
         gs_all = {x: g[f"g_{x}"].to_numpy(int) for x in generators}
         gm_all = {x: g[f"s_{x}"].to_numpy() for x in generators if only[x]}
+        # the overlaps of all frames of the bucket at once; a frame's matrix is a slice
+        np_, ng = p1 - p0, g1 - g0
+        cell = np.append(0, np.cumsum(np_ * ng))
+        inside = np.arange(cell[-1]) - np.repeat(cell[:-1], np_ * ng)
+        wide = np.repeat(np.maximum(ng, 1), np_ * ng)
+        i_all, j_all = np.repeat(p0, np_ * ng) + inside // wide, np.repeat(g0, np_ * ng) + inside % wide
+        flat = np.zeros(cell[-1])
+        if not let:
+            same = np.flatnonzero(pt_all[i_all] == gt_all[j_all])
+            flat[same] = K.pair_iou(a_all[i_all[same]], b_all[j_all[same]], kind)
         for f in range(len(frames)):
             pi, gi_ = slice(p0[f], p1[f]), slice(g0[f], g1[f])
             a, b, pt, gt_ = a_all[pi], b_all[gi_], pt_all[pi], gt_all[gi_]
             score, nlz, level = score_all[pi], nlz_all[pi], level_all[gi_]
-            overlap = let_iou(a, b, let, kind) if let else K.iou(a, b, kind, pt[:, None] == gt_[None, :])
+            overlap = let_iou(a, b, let, kind) if let else flat[cell[f] : cell[f + 1]].reshape(len(a), len(b))
             overlap[pt[:, None] != gt_[None, :]] = 0
             affinity = let_affinity(a, b, let) if let else np.ones_like(overlap)
             need = np.where(pt < len(limit), limit[np.minimum(pt, len(limit) - 1)], np.inf)
@@ -195,19 +205,16 @@ def let_affinity(a: np.ndarray, b: np.ndarray, let: dict) -> np.ndarray:
 
 def let_iou(a: np.ndarray, b: np.ndarray, let: dict, kind: str) -> np.ndarray:
     """IoU of each prediction, moved along its line of sight towards each ground truth."""
-    out = np.zeros((len(a), len(b)))
-    for j in range(len(b)):
-        p, g = _seen(a, let), _seen(b[j : j + 1], let)
-        moved = a.copy()
-        if let["align"] == "center":
-            moved[:, :2] = b[j, :2]
-        elif let["align"] != "none":
-            m = (p @ g[0]) / np.maximum((p * p).sum(1), 1e-6)
-            inner = (m < 1) & (m >= 0)
-            m = {"range": m, "further_only": np.where(inner, m, 1), "any_closer_only": np.where(inner, 1, m), "between_origin_and_gt_only": np.maximum(m, 1)}[let["align"]]
-            moved[:, :3] = p * m[:, None] + np.array(let["sensor"])
-        out[:, j] = K.iou(moved, b[j : j + 1], kind)[:, 0] if len(a) else 0
-    return out
+    i, j = np.divmod(np.arange(len(a) * len(b)), max(1, len(b)))
+    moved, p, g = a[i].copy(), _seen(a, let)[i], _seen(b, let)[j]
+    if let["align"] == "center":
+        moved[:, :2] = b[j, :2]
+    elif let["align"] != "none":
+        m = (p * g).sum(1) / np.maximum((p * p).sum(1), 1e-6)
+        inner = (m < 1) & (m >= 0)
+        m = {"range": m, "further_only": np.where(inner, m, 1), "any_closer_only": np.where(inner, 1, m), "between_origin_and_gt_only": np.maximum(m, 1)}[let["align"]]
+        moved[:, :3] = p * m[:, None] + np.array(let["sensor"])
+    return K.pair_iou(moved, b[j], kind).reshape(len(a), len(b))
 
 
 def measure(pd_: DataFrame, gt: DataFrame, cutoffs: list[float], generators=("OBJECT_TYPE",), levels=(1, 2), matcher: str = "hungarian", kind: str = "3d", thresholds: dict[int, float] = THRESHOLDS, least_heading: float = 0.0, let: dict | None = None) -> DataFrame:

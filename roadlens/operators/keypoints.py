@@ -76,3 +76,62 @@ def with_unmatched(gt: DataFrame, pred: DataFrame, match: DataFrame) -> DataFram
     j = g.join(match, "gt", "left").join(p, ["pred", "kind"], "outer")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return j.select("gt", "pred", "kind", *(zero(c) for c in ("gx", "gy", "px", "py")), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("gv", "pv")), F.coalesce("scale", F.lit(1.0)).alias("scale"))
+
+
+def match_by_error(gt: DataFrame, pred: DataFrame, penalty: float = 0.25, reach: float = 0.25) -> DataFrame:
+    """(frame, gt, pred): matches of objects by their points, in two optimal assignments a frame.
+
+    gt: frame, id, box (cx, cy, cz, length, width, height, heading), points array<struct<kind,x,y,z,v>>;
+    pred: frame, id, points.  Truths without a labelled point first take predictions by the number of
+    points inside their box; the rest are matched by least mean error over shared kinds (below
+    ``penalty``) among pairs whose nearest points are within ``reach``.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from roadlens.functions import kernels as K
+    from roadlens.operators.detection import ROWS
+
+    def table(points) -> tuple[np.ndarray, np.ndarray]:
+        kept = [p for p in points if p["v"] > 0]
+        return np.array([p["kind"] for p in kept], int), np.array([(p["x"], p["y"], p["z"]) for p in kept], float).reshape(-1, 3)
+
+    def frame(g: pd.DataFrame, p: pd.DataFrame):
+        gp, pp = [table(x) for x in g["points"]], [table(x) for x in p["points"]]
+        bare = np.flatnonzero([len(x[0]) == 0 for x in gp])
+        w = np.zeros((len(bare), len(p)))
+        for k, i in enumerate(bare):
+            b = g.iloc[i]
+            for j, (_, xyz) in enumerate(pp):
+                d = xyz - [b["cx"], b["cy"], b["cz"]]
+                c, s = np.cos(b["heading"]), np.sin(b["heading"])
+                inside = (np.abs(d[:, 0] * c + d[:, 1] * s) <= b["length"] / 2) & (np.abs(d[:, 1] * c - d[:, 0] * s) <= b["width"] / 2) & (np.abs(d[:, 2]) <= b["height"] / 2)
+                w[k, j] = inside.sum()
+        got = K.assign(w)
+        out = [(i, j) for i, j in zip(bare, got, strict=True) if j >= 0]
+        left_p = np.setdiff1d(np.arange(len(p)), got[got >= 0])
+        rest = np.setdiff1d(np.arange(len(g)), bare)
+        w = np.zeros((len(rest), len(left_p)))
+        for k, i in enumerate(rest):
+            for m, j in enumerate(left_p):
+                (ka, xa), (kb, xb) = gp[i], pp[j]
+                if not len(kb):
+                    continue
+                if np.sqrt(((xa[:, None] - xb[None]) ** 2).sum(2)).min() > reach:
+                    continue
+                both, ia, ib = np.intersect1d(ka, kb, return_indices=True)
+                e = np.sqrt(((xa[ia] - xb[ib]) ** 2).sum(1)).mean() if len(both) else penalty
+                w[k, m] = max(0.0, penalty - e)
+        return out + [(rest[k], left_p[m]) for k, m in enumerate(K.assign(w)) if m >= 0]
+
+    def run(key, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        by_p = dict(list(p.sort_values("id").groupby("frame")))
+        for f, one in g.sort_values("id").groupby("frame"):
+            if f in by_p:
+                out += [(f, one["id"].iloc[i], by_p[f]["id"].iloc[j]) for i, j in frame(one, by_p[f])]
+        return pd.DataFrame(out, columns=["frame", "gt", "pred"])
+
+    buckets = max(1, -(-(gt.count() + pred.count()) // ROWS))
+    bucket = F.pmod(F.xxhash64("frame"), F.lit(buckets)).alias("bucket")
+    return gt.select(bucket, "*").groupBy("bucket").cogroup(pred.select(bucket, "*").groupBy("bucket")).applyInPandas(run, "frame long, gt long, pred long")

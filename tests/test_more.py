@@ -10,6 +10,7 @@ from roadlens.functions import codecs
 from roadlens.functions import geometry as G
 from roadlens.operators import keypoints as KP
 from roadlens.operators import lidar as L
+from roadlens.operators import motion as M
 from roadlens.operators import occupancy as O
 from roadlens.operators import rater as R
 from roadlens.operators import segmentation as S
@@ -87,6 +88,20 @@ def test_keypoints(spark):
     assert {r["subset"] for r in KP.subsets(d, {"a": [1], "b": [1, 2]}).collect()} == {"a", "b"}
 
 
+def test_keypoint_matching(spark):
+    box = "frame long, id long, cx double, cy double, cz double, length double, width double, height double, heading double, points array<struct<kind:int,x:double,y:double,z:double,v:int>>"
+    g = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 2.0, 2.0, 2.0, 0.0, []), (1, 2, 9.0, 0.0, 0.0, 2.0, 2.0, 2.0, 0.0, [(1, 9.0, 0.0, 0.0, 2), (2, 9.0, 0.0, 1.0, 2)]), (2, 3, 0.0, 0.0, 0.0, 2.0, 2.0, 2.0, 0.0, [])], box)
+    p = spark.createDataFrame([(1, 7, [(1, 0.1, 0.0, 0.0, 2)]), (1, 8, [(1, 9.1, 0.0, 0.0, 2), (2, 9.0, 0.1, 1.0, 2)]), (1, 9, [(1, 9.2, 0.0, 0.0, 2)])], "frame long, id long, points array<struct<kind:int,x:double,y:double,z:double,v:int>>")
+    assert sorted(tuple(r) for r in KP.match_by_error(g, p).collect()) == [(1, 1, 7), (1, 2, 8)]
+
+
+def test_motion_overlap(spark):
+    t = spark.createDataFrame([(1, o, s, float(x), 0.0, 0.0, True, 4.0, 2.0) for o, x0, v in ((1, 0, 1), (2, 10, 0), (3, 500, 0)) for s in range(8) for x in [x0 + v * s]], "scenario long, object long, step long, x double, y double, heading double, valid boolean, length double, width double")
+    f = spark.createDataFrame([(1, o, j, o, s, float(x), 0.0, c) for o, j, c, x0, v in ((1, 0, 0.9, 1, 2.0), (1, 1, 0.1, 1, 0.0), (3, 0, 0.5, 500, 1.0)) for s in range(6) for x in [x0 + v * (s + 1)]], "scenario long, group long, joint long, object long, step long, x double, y double, confidence double")
+    got = {(r["group"], r["at"]): r["overlap"] for r in M.overlap_rate(f, t, [1, 5], history=1, ratio=1).collect()}
+    assert got == {(1, 1): 0, (1, 5): 1, (3, 1): 0, (3, 5): 0}
+
+
 def test_rater(spark):
     line = [(float(i), 0.0) for i in range(20)]
     shift = lambda dx, dy: [(x + dx, y + dy) for x, y in line]

@@ -20,6 +20,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bounded(stage):
+    """A stage whose Arrow batches stay small, also where it is called on its own."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.bounded(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not mark; it learns from the labels' training fold."""
     model = toxicity.fit(_table(spark, sf_dir, "documents"), toxicity.training(_table(spark, sf_dir, "labels")))
@@ -58,7 +68,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack.pack(docs).drop("copy")
 
 
-STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings), ("decontamination", decontaminated), ("packing", packed)]
+STAGES = [(name, _bounded(f)) for name, f in (("toxicity", toxic), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings), ("decontamination", decontaminated), ("packing", packed))]
 
 #: SQL can express neither the classifier nor tokens; tests/llm/test_pipeline.py has brute-force versions.
 ORACLE_SQL = None

@@ -156,14 +156,14 @@ def find(docs: DataFrame, items: DataFrame, block_windows: int = 500_000) -> Dat
     occurring window, merged where they overlap.
     """
     spark: SparkSession = docs.sparkSession
-    windows = items.select("item_id", "text").mapInArrow(_item_windows, "item_id long, n int, window long, words binary, prints array<long>")
+    windows = items.select("item_id", "text").mapInArrow(tv.tidy(_item_windows), "item_id long, n int, window long, words binary, prints array<long>")
     blocks = max(1, -(-windows.count() // block_windows))
     docs = docs.select("row_id", "doc_id", "text")
     parts = []
     for b in range(blocks):
         mine = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("n", "window"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(Index(mine.toLocalIterator()))
-        parts.append(docs.mapInArrow(_scan(index), OUT))
+        parts.append(docs.mapInArrow(tv.tidy(_scan(index)), OUT))
     if blocks == 1:
         return parts[0]
     out = parts[0]
@@ -209,12 +209,12 @@ def _flag(index_of):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, block_windows: int = 500_000) -> DataFrame:
     """The documents, all their columns, in which no window of any item occurs; one scan a block."""
-    windows = items.select("item_id", "text").mapInArrow(_item_windows, "item_id long, n int, window long, words binary, prints array<long>")
+    windows = items.select("item_id", "text").mapInArrow(tv.tidy(_item_windows), "item_id long, n int, window long, words binary, prints array<long>")
     blocks = max(1, -(-windows.count() // block_windows))
     for b in range(blocks):
         mine = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("n", "window"), F.lit(blocks)) == b)
         index = docs.sparkSession.sparkContext.broadcast(Index(mine.toLocalIterator()))
-        docs = docs.mapInArrow(_flag(index), docs.schema)
+        docs = docs.mapInArrow(tv.tidy(_flag(index)), docs.schema)
     return docs
 
 

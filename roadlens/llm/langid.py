@@ -164,7 +164,7 @@ def fit(labelled: DataFrame, per_language: int = 4000, max_entries: int = 300_00
     unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))))
     sample = rows.where(unit < share[F.col("lang")])
-    counts = sample.mapInArrow(_count, "n int, h long, lang string, c long").groupBy("n", "h", "lang").agg(F.sum("c").alias("c"))
+    counts = sample.mapInArrow(tv.tidy(_count), "n int, h long, lang string, c long").groupBy("n", "h", "lang").agg(F.sum("c").alias("c"))
     langs = sorted(sizes)
     wide = counts.groupBy("n", "h").pivot("lang", langs).agg(F.first("c")).na.fill(0)
     wide = wide.withColumn("_all", sum((F.col(f"`{k}`") for k in langs), F.lit(0))).where("_all >= 2")
@@ -187,4 +187,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.select(*(F.col(f"`{c}`") for c in keep), "text")
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(_predict(broadcast, keep), f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(tv.tidy(_predict(broadcast, keep)), f"{schema}, lang_pred string, score double")

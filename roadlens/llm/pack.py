@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, e
     ``copy`` tells repeated rows apart; it is unique but arbitrary.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("copy"), "text")
-    return rows.mapInArrow(_pieces(file or tokens.vocabulary(), capacity, end, keep_ids), PIECES + (", ids array<int>" if keep_ids else ""))
+    return rows.mapInArrow(tv.tidy(_pieces(file or tokens.vocabulary(), capacity, end, keep_ids)), PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -164,4 +164,4 @@ def pack(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY, end
     out = ranks.ranked(cut, "length", ["doc_id", "copy", "piece"])
     names = [*cut.columns, "rank"]
     schema = ", ".join(f"{c} {t}" for c, t in cut.dtypes) + ", sequence_id long, offset long"
-    return out.select(*names).mapInArrow(_place(table), schema)
+    return out.select(*names).mapInArrow(tv.tidy(_place(table)), schema)

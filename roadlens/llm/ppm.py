@@ -257,7 +257,7 @@ def _frequent(df: DataFrame, most: int) -> DataFrame:
 
 def fit(texts: DataFrame, max_grams: int = 1_000_000) -> tuple[DataFrame, Trie, int, int, int]:
     """(stored counts, trie, tokens N, distinct V, texts) of a DataFrame with a column ``text``."""
-    counts = scratch.table(texts.select("text").mapInArrow(_count, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c")), "counts")
+    counts = scratch.table(texts.select("text").mapInArrow(tv.tidy(_count), "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c")), "counts")
     stats = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     n_texts = int(stats[TEXTS]["n"]) if TEXTS in stats else 0
     n = n_texts + (int(stats[TOKEN]["n"]) if TOKEN in stats else 0)
@@ -289,7 +289,7 @@ def score(docs: DataFrame, texts: DataFrame, max_grams: int = 1_000_000, max_wor
     top = _frequent(words, max_words).toArrow()
     top_of = spark.sparkContext.broadcast((top.column("key").to_numpy(), np.log10(top.column("c").to_numpy() + 1.0)))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = scratch.table(rows.mapInArrow(_score(spark.sparkContext.broadcast(trie), top_of), "row_id long, doc_id long, n_words long, n_top long, base double, score double, rest array<long>, times array<long>"), "scored")
+    scored = scratch.table(rows.mapInArrow(tv.tidy(_score(spark.sparkContext.broadcast(trie), top_of)), "row_id long, doc_id long, n_words long, n_top long, base double, score double, rest array<long>, times array<long>"), "scored")
     rest = scored.select("row_id", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row_id", F.col("x.rest").alias("key"), F.col("x.times").alias("times"))
     found = rest.join(words, "key").groupBy("row_id").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("known"))
     tokens = F.col("n_words") + 1

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from . import scratch
+
+    scratch.bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

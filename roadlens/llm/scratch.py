@@ -29,6 +29,13 @@ def root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of fewer rows than Spark's default, as rows here are whole texts; a set value stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def path(spark: SparkSession, tag: str) -> str:
     """A fresh path for a table; ``drop`` or the end of the process removes it."""
     out = f"{root(spark)}/roadlens-{tag}-{uuid.uuid4().hex}"

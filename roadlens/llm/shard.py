@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ranks, scratch
+from . import textvec as tv
 
 SHARDS = 24
 
@@ -113,7 +114,7 @@ def by_bytes(docs: DataFrame, shards: int = SHARDS, groups_per_task: int = 100_0
     n = groups.count()
     tasks = max(1, -(-n // groups_per_task))
     # a stored table: the permutation of a task must be applied to the parts it was computed from
-    local = scratch.table(groups.repartition(tasks, F.xxhash64("group")).sortWithinPartitions("group").mapInArrow(_local(shards), "group string, part int, task string, sums array<long>"), "parts")
+    local = scratch.table(groups.repartition(tasks, F.xxhash64("group")).sortWithinPartitions("group").mapInArrow(tv.tidy(_local(shards)), "group string, part int, task string, sums array<long>"), "parts")
     found = local.where("sums is not null").select("task", "sums").orderBy("task").collect()  # one row a task
     final, _ = difference(np.array([r["sums"] for r in found], np.int64).reshape(-1, shards), shards)
     names = spark.createDataFrame([(r["task"], [int(x) for x in p]) for r, p in zip(found, final, strict=True)], "task string, finals array<int>")

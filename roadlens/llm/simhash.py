@@ -298,7 +298,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     """Those of pairs (a, b) whose texts (node, z) are at least so similar."""
     left = texts.select(F.col("node").alias("a"), F.col("z").alias("za"))
     right = texts.select(F.col("node").alias("b"), F.col("z").alias("zb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(_verify(similarity), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(tv.tidy(_verify(similarity)), "a long, b long")
 
 
 def _blocks(entries: DataFrame, limit: int):
@@ -312,12 +312,12 @@ def _blocks(entries: DataFrame, limit: int):
 def _candidates(nodes: DataFrame, filters_of, limit: int, all_pairs: bool) -> DataFrame:
     """Distinct candidate pairs among nodes (node, f0, f1, root)."""
     spark = nodes.sparkSession
-    entries = nodes.mapInArrow(_deal(filters_of, None), ENTRY)
+    entries = nodes.mapInArrow(tv.tidy(_deal(filters_of, None)), ENTRY)
     large = _blocks(entries, limit)
     if len(large[0]):
-        entries = nodes.mapInArrow(_deal(filters_of, spark.sparkContext.broadcast(large)), ENTRY)
+        entries = nodes.mapInArrow(tv.tidy(_deal(filters_of, spark.sparkContext.broadcast(large))), ENTRY)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(parts, "list", "cell").sortWithinPartitions("list", "cell").mapInArrow(_search(all_pairs), "a long, b long").distinct()
+    return entries.repartition(parts, "list", "cell").sortWithinPartitions("list", "cell").mapInArrow(tv.tidy(_search(all_pairs)), "a long, b long").distinct()
 
 
 def _sure(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -335,7 +335,7 @@ def links(reps: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, rec
     deal = reps.select("node", "f0", "f1", F.col("node").alias("root")).repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 2000))))
     first = scratch.table(_candidates(deal, filters_of, limit, False), "near")
     active = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    packed = texts.where("text is not null").mapInArrow(_zip, "node long, z binary")
+    packed = texts.where("text is not null").mapInArrow(tv.tidy(_zip), "node long, z binary")
     # by sort and merge at every size: what is right for a large corpus is what small ones test
     own = scratch.table(packed.join(active.hint("merge"), "node"), "texts")
     good = scratch.table(verified(_sure(first, reps), own, similarity), "links")
@@ -352,7 +352,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = 0.9
     """One row per document: doc_id, class_id (least doc_id of the class) and kept (doc_id = class_id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = docs.select("doc_id", F.when(F.col("text").isNull(), F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).otherwise(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
-    prints = scratch.table(keyed.mapInArrow(_fingerprints, "doc_id long, key string, f0 long, f1 long, f2 long, f3 long"), "prints")
+    prints = scratch.table(keyed.mapInArrow(tv.tidy(_fingerprints), "doc_id long, key string, f0 long, f1 long, f2 long, f3 long"), "prints")
     equal = scratch.table(prints.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(4))), "equal")
     roots = links(equal.where("f0 is not null").select("node", "f0", "f1", "f2", "f3"), docs.select(F.col("doc_id").alias("node"), "text").where("node is not null"), similarity, recall, limit)
     named = equal.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class_id"))

@@ -363,17 +363,17 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     none = spark.sparkContext.broadcast(np.zeros(0, np.int64))
     often = max(20, SAMPLE // 500)
     # at most (anchors of the sample) / often hashes
-    hot = few.mapInArrow(_anchors(length, gram, none), RUN).groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= often).select("h").toArrow().column(0).to_numpy()
+    hot = few.mapInArrow(tv.tidy(_anchors(length, gram, none)), RUN).groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= often).select("h").toArrow().column(0).to_numpy()
     hot_of = spark.sparkContext.broadcast(np.sort(hot))
-    runs = docs.mapInArrow(_anchors(length, gram, hot_of), RUN)
+    runs = docs.mapInArrow(tv.tidy(_anchors(length, gram, hot_of)), RUN)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     deal = F.when(F.col("kind") == EDGE, F.xxhash64("h")).otherwise(F.xxhash64("h", "c", F.when(F.col("kind") == MARK, F.col("doc_id")).otherwise(F.lit(0))))
-    met = scratch.table(runs.repartition(parts, deal).sortWithinPartitions("h", "c", "doc_id", "start").mapInArrow(_meet(group), RUN), "runs")
+    met = scratch.table(runs.repartition(parts, deal).sortWithinPartitions("h", "c", "doc_id", "start").mapInArrow(tv.tidy(_meet(group)), RUN), "runs")
     edges = met.where(F.col("kind") != MARK).groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n", "kind")).alias("edges"))
-    packed = docs.mapInArrow(_zip(1), "doc_id long, z binary")
-    found = scratch.table(edges.join(packed, "doc_id").select("doc_id", "z", "edges").mapInArrow(_contexts(length), RUN + ", bytes binary"), "contexts")
-    cold = found.where(F.col("kind") == EDGE).repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_resolve(length, gram), RUN)
-    single = found.where(F.col("kind") == HOT).select("h", "c", "doc_id", "start", "n", "kind").repartition(parts, "h", "c").sortWithinPartitions("h", "c", "doc_id", "start").mapInArrow(_meet(group), RUN).where(F.col("kind") == MARK)
+    packed = docs.mapInArrow(tv.tidy(_zip(1)), "doc_id long, z binary")
+    found = scratch.table(edges.join(packed, "doc_id").select("doc_id", "z", "edges").mapInArrow(tv.tidy(_contexts(length)), RUN + ", bytes binary"), "contexts")
+    cold = found.where(F.col("kind") == EDGE).repartition(parts, "h").sortWithinPartitions("h").mapInArrow(tv.tidy(_resolve(length, gram)), RUN)
+    single = found.where(F.col("kind") == HOT).select("h", "c", "doc_id", "start", "n", "kind").repartition(parts, "h", "c").sortWithinPartitions("h", "c", "doc_id", "start").mapInArrow(tv.tidy(_meet(group)), RUN).where(F.col("kind") == MARK)
     at_once = found.where(F.col("kind") == MARK).select("h", "c", "doc_id", "start", "n", "kind")
     out = met.where(F.col("kind") == MARK).union(at_once).union(cold).union(single).select("doc_id", "start", F.expr(f"n & {LOW}").alias("n"))
     out = scratch.table(out, "marks")
@@ -420,11 +420,11 @@ def strip(docs: DataFrame, keep: list[str], text: bool = True, length: int = LEN
     spans = marks(docs, length, gram, group).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
     docs = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)), F.col("doc_id").cast("long").alias("_id"), "text")
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    packed = docs.mapInArrow(_zip(len(keep) + 1), f"{own}, z binary")
+    packed = docs.mapInArrow(tv.tidy(_zip(len(keep) + 1)), f"{own}, z binary")
     names = [f"_{i}" for i in range(len(keep))]
     own = ", ".join(f"`_{i}` {docs.schema[f'_{i}'].dataType.simpleString()}" for i in range(len(keep)))
     made = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", _kept string" if text else "")
-    out = packed.join(spans, "_id", "left").select(*names, "z", "_spans").mapInArrow(_kept(names, length, text), f"{own}, {made}")
+    out = packed.join(spans, "_id", "left").select(*names, "z", "_spans").mapInArrow(tv.tidy(_kept(names, length, text)), f"{own}, {made}")
     return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), *out.columns[len(keep) :])
 
 

@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_term
     total = n0 + n1
     if total == 0:
         return Model(Terms(np.zeros(0, np.uint64), np.zeros(0)), Index([], 0, k), 0.0, 0.0)
-    counts = sample.select("text", "toxic").mapInArrow(_document_counts, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = sample.select("text", "toxic").mapInArrow(tv.tidy(_document_counts), "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     c, d = n1 - a, n0 - b
     chi = total * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * float(max(1, n1)) * float(max(1, n0)))
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_term
                 w += [wi[at[r] : at[r + 1]] for r in range(s.rows)]
             yield pa.RecordBatch.from_arrays([pa.array(t, pa.list_(pa.int64())), pa.array(w, pa.list_(pa.float64())), batch.column(2), batch.column(0)], names=["t", "w", "toxic", "id"])
 
-    found = sample.mapInArrow(vectors, "t array<long>, w array<double>, toxic int, id long").toArrow()
+    found = sample.mapInArrow(tv.tidy(vectors), "t array<long>, w array<double>, toxic int, id long").toArrow()
     cols = [found.column(i).to_pylist() for i in range(4)]
     all_vectors = list(zip(*cols, strict=True))
     bare = [v[2] for v in all_vectors if not v[0]]
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_term
                 out = [m.index.vote(*m.index.nearest(t[at[i] : at[i + 1]], w[at[i] : at[i + 1]], i), m.prior) for i in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "vote"])
 
-        own = spark.range(index.n).repartition(min(64, -(-index.n // 256))).mapInArrow(votes, "id long, vote double").toArrow()
+        own = spark.range(index.n).repartition(min(64, -(-index.n // 256))).mapInArrow(tv.tidy(votes), "id long, vote double").toArrow()
         model.calibrate(own.column(1).to_numpy(), index.label[own.column(0).to_numpy()])
     return model
 
@@ -279,7 +279,7 @@ def score(docs: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
     docs = docs.select(*(F.col(f"`{c}`") for c in keep), *([] if with_text else ["text"]))
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return docs.mapInArrow(_score(broadcast, keep), f"{schema}, score double, predicted int, evidence {EVIDENCE}")
+    return docs.mapInArrow(tv.tidy(_score(broadcast, keep)), f"{schema}, score double, predicted int, evidence {EVIDENCE}")
 
 
 def remainder(doc_id: str, n: int):

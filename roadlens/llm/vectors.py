@@ -212,13 +212,13 @@ def link(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.98, bucke
     hash_of = spark.sparkContext.broadcast(Hash(plan(max(2, largest), cosine, recall)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     deal = nodes.select("label", F.size("v").alias("dim"), "node", "m", "v").repartition(parts)
-    entries = deal.mapInArrow(_deal(hash_of), ENTRY)
+    entries = deal.mapInArrow(tv.tidy(_deal(hash_of)), ENTRY)
     group = ["label", "dim", "tab", "bucket"]
     large = entries.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).collect()  # at most tables * vectors / bucket
     if large:
         blocks = {tuple(r[c] for c in group): -(-2 * r["n"] // bucket) for r in large}
-        entries = deal.mapInArrow(_deal(hash_of, spark.sparkContext.broadcast(blocks)), ENTRY)
-    found = entries.repartition(parts, *group, "cell").sortWithinPartitions(*group, "cell").mapInArrow(_links(hash_of, cosine), "node long, links long, other long")
+        entries = deal.mapInArrow(tv.tidy(_deal(hash_of, spark.sparkContext.broadcast(blocks))), ENTRY)
+    found = entries.repartition(parts, *group, "cell").sortWithinPartitions(*group, "cell").mapInArrow(tv.tidy(_links(hash_of, cosine)), "node long, links long, other long")
     found = scratch.table(found, "links")
     roots = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))

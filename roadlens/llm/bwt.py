@@ -23,7 +23,7 @@ def rotations(text: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(8)) | text[(turn + j) % n]
     have = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get equal ranks, so their order is free
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.append(0, sorted_key[1:] != sorted_key[:-1]))

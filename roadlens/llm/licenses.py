@@ -92,7 +92,8 @@ def lines(files: DataFrame, threshold: float = THRESHOLD, templates=None) -> Dat
     spark = files.sparkSession
     rows, idf, other = weights(templates)
     anchors = r"(?i)(?<![a-z0-9])(" + "|".join(heavy(rows, threshold)) + r")(?![a-z0-9])"
-    table = spark.createDataFrame([(k, t, w, idf[t]) for k, t, w in rows], "template string, term string, w double, idf double")
+    values = ", ".join(f"('{k}', '{t}', {w!r}D, {idf[t]!r}D)" for k, t, w in rows)
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS t(template, term, w, idf)")  # a local table, no Python anywhere
     own = files.select("id", F.posexplode(F.split("text", "\n")).alias("line", "header")).where(F.col("header").rlike(anchors))
     terms = own.select("id", "line", F.octet_length("header").alias("bytes"), F.explode(F.split(F.lower("header"), SPLIT)).alias("term")).where("term <> ''")
     tf = terms.groupBy("id", "line", "bytes", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))

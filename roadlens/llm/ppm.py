@@ -10,11 +10,12 @@ with exclusion are computed once per context and a text is scored with a few tab
 
 Beside it goes the add-one unigram score over the words of all training texts.
 
-Scale: counts are distributed sums over all training texts, combined in each task first.  The trie
-that is broadcast holds the ``max_grams`` most frequent nodes (pruning a node prunes its longer ones,
-so it stays a trie and the probabilities still sum to one).  Word counts stay a distributed table;
-the ``max_words`` most frequent are also broadcast, and the rest of a text's words are joined by
-hash, so no join key is hot.
+Scale: counts are distributed sums over all training texts, combined in each task first.  The whole
+trie stays a distributed table and grows with them.  Of the grams that occurred, the ``max_grams``
+most frequent are broadcast with their probabilities in the whole trie; a text's other grams are
+joined by key to probabilities found in the parts of the trie (``Grams.resolve``), so the bound moves
+work and changes no score.  Word counts stay a distributed table too; the ``max_words`` most frequent
+are also broadcast, and the rest of a text's words are joined by hash, so no join key is hot.
 
 Defined cases: a null text is the empty text, whose only token and symbol is the end; A-Z count as
 a-z in both scores; repeated rows are scored each; with no training text every symbol costs
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -37,6 +38,8 @@ SYMBOLS = 257
 PAD = 10  # a text starts as if after line ends
 TOKEN, GRAM, TEXTS = 0, 1, 2
 SLICE = 1 << 19  # bytes of text worked on at once
+PART = 2  # bytes of context by which the trie is in parts
+PART_ROWS = 500_000  # grams of a task that are worked on at once, if they are of several parts
 
 
 def _grams(s: tv.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -208,36 +211,112 @@ class Trie:
         return out
 
 
-def _score(trie_of, words_of):
+def _part(key):
+    """The part of the trie that holds a gram, of any order from PART on, and all its shorter ones."""
+    return (F.shiftright(key, 9)).bitwiseAND((1 << (8 * PART)) - 1)
+
+
+def _resolve(low_of):
+    """(part, k, key, c) sorted by part, k = -1 for grams that are asked for, to (key, log_p)."""
+
     def run(batches):
-        trie: Trie = trie_of.value
+        held: list = []
+
+        def work(cols):
+            k, key, c = cols[1:]
+            asked = key[k < 0]
+            if not len(asked):
+                return
+            trie = Trie({**low_of.value, **{i: (key[k == i], c[k == i]) for i in range(PART, ORDER + 1)}})
+            for lo in range(0, len(asked), SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array(asked[lo : lo + SLICE]), pa.array(trie.log_p(asked[lo : lo + SLICE]))], names=["key", "log_p"])
+
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            if sum(len(x[0]) for x in held) < PART_ROWS:
+                continue
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last part may go on
+            if last:
+                yield from work([c[:last] for c in cols])
+            held = [[c[last:] for c in cols]]
+        if held:
+            yield from work([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return run
+
+
+class Grams:
+    """The whole trie: ``levels`` has its grams by order as tables (k, key, c); the most frequent also here."""
+
+    def __init__(self, spark, levels: dict[int, DataFrame], max_grams: int):
+        self.spark, self.levels = spark, levels
+        self.low = {k: tuple(levels[k].select("key", "c").toArrow().column(x).to_numpy() for x in ("key", "c")) for k in range(PART)}  # at most 257 * 257
+        whole = levels[ORDER].select("key", "c", F.shiftright("key", 9).alias("ctx"))
+        own = Window.partitionBy("ctx")
+        seen = whole.select("key", "c", (F.log(F.col("c").cast("double")) - F.log((F.sum("c").over(own) + F.count(F.lit(1)).over(own)).cast("double"))).alias("log_p"))
+        t = _frequent(seen, max_grams).select("key", "log_p").toArrow()
+        self.top = t.column("key").to_numpy(), t.column("log_p").to_numpy()
+
+    def resolve(self, asked: DataFrame) -> DataFrame:
+        """(key, log_p), natural logarithms, of distinct grams (key) of order ORDER, by the whole trie.
+
+        A gram's shorter ones have the last PART bytes of its context in common, so they are in one part.
+        """
+        rows = asked.select(_part(F.col("key")).alias("part"), F.lit(-1).alias("k"), "key", F.lit(0).cast("long").alias("c"))
+        for k in range(PART, ORDER + 1):
+            rows = rows.union(self.levels[k].select(_part(F.col("key")).alias("part"), "k", "key", "c"))
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tv.tidy(_resolve(self.spark.sparkContext.broadcast(self.low))), "key long, log_p double")
+
+    def log_p(self, key: np.ndarray) -> np.ndarray:
+        """Natural log probability of each gram of order ORDER, to look into the model from the driver."""
+        asked = self.spark.createDataFrame(pa.table({"key": key})).distinct()
+        found = {r["key"]: r["log_p"] for r in self.resolve(asked).collect()}
+        return np.array([found[int(x)] for x in key])
+
+
+def _rest(keys: np.ndarray, row: np.ndarray, rows: int) -> tuple[list, list]:
+    """Distinct keys of each row and how often each is there."""
+    order = np.lexsort((keys, row))
+    keys, row = keys[order], row[order]
+    new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    cut = np.searchsorted(row[new], np.arange(1, rows))
+    return np.split(keys[new], cut), np.split(np.diff(np.append(new, len(keys))), cut)
+
+
+def _score(grams_of, words_of):
+    def run(batches):
+        grams, log_p = grams_of.value
+        seen = Table(grams)
         words, log_words = words_of.value
         table = Table(words)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(8)]
             for s in tv.slices(batch.column(2), SLICE):
                 key, off = _grams(s)
-                sums = np.concatenate([[0.0], np.cumsum(trie.log_p(key), dtype=np.float64)])
+                at = seen.find(key)
+                known = at >= 0
+                cost = np.zeros(len(key))
+                cost[known] = log_p[at[known]]
+                sums = np.concatenate([[0.0], np.cumsum(cost)])
+                far = _rest(key[~known], tv.row_of(off)[~known], s.rows)
                 ws, we, woff = s.words(tv.NONSPACE)
                 h = s.span_hash(ws, we).view(np.int64)
                 row = tv.row_of(woff)
                 at = table.find(h)
                 known = at >= 0
                 base = np.bincount(row[known], log_words[at[known]], s.rows) if known.any() else np.zeros(s.rows)
-                rest, rest_row = h[~known], row[~known]
-                order = np.lexsort((rest, rest_row))
-                rest, rest_row = rest[order], rest_row[order]
-                new = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (rest_row[1:] != rest_row[:-1]))) if len(rest) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(rest)))
-                cut = np.searchsorted(rest_row[new], np.arange(1, s.rows))
+                rest, times = _rest(h[~known], row[~known], s.rows)
                 cols[0] += np.diff(woff).tolist()
                 cols[1] += np.bincount(row[known], minlength=s.rows).tolist()
                 cols[2] += base.tolist()
                 cols[3] += ((sums[off[1:]] - sums[off[:-1]]) / np.log(10)).tolist()
-                cols[4] += np.split(rest[new], cut)
-                cols[5] += np.split(times, cut)
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["row_id", "doc_id", "n_words", "n_top", "base", "score", "rest", "times"])
+                for held, x in zip(cols[4:], (rest, times, *far), strict=True):
+                    held += x
+            longs = pa.list_(pa.int64())
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), longs, longs, longs, longs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["row_id", "doc_id", "n_words", "n_top", "base", "score", "rest", "times", "grams", "gram_times"])
 
     return run
 
@@ -255,27 +334,20 @@ def _frequent(df: DataFrame, most: int) -> DataFrame:
     return df.where(F.lit(False)) if least is None else df.where(bucket >= least)
 
 
-def fit(texts: DataFrame, max_grams: int = 1_000_000) -> tuple[DataFrame, Trie, int, int, int]:
-    """(stored counts, trie, tokens N, distinct V, texts) of a DataFrame with a column ``text``."""
+def fit(texts: DataFrame, max_grams: int = 1_000_000) -> tuple[DataFrame, Grams, int, int, int]:
+    """(stored counts, whole trie, tokens N, distinct V, texts) of a DataFrame with a column ``text``."""
     counts = scratch.table(texts.select("text").mapInArrow(tv.tidy(_count), "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c")), "counts")
     stats = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     n_texts = int(stats[TEXTS]["n"]) if TEXTS in stats else 0
     n = n_texts + (int(stats[TOKEN]["n"]) if TOKEN in stats else 0)
     v = (n_texts > 0) + (int(stats[TOKEN]["v"]) if TOKEN in stats else 0)
     level = counts.where(F.col("kind") == GRAM).select(F.lit(ORDER).alias("k"), "key", "c")
-    levels, stored = [level], []
+    levels = {ORDER: level}
     for k in range(ORDER - 1, -1, -1):  # each order from the next, which is many times smaller than the texts
         key = F.expr(f"(((key >> 9) & {(1 << (8 * k)) - 1}) << 9) | (key & 511)")
         level = scratch.table(level.groupBy(key.alias("key")).agg(F.sum("c").alias("c")).select(F.lit(k).alias("k"), "key", "c"), "grams")
-        levels.append(level)
-        stored.append(level)
-    grams = levels[0]
-    for x in levels[1:]:
-        grams = grams.union(x)
-    t = _frequent(grams, max_grams).toArrow()
-    k, key, c = (t.column(x).to_numpy() for x in ("k", "key", "c"))
-    scratch.drop(*stored)
-    return counts, Trie({i: (key[k == i], c[k == i]) for i in range(ORDER + 1)}), n, v, n_texts
+        levels[k] = level
+    return counts, Grams(texts.sparkSession, levels, max_grams), n, v, n_texts
 
 
 def score(docs: DataFrame, texts: DataFrame, max_grams: int = 1_000_000, max_words: int = 200_000) -> DataFrame:
@@ -284,21 +356,24 @@ def score(docs: DataFrame, texts: DataFrame, max_grams: int = 1_000_000, max_wor
     Columns: doc_id, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
-    counts, trie, n, v, n_texts = fit(texts, max_grams)
+    counts, grams, n, v, n_texts = fit(texts, max_grams)
     words = counts.where(F.col("kind") == TOKEN).select("key", "c")
     top = _frequent(words, max_words).toArrow()
     top_of = spark.sparkContext.broadcast((top.column("key").to_numpy(), np.log10(top.column("c").to_numpy() + 1.0)))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = scratch.table(rows.mapInArrow(tv.tidy(_score(spark.sparkContext.broadcast(trie), top_of)), "row_id long, doc_id long, n_words long, n_top long, base double, score double, rest array<long>, times array<long>"), "scored")
+    scored = scratch.table(rows.mapInArrow(tv.tidy(_score(spark.sparkContext.broadcast(grams.top), top_of)), "row_id long, doc_id long, n_words long, n_top long, base double, score double, rest array<long>, times array<long>, grams array<long>, gram_times array<long>"), "scored")
     rest = scored.select("row_id", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row_id", F.col("x.rest").alias("key"), F.col("x.times").alias("times"))
     found = rest.join(words, "key").groupBy("row_id").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("known"))
+    far = scored.select("row_id", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row_id", F.col("x.grams").alias("key"), F.col("x.gram_times").alias("times"))
+    log_p = scratch.table(grams.resolve(far.select("key").distinct()), "log_p")
+    far = far.join(log_p, "key").groupBy("row_id").agg((F.sum(F.col("times") * F.col("log_p")) / float(np.log(10))).alias("far"))
     tokens = F.col("n_words") + 1
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) + float(np.log10(n_texts + 1.0)) - tokens * float(np.log10(n + v + 1.0))
-    return scored.drop("rest", "times").join(found, "row_id", "left").select(
+    return scored.drop("rest", "times", "grams", "gram_times").join(found, "row_id", "left").join(far, "row_id", "left").select(
         "doc_id",
         tokens.alias("n_tokens"),
         (F.col("n_top") + F.coalesce("known", F.lit(0)) + (1 if n_texts else 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("far", F.lit(0.0))).alias("score"),
     )

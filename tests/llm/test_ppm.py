@@ -82,6 +82,17 @@ def test_sums_to_one_after_pruning(spark):
             assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_small_broadcast_loses_nothing(spark):
+    rows = [(r[0], r[1] if r[1] is None else r[1][:1500]) for r in fx.odd_documents()]
+    train = [t for i, t in rows if i % 3]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = brute_model(train)
+    want = sorted((i, brute_score(counts, t)) for i, t in rows)
+    for most in (0, 500):
+        got = sorted((r["doc_id"], r["score"]) for r in ppm.score(df, df.where("doc_id % 3 <> 0"), max_grams=most).collect())
+        assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-5)
+
+
 def test_no_training_text_and_empty(spark):
     df = spark.createDataFrame([(1, "ab c")], "doc_id long, text string")
     (row,) = ppm.score(df, df.where("false")).collect()

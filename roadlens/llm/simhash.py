@@ -4,7 +4,9 @@ A text is the set of its 5-word shingles (words of ASCII letters and digits and
 A-Z as a-z; a text of 1 to 4 words is one shingle).  Its fingerprint has 128 SimHash bits.  Two texts
 link if the shingle sets' Jaccard similarity is at least 0.8; classes are the linked components.
 
-A second fingerprint of 128 bits is asked only of found pairs, before their texts are fetched.
+A second fingerprint of 128 bits is asked only of found pairs, before their texts are fetched.  The
+thresholds of both let similar pairs pass; texts of at most ``FEW`` shingles, whose bits agree less at
+the same similarity, are also searched among themselves by a plan of their own.
 
 Search (May and Ozerov, EUROCRYPT 2015): the coordinates are split at random into strips; a list is
 filtered to the fingerprints whose weight on a strip, relative to a random centre, is small; each
@@ -41,8 +43,11 @@ from .components import components
 BITS = 128
 SHINGLE = 5
 SIMILARITY = 0.8
-NEAR = 30  # bits in which fingerprints of texts of similarity 0.8 differ at most (19.4 +- 4.1 expected: 99.5 %)
-SURE = 52  # the same over 256 bits (38.8 +- 5.7: 99.2 %), asked of a pair before its texts are fetched
+NEAR = 36  # bits in which fingerprints of texts of similarity 0.8 differ at most (19.4 +- 4.1 expected: 99.99 %)
+FEW = 25  # shingles up to which texts are searched a second time, as ties of few bits flip more
+FEW_FLIP = 0.1875  # how often a bit differs between 4 shingles and those with a fifth, the worst case of similarity 0.8
+FEW_NEAR = 40  # NEAR of that search (24 +- 4.4: 99.98 %)
+SURE = 76  # bits over 256 (48 +- 6.2 in the worst case: over 99.999 %), asked of a pair before its texts are fetched
 LIST = 8192
 
 
@@ -70,6 +75,7 @@ def _fingerprints(batches):
     for batch in batches:
         f = np.zeros((batch.num_rows, 4), np.int64)
         some = np.zeros(batch.num_rows, bool)
+        few = np.zeros(batch.num_rows, bool)
         for s in tv.slices(batch.column(2), 1 << 19):
             row, h = _sets(s)
             if not len(row):
@@ -81,8 +87,9 @@ def _fingerprints(batches):
             count = np.diff(np.append(at, len(row)))
             f[s.first + row[at]] = np.packbits(2 * ones > count[:, None], axis=1).view(np.int64)
             some[s.first + row[at]] = True
+            few[s.first + row[at]] = count <= FEW
         off = ~some
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(f[:, i].copy(), mask=off) for i in range(4))], names=["doc_id", "key", "f0", "f1", "f2", "f3"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(f[:, i].copy(), mask=off) for i in range(4)), pa.array(few)], names=["doc_id", "key", "f0", "f1", "f2", "f3", "few"])
 
 
 def _tail(m: int, w: int, p: float) -> tuple[float, float]:
@@ -98,10 +105,10 @@ def _tail(m: int, w: int, p: float) -> tuple[float, float]:
     return q, both / q if q else 0.0
 
 
-def plan(n: int, recall: float = 0.98, similarity: float = SIMILARITY) -> dict:
+def plan(n: int, recall: float = 0.98, similarity: float = SIMILARITY, least_flip: float = 0.0) -> dict:
     """Strips, weight, centres a strip and repetitions for n fingerprints."""
     cosine = 2 * similarity / (1 + similarity)
-    p = math.acos(cosine) / math.pi
+    p = max(least_flip, math.acos(cosine) / math.pi)
     best = None
     for t in (2, 3, 4):
         m = BITS // t
@@ -190,8 +197,8 @@ def _deal(filters_of, blocks_of, drop_of=None):
     return run
 
 
-def _compare(f: np.ndarray, node: np.ndarray, block: np.ndarray, cross: bool, root: np.ndarray, all_pairs: bool):
-    """Pairs of one list (or pair of blocks) with fingerprints at most NEAR bits apart."""
+def _compare(f: np.ndarray, node: np.ndarray, block: np.ndarray, cross: bool, root: np.ndarray, all_pairs: bool, near: int):
+    """Pairs of one list (or pair of blocks) with fingerprints at most ``near`` bits apart."""
     n = len(node)
     out = []
     for lo in range(0, n, 256):
@@ -207,17 +214,17 @@ def _compare(f: np.ndarray, node: np.ndarray, block: np.ndarray, cross: bool, ro
             bad |= node[lo:hi, None] > node[None, :]
         d[bad] = 255
         if all_pairs:
-            i, j = np.nonzero(d <= NEAR)
+            i, j = np.nonzero(d <= near)
         else:
             j = d.argmin(1)
-            i = np.flatnonzero(d[np.arange(hi - lo), j] <= NEAR)
+            i = np.flatnonzero(d[np.arange(hi - lo), j] <= near)
             j = j[i]
         if len(i):
             out.append(np.stack([np.minimum(node[lo + i], node[j]), np.maximum(node[lo + i], node[j])], 1))
     return out
 
 
-def _search(all_pairs: bool):
+def _search(all_pairs: bool, near: int):
     """Entries sorted by (list, cell) to distinct candidate pairs (a, b)."""
 
     def run(batches):
@@ -231,7 +238,7 @@ def _search(all_pairs: bool):
             if all_pairs:
                 o = np.argsort(root, kind="stable")
                 block, node, f0, f1, root = block[o], node[o], f0[o], f1[o], root[o]
-            found.extend(_compare(np.stack([f0, f1], 1).view(np.uint64), node, block, cell[0] > 0 and (cell[0] - 1) >> 24 != (cell[0] - 1) & ((1 << 24) - 1), root, all_pairs))
+            found.extend(_compare(np.stack([f0, f1], 1).view(np.uint64), node, block, cell[0] > 0 and (cell[0] - 1) >> 24 != (cell[0] - 1) & ((1 << 24) - 1), root, all_pairs, near))
 
         def drain():
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
@@ -309,7 +316,7 @@ def _blocks(entries: DataFrame, limit: int):
     return key[order], nb[order]
 
 
-def _candidates(nodes: DataFrame, filters_of, limit: int, all_pairs: bool) -> DataFrame:
+def _candidates(nodes: DataFrame, filters_of, limit: int, all_pairs: bool, near: int = NEAR) -> DataFrame:
     """Distinct candidate pairs among nodes (node, f0, f1, root)."""
     spark = nodes.sparkSession
     entries = nodes.mapInArrow(tv.tidy(_deal(filters_of, None)), ENTRY)
@@ -317,7 +324,7 @@ def _candidates(nodes: DataFrame, filters_of, limit: int, all_pairs: bool) -> Da
     if len(large[0]):
         entries = nodes.mapInArrow(tv.tidy(_deal(filters_of, spark.sparkContext.broadcast(large))), ENTRY)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(parts, "list", "cell").sortWithinPartitions("list", "cell").mapInArrow(tv.tidy(_search(all_pairs)), "a long, b long").distinct()
+    return entries.repartition(parts, "list", "cell").sortWithinPartitions("list", "cell").mapInArrow(tv.tidy(_search(all_pairs, near)), "a long, b long").distinct()
 
 
 def _sure(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -328,22 +335,31 @@ def _sure(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def links(reps: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, recall: float = 0.98, limit: int = LIST) -> DataFrame:
-    """(node, root) of the linked ones of reps (node, f0 to f3); texts has each node's text."""
+    """(node, root) of the linked ones of reps (node, f0 to f3, few); texts has each node's text."""
     spark = reps.sparkSession
     n = reps.count()
     filters_of = spark.sparkContext.broadcast(Filters(plan(max(2, n), recall, similarity)))
-    deal = reps.select("node", "f0", "f1", F.col("node").alias("root")).repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 2000))))
-    first = scratch.table(_candidates(deal, filters_of, limit, False), "near")
+    n_few = reps.where("few").count()
+    few_of = spark.sparkContext.broadcast(Filters(plan(max(2, n_few), recall, similarity, FEW_FLIP)))
+
+    def search(nodes: DataFrame, all_pairs: bool) -> DataFrame:
+        found = _candidates(nodes.drop("few"), filters_of, limit, all_pairs)
+        if not n_few:
+            return found
+        return found.union(_candidates(nodes.where("few").drop("few"), few_of, limit, all_pairs, FEW_NEAR)).distinct()
+
+    deal = reps.select("node", "f0", "f1", F.col("node").alias("root"), "few").repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 2000))))
+    first = scratch.table(search(deal, False), "near")
     active = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     packed = texts.where("text is not null").mapInArrow(tv.tidy(_zip), "node long, z binary")
     # by sort and merge at every size: what is right for a large corpus is what small ones test
     own = scratch.table(packed.join(active.hint("merge"), "node"), "texts")
     good = scratch.table(verified(_sure(first, reps), own, similarity), "links")
     roots = components(good)
-    again = active.join(reps, "node").join(roots, "node", "left").select("node", "f0", "f1", F.coalesce("root", "node").alias("root"))
+    again = active.join(reps, "node").join(roots, "node", "left").select("node", "f0", "f1", F.coalesce("root", "node").alias("root"), "few")
     again = scratch.table(again, "active")
     # the pairs of pass one that failed are known; what is left has different roots
-    rest = _candidates(again, filters_of, limit, True).join(first, ["a", "b"], "left_anti")
+    rest = search(again, True).join(first, ["a", "b"], "left_anti")
     more = scratch.table(verified(_sure(rest, reps), own, similarity), "links")
     return components(good.union(more))
 
@@ -352,9 +368,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = 0.9
     """One row per document: doc_id, class_id (least doc_id of the class) and kept (doc_id = class_id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = docs.select("doc_id", F.when(F.col("text").isNull(), F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).otherwise(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
-    prints = scratch.table(keyed.mapInArrow(tv.tidy(_fingerprints), "doc_id long, key string, f0 long, f1 long, f2 long, f3 long"), "prints")
-    equal = scratch.table(prints.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(4))), "equal")
-    roots = links(equal.where("f0 is not null").select("node", "f0", "f1", "f2", "f3"), docs.select(F.col("doc_id").alias("node"), "text").where("node is not null"), similarity, recall, limit)
+    prints = scratch.table(keyed.mapInArrow(tv.tidy(_fingerprints), "doc_id long, key string, f0 long, f1 long, f2 long, f3 long, few boolean"), "prints")
+    equal = scratch.table(prints.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(4)), F.min("few").alias("few")), "equal")
+    roots = links(equal.where("f0 is not null").select("node", "f0", "f1", "f2", "f3", "few"), docs.select(F.col("doc_id").alias("node"), "text").where("node is not null"), similarity, recall, limit)
     named = equal.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class_id"))
     out = prints.where("doc_id is not null").select("doc_id", "key").join(named, "key").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     return out.union(prints.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(False)))

@@ -91,6 +91,19 @@ def test_plan_reaches_its_recall():
     assert found.mean() > 0.95
 
 
+def test_borderline_pairs_with_the_production_recall(spark):
+    rng = random.Random(8)
+    rows, pairs = [], {8: 300, 16: 100, 64: 100}  # words of the shorter text; a fourth as many shingles more make 0.8
+    for n, times in pairs.items():
+        for _ in range(times):
+            w = [f"v{rng.randrange(10**9)}" for _ in range(n + (n - 4) // 4)]
+            rows += [(len(rows), " ".join(w[:n])), (len(rows) + 1, " ".join(w))]
+    size = [n for n, times in pairs.items() for _ in range(times)]
+    linked = {d for d, c, _ in run(spark, rows) if d % 2 and c == d - 1}
+    for n, times in pairs.items():
+        assert sum(size[d // 2] == n for d in linked) >= 0.96 * times
+
+
 def test_components(spark):
     edges = [(9, 8), (8, 7), (7, 1), (3, 3), (20, 21), (22, 21), (5, 4)] + [(100 + i, 101 + i) for i in range(40)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())

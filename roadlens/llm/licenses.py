@@ -4,7 +4,7 @@ DataFrame functions only.  A file is compared as its lines, as its paragraphs (l
 without a letter or digit, comment marks not counting, which is what a wrapped header is) and as a
 whole (a licence file).  Templates are notices, headings and full short licences.
 
-A unit's weights are tf * idf (idf over the templates; terms of no template weigh most).  With K the
+A unit's weights are (1 + ln tf) * idf (idf over the templates; terms of no template weigh most).  With K the
 norm of its terms that any template has and N the norm of all, no cosine exceeds K / N
 (Cauchy-Schwarz); a unit for which that bound is below the threshold goes, within its row, before
 anything is exploded.  That loses nothing, and few units are left.  Their terms are exploded once per
@@ -101,13 +101,13 @@ def weights(templates=None) -> tuple[list[tuple[str, str, float]], dict[str, flo
     idf = {x: math.log((1 + n) / (1 + d)) + 1 for x, d in df.items()}
     rows = []
     for i, t in enumerate(terms):
-        w = {x: t.count(x) * idf[x] for x in set(t)}
+        w = {x: (1 + math.log(t.count(x))) * idf[x] for x in set(t)}
         norm = math.sqrt(sum(v * v for v in w.values()))
         rows += [(f"{templates[i][0]}#{i:03d}", x, v / norm) for x, v in sorted(w.items())]
     return rows, idf, math.log(1 + n) + 1
 
 
-def _units(text, known: dict[float, list[str]], other: float, threshold: float):
+def _units(text, idf: dict[str, float], other: float, threshold: float):
     """The text's units (kind, number, bytes, terms) that the bound K / N lets pass, as an array column."""
     paragraphs = F.split(text, PARAGRAPH)
 
@@ -117,28 +117,32 @@ def _units(text, known: dict[float, list[str]], other: float, threshold: float):
     blocks = F.transform(F.filter(paragraphs, lambda x: x.contains("\n")), lambda x, i: unit("block", i, x))
     once = F.when(F.size(paragraphs) > 1, F.array(unit("whole", F.lit(0), text))).otherwise(F.array())
     units = F.concat(F.transform(F.split(text, "\n"), lambda x, i: unit("line", i, x)), blocks, once)
-    everything = [t for ts in known.values() for t in ts]
+    by_idf: dict[float, list[str]] = {}
+    for t, w in sorted(idf.items()):
+        by_idf.setdefault(w, []).append(t)
 
     def idf2(t):
         out = None
-        for weight, ts in known.items():
-            out = (F.when if out is None else out.when)(t.isin(ts), F.lit(weight * weight))
+        for w, ts in sorted(by_idf.items()):
+            out = (F.when if out is None else out.when)(t.isin(ts), F.lit(w * w))
         return out
 
-    def add(s, t):
-        run = F.when(s["last"] == t, s["run"] + 1).otherwise(F.lit(1))  # (sum of 2 run - 1 over a run of n) = n * n
-        return F.struct(t.alias("last"), run.alias("run"), (s["k2"] + (2 * run - 1) * idf2(t)).alias("k2"))
-
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("k2"))
+    known = F.transform(units, lambda u: F.struct(*(u[c].alias(c) for c in ("kind", "number", "bytes", "terms")), F.filter(u["terms"], lambda t: t.isin(sorted(idf))).alias("mine")))
     least = (threshold - 1e-6) ** 2
 
     def passes(u):
-        mine = F.filter(u["terms"], lambda t: t.isin(everything))
-        strange = (F.size(u["terms"]) - F.size(mine)) * (other * other)
-        k2 = F.aggregate(F.array_sort(mine), start, add, lambda s: s["k2"])
-        return (F.size(mine) > 0) & (k2 * (1 - least) >= strange * least)
+        def square(run):  # of the damped count
+            return F.when(run > 0, F.pow(1 + F.log(run), F.lit(2.0))).otherwise(0.0)
+
+        def add(s, t):  # over the sorted terms, each run adds up to the square of its damped length
+            run = F.when(s["last"] == t, s["run"] + 1).otherwise(F.lit(1))
+            return F.struct(t.alias("last"), run.alias("run"), (s["k2"] + idf2(t) * (square(run) - square(run - 1))).alias("k2"))
 
-    return F.filter(units, passes)
+        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("k2"))
+        strange = (F.size(F.array_distinct(u["terms"])) - F.size(F.array_distinct(u["mine"]))) * (other * other)
+        return F.aggregate(F.array_sort(u["mine"]), start, add, lambda s: s["k2"] * (1 - least) >= strange * least)
+
+    return F.filter(known, lambda u: (F.size(u["mine"]) > 0) & passes(u))
 
 
 def lines(files: DataFrame, threshold: float = THRESHOLD, templates=None) -> DataFrame:
@@ -148,15 +152,12 @@ def lines(files: DataFrame, threshold: float = THRESHOLD, templates=None) -> Dat
     """
     spark = files.sparkSession
     rows, idf, other = weights(templates)
-    by_idf: dict[float, list[str]] = {}
-    for t, w in sorted(idf.items()):
-        by_idf.setdefault(w, []).append(t)
     values = ", ".join(f"('{k}', '{t}', {w!r}D, {idf[t]!r}D)" for k, t, w in rows)
     table = spark.sql(f"SELECT * FROM VALUES {values} AS t(template, term, w, idf)")  # a local table, no Python anywhere
     unit = ["key", "kind", "number"]
-    own = files.select("key", F.explode(_units(F.col("text"), by_idf, other, threshold)).alias("u")).select("key", "u.*").dropDuplicates(unit)
+    own = files.select("key", F.explode(_units(F.col("text"), idf, other, threshold)).alias("u")).select("key", "u.kind", "u.number", "u.bytes", "u.terms").dropDuplicates(unit)
     terms = own.select(*unit, "bytes", F.explode("terms").alias("term"))
-    tf = terms.groupBy(*unit, "bytes", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    tf = terms.groupBy(*unit, "bytes", "term").agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
     known = F.broadcast(table.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "w")).alias("in_templates")))
     q = tf.join(known, "term", "left").select(*unit, "bytes", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("q"), "in_templates")
     norm = q.groupBy(*unit).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
@@ -205,7 +206,7 @@ units AS (SELECT id, 'line' AS kind, unnest(string_split(text, chr(10))) AS u, g
   UNION ALL SELECT id, 'whole', text, 0 FROM files JOIN blocks USING (id) WHERE len(ps) > 1),
 own AS (SELECT id, kind, number, u, strlen(u) AS bytes FROM units WHERE kind <> 'block' OR contains(u, chr(10))),
 terms AS (SELECT id, kind, number, bytes, unnest(string_split_regex(lower(u), '{SPLIT}')) AS term FROM own),
-tf AS (SELECT id, kind, number, bytes, term, count(*)::double AS tf FROM terms WHERE term <> '' GROUP BY ALL),
+tf AS (SELECT id, kind, number, bytes, term, 1 + ln(count(*)) AS tf FROM terms WHERE term <> '' GROUP BY ALL),
 q AS (SELECT id, kind, number, bytes, tf.term, tf * coalesce(k.idf, {other!r}::double) AS q FROM tf LEFT JOIN (SELECT DISTINCT term, idf FROM t) k USING (term)),
 norm AS (SELECT id, kind, number, sqrt(sum(q * q)) AS norm FROM q GROUP BY ALL),
 cosines AS (SELECT q.id, q.kind, q.number, q.bytes, template, round(sum(q * w) / any_value(norm), 6) AS cosine FROM q

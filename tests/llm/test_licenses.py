@@ -18,7 +18,7 @@ for _key, _term, _w in ROWS:
 @functools.cache
 def cosines(unit):
     tf = collections.Counter(t for t in re.split(lic.SPLIT, unit.lower()) if t)
-    q = {t: n * IDF.get(t, OTHER) for t, n in tf.items()}
+    q = {t: (1 + math.log(n)) * IDF.get(t, OTHER) for t, n in tf.items()}
     norm = math.sqrt(sum(v * v for v in q.values())) or 1.0
     return [(-round(sum(q[t] * mine.get(t, 0) for t in q) / norm, 6), k) for k, mine in sorted(MINE.items())]
 

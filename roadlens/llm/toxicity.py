@@ -1,17 +1,19 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings of 4 to 7 characters.  Of the terms of the labelled examples
-those tied to the label by chi-square are kept (feature selection for nearest-neighbour text
-classification), weighted (1 + log tf) * idf and normalised.  Examples lie in blocks of 64 of the
+Terms are all words of the labelled examples; none is dropped but those of weight zero.  A term weighs
+(1 + log tf) * idf * phi, phi being the strength of its tie to the label in the examples (the square root
+of chi-square over their number: supervised term weighting, Debole and Sebastiani, 2003); a word that no
+example has weighs nothing.  Without phi the topic decides which texts are near, not the insult: README
+has the figures.  Vectors are normalised.  Examples lie in blocks of 64 of the
 index; each term knows its largest weight in each block.  A text's bounds for the blocks come from
 those, blocks are scored from the largest bound down, and the search ends when no block can hold a
 nearer example than the k found: the k nearest are exact.  The vote is weighted by similarity and
 mapped to a probability by isotonic regression on the examples' own leave-one-out votes.
 
 Fitting uses at most about ``max_examples`` labelled rows (chosen by a hash), so the
-broadcast index is bounded by that, ``max_terms`` and the terms of a text.  Scoring is one scan.
+broadcast index is bounded by that and the terms of a text.  Scoring is one scan.
 
-Defined cases: a text without any kept term, the null and the empty text among them, gets the
+Defined cases: a text without any known term, the null and the empty text among them, gets the
 examples' label rate among texts without terms; with no labelled rows every score is 0; equal
 similarities go to the earlier example of the index; extra columns are ignored.
 """
@@ -27,21 +29,13 @@ from pyspark.sql import functions as F
 from . import scratch
 from . import textvec as tv
 
-PREFIXES = (4, 5, 6, 7)
 BLOCK = 64
 
 
-def _terms(s: tv.Slice) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, rows) of all words and of word beginnings."""
+def _terms(s: tv.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, rows) of all words."""
     ws, we, off = s.words(tv.ALPHA)
-    row = tv.row_of(off)
-    out = [(s.span_hash(ws, we), row)]
-    chars = np.append(np.flatnonzero((s.buf & 0xC0) != 0x80), len(s.buf))
-    lo, hi = np.searchsorted(chars, ws), np.searchsorted(chars, we)
-    for n in PREFIXES:
-        i = np.flatnonzero(hi - lo > n)
-        out.append((tv.mix(s.span_hash(ws[i], chars[lo[i] + n]) + tv.COMBINE[n]), row[i]))
-    return out
+    return s.span_hash(ws, we), tv.row_of(off)
 
 
 def _lowered(col):
@@ -63,8 +57,7 @@ def _document_counts(batches):
     for batch in batches:
         label = batch.column(1).to_numpy()
         for s in tv.slices(_lowered(batch.column(0))):
-            parts = _terms(s)
-            h, row, _ = _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            h, row, _ = _distinct(*_terms(s))
             y = label[s.first + row]
             u, of = np.unique(h, return_inverse=True)
             if len(u):
@@ -73,29 +66,23 @@ def _document_counts(batches):
 
 
 class Terms:
-    """The kept terms, sorted by hash, with their idf."""
+    """The terms, sorted by hash, with their weights (idf * phi)."""
 
-    def __init__(self, hashes: np.ndarray, idf: np.ndarray):
+    def __init__(self, hashes: np.ndarray, weight: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.idf = hashes[order], idf[order]
-        self.filter = np.zeros(1 << 16, bool)
-        self.filter[(self.hashes >> tv.U64(48)).astype(np.int64)] = True
+        self.hashes, self.weight = hashes[order], weight[order]
 
     def vectors(self, s: tv.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each row: offsets, term numbers and normalised weights."""
-        hs, rows = [], []
-        if len(self.hashes):
-            for h, row in _terms(s):
-                i = np.flatnonzero(self.filter[(h >> tv.U64(48)).astype(np.int64)])
-                at = np.minimum(np.searchsorted(self.hashes, h[i]), len(self.hashes) - 1)
-                ok = self.hashes[at] == h[i]
-                hs.append(at[ok])
-                rows.append(row[i[ok]])
-        t, row, tf = _distinct(np.concatenate(hs) if hs else np.zeros(0, np.int64), np.concatenate(rows) if rows else np.zeros(0, np.int64))
-        w = (1 + np.log(tf)) * self.idf[t] if len(t) else np.zeros(0)
-        norm = np.sqrt(np.bincount(row, w * w, s.rows)) if len(t) else np.zeros(s.rows)
-        w = w / norm[row] if len(t) else w
-        return np.searchsorted(row, np.arange(s.rows + 1)), t, w
+        h, row, tf = _distinct(*_terms(s))
+        if not len(h) or not len(self.hashes):
+            return np.zeros(s.rows + 1, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        t = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        ok = self.hashes[t] == h
+        t, row, tf = t[ok], row[ok], tf[ok]
+        w = (1 + np.log(tf)) * self.weight[t]
+        norm = np.sqrt(np.bincount(row, w * w, s.rows))
+        return np.searchsorted(row, np.arange(s.rows + 1)), t, w / norm[row]
 
 
 class Index:
@@ -111,13 +98,13 @@ class Index:
         w = np.array([x for v in vectors for x in v[1]], np.float64)
         e = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
         order = np.lexsort((e, t))
-        t, self.w, self.e = t[order], w[order], e[order]
+        t, self.w, self.e = t[order], w[order], e[order].astype(np.int32)
         self.at = np.searchsorted(t, np.arange(terms + 1))
         self.blocks = -(-self.n // BLOCK)
         key = t * max(1, self.blocks) + self.e // BLOCK
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         self.most = np.maximum.reduceat(self.w, new) if len(new) else np.zeros(0)
-        self.block = self.e[new] // BLOCK
+        self.block = self.e[new] // BLOCK if len(new) else np.zeros(0, np.int32)
         self.block_at = np.searchsorted(t[new], np.arange(terms + 1))
         self.begin = np.append(new, len(t))
 
@@ -179,7 +166,7 @@ class Model:
         return float(min(1.0, max(0.0, 0.999 * np.interp(vote, self.x, self.y) + 0.001 * vote)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_terms: int = 1500, least_chi: float = 30.0, k: int = 25) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 5000, k: int = 25) -> Model:
     """Model from the texts of docs (doc_id, text) that labels (doc_id, toxic) marks.
 
     The labels are sampled before any text is met, so they are a table of about ``max_examples`` rows
@@ -198,12 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_term
     if total == 0:
         return Model(Terms(np.zeros(0, np.uint64), np.zeros(0)), Index([], 0, k), 0.0, 0.0)
     counts = sample.select("text", "toxic").mapInArrow(tv.tidy(_document_counts), "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    c, d = n1 - a, n0 - b
-    chi = total * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * float(max(1, n1)) * float(max(1, n0)))
-    kept = counts.where("n0 + n1 >= 4").where(a * n0 > b * n1).withColumn("chi", chi).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "h").limit(max_terms).toArrow()
-    df = kept.column("n0").to_numpy() + kept.column("n1").to_numpy()
-    terms = Terms(kept.column("h").to_numpy().view(np.uint64), np.log(1 + total / np.maximum(df, 1)))
+    seen = counts.toArrow()  # the terms of the examples
+    n_without, n_with = (seen.column(c).to_numpy().astype(np.float64) for c in ("n0", "n1"))
+    df = n_with + n_without
+    least = np.maximum(1.0, df * (total - df) * n0 * n1)  # zero only where phi is zero too
+    phi = np.abs(n_with * (n0 - n_without) - n_without * (n1 - n_with)) / np.sqrt(least)
+    hashes, weight = seen.column("h").to_numpy().view(np.uint64), np.log(1 + total / df) * phi
+    terms = Terms(hashes[weight > 0], weight[weight > 0])
     terms_of = spark.sparkContext.broadcast(terms)
 
     def vectors(batches):

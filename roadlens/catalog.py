@@ -58,16 +58,20 @@ def _orders(spark, sf):
 
 
 def _customers(spark, sf):
-    return read(spark, sf, "customer").select(F.col("c_custkey").alias("key.customer"), F.col("c_name").alias("[Customer].name")).where(col("key.customer") % 5 != 0)
+    """Every fifth customer has a key that no order has."""
+    key = F.when(F.col("c_custkey") % 5 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    return read(spark, sf, "customer").select(key.alias("key.customer"), F.col("c_name").alias("[Customer].name"))
 
 
 def _merged(sql_join: str, **flags):
     def run(spark, sf):
-        out = REL.merge(_customers(spark, sf), _orders(spark, sf).where(col("key.customer") % 7 != 0), **flags)
+        key = col("key.customer")
+        orders = _orders(spark, sf).withColumn("key.customer", F.when(key % 7 == 0, -1_000_000_000 - key).otherwise(key))  # a seventh without a customer
+        out = REL.merge(_customers(spark, sf), orders, **flags)
         return out.select(*(col(c).alias(n) for c, n in (("key.customer", "customer"), ("[Customer].name", "name"), ("key.order", "order_id"), ("[Order].total", "total"))))
 
     sql = f"""SELECT coalesce(c.c_custkey, o.o_custkey) AS customer, c_name AS name, o_orderkey AS order_id, o_totalprice AS total
-FROM (SELECT * FROM customer WHERE c_custkey % 5 <> 0) c {sql_join} JOIN (SELECT * FROM orders WHERE o_custkey % 7 <> 0) o ON c.c_custkey = o.o_custkey"""
+FROM (SELECT * REPLACE (CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS c_custkey) FROM customer) c {sql_join} JOIN (SELECT * REPLACE (CASE WHEN o_custkey % 7 = 0 THEN -1000000000 - o_custkey ELSE o_custkey END AS o_custkey) FROM orders) o ON c.c_custkey = o.o_custkey"""
     return run, sql
 
 
@@ -76,22 +80,22 @@ for _name, _join, _flags in (("merge_inner", "INNER", {}), ("merge_left_nullable
 
 
 @query("""SELECT c_custkey AS customer, c_name AS name, list(o_orderkey ORDER BY o_orderkey) AS order_ids, list(o_totalprice ORDER BY o_orderkey) AS totals
-FROM (SELECT * FROM customer WHERE c_custkey % 5 <> 0) JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2""")
+FROM (SELECT * REPLACE (CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS c_custkey) FROM customer) JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2""")
 def merge_right_group(spark, sf):
     out = REL.merge(_customers(spark, sf), _orders(spark, sf), right_group=True)
     return out.select(col("key.customer").alias("customer"), col("[Customer].name").alias("name"), col("key.order").alias("order_ids"), col("[Order].total").alias("totals"))
 
 
 @query("""SELECT c_custkey AS customer, c_name AS name, len(list(o_orderkey)) AS n_orders, list(o_orderkey ORDER BY o_orderkey)[1] AS first_order
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON c_custkey = o_custkey WHERE c_custkey IS NOT NULL GROUP BY 1, 2""")
+FROM orders LEFT JOIN (SELECT * REPLACE (CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS c_custkey) FROM customer) ON c_custkey = o_custkey WHERE c_custkey IS NOT NULL GROUP BY 1, 2""")
 def merge_left_group(spark, sf):
     out = REL.merge(_orders(spark, sf), _customers(spark, sf), left_group=True)
     return out.select(col("key.customer").alias("customer"), col("[Customer].name").alias("name"), F.size(col("key.order")).cast("long").alias("n_orders"), F.element_at(col("key.order"), 1).alias("first_order"))
 
 
-@query("""SELECT o_custkey AS customer, a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b USING (o_custkey) WHERE o_custkey % 20 = 1""")
+@query("""SELECT o_custkey AS customer, a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b USING (o_custkey)""")
 def merge_product(spark, sf):
-    o = _orders(spark, sf).where(col("key.customer") % 20 == 1)
+    o = _orders(spark, sf)
     a = o.select(col("key.customer").alias("key.customer"), col("key.order").alias("key.a"))
     b = o.select(col("key.customer").alias("key.customer"), col("key.order").alias("key.b"))
     return REL.merge(a, b).select(col("key.customer").alias("customer"), col("key.a").alias("a"), col("key.b").alias("b"))
@@ -118,9 +122,9 @@ def unique_ids(spark, sf):
     return read(spark, sf, "gt_boxes").select("frame", "type").distinct()
 
 
-@query("SELECT frame, id, cx, cy, length FROM {gt} WHERE length > 1.5")
+@query("SELECT frame, id, cx, cy, length FROM {gt}")
 def nest_and_flatten(spark, sf):
-    flat = read(spark, sf, "gt_boxes").where("length > 1.5").select("frame", "id", F.col("cx").alias("box.center.x"), F.col("cy").alias("box.center.y"), F.col("length").alias("box.size.x"))
+    flat = read(spark, sf, "gt_boxes").select("frame", "id", F.col("cx").alias("box.center.x"), F.col("cy").alias("box.center.y"), F.col("length").alias("box.size.x"))
     back = REL.flatten(REL.nest(flat))
     return back.select("frame", "id", col("box.center.x").alias("cx"), col("box.center.y").alias("cy"), col("box.size.x").alias("length"))
 
@@ -130,11 +134,11 @@ def missing_ids(spark, sf):
     return REL.missing_ids(read(spark, sf, "gt_boxes"), read(spark, sf, "pd_boxes"), ["frame", "id"])
 
 
-@query("""SELECT frame, coalesce(n_pd, 0) AS n_pd, coalesce(n_gt, 0) AS n_gt FROM (SELECT frame, count(*) AS n_pd FROM {pd} WHERE score > 0.5 GROUP BY 1)
-FULL JOIN (SELECT frame, count(*) AS n_gt FROM {gt} WHERE frame % 3 <> 0 GROUP BY 1) USING (frame)""")
+@query("""SELECT frame, coalesce(n_pd, 0) AS n_pd, coalesce(n_gt, 0) AS n_gt FROM (SELECT frame, count(*) AS n_pd FROM {pd} GROUP BY 1)
+FULL JOIN (SELECT CASE WHEN frame % 3 = 0 THEN -frame ELSE frame END AS frame, count(*) AS n_gt FROM {gt} GROUP BY 1) USING (frame)""")
 def cogroup_frames(spark, sf):
-    a = read(spark, sf, "pd_boxes").where("score > 0.5").select("frame", "id", "score")
-    b = read(spark, sf, "gt_boxes").where("frame % 3 <> 0").select("frame", "id", "cx")
+    a = read(spark, sf, "pd_boxes").select("frame", "id", "score")
+    b = read(spark, sf, "gt_boxes").select(F.when(F.col("frame") % 3 == 0, -F.col("frame")).otherwise(F.col("frame")).alias("frame"), "id", "cx")
     return REL.cogroup_frames(a, b, ["frame"], ["id"]).select("frame", F.size("left").cast("long").alias("n_pd"), F.size("right").cast("long").alias("n_gt"))
 
 
@@ -502,29 +506,38 @@ def padded_tracks(spark, sf):
     return scenarios.padded(read(spark, sf, "tracks"), ["object"], "step", ["x"], 20)
 
 
-_KEYPOINTS = "(SELECT frame AS obj, part % 14 AS kind, cx AS gx, cy AS gy, cx + turn AS px, cy + discount AS py, points % 3 AS gv, part % 3 AS pv, length + 1 AS scale FROM {gt})"
+_KEYPOINTS = "(SELECT frame AS obj, part % 14 AS kind, cx AS gx, cy AS gy, cx + turn AS px, cy + discount AS py, points % 3 AS gv, part % 3 AS pv, length + 1 AS scale, cx + 1 AS ux, cy AS uy, length / 4 AS sx, CASE WHEN points = 0 THEN 0 ELSE width END AS sy FROM {gt})"
 
 
 def _keypoints(spark, sf):
     c = F.col
-    return read(spark, sf, "gt_boxes").select(c("frame").alias("id"), (c("part") % 14).alias("kind"), c("cx").alias("gx"), c("cy").alias("gy"), (c("cx") + c("turn")).alias("px"), (c("cy") + c("discount")).alias("py"), (c("points") % 3).alias("gv"), (c("part") % 3).alias("pv"), (c("length") + 1).alias("scale"))
+    return read(spark, sf, "gt_boxes").select(c("frame").alias("id"), (c("part") % 14).alias("kind"), c("cx").alias("gx"), c("cy").alias("gy"), (c("cx") + c("turn")).alias("px"), (c("cy") + c("discount")).alias("py"), (c("points") % 3).alias("gv"), (c("part") % 3).alias("pv"), (c("length") + 1).alias("scale"), (c("cx") + 1).alias("bx"), c("cy").alias("by"), (c("length") / 4).alias("sx"), F.when(c("points") == 0, 0.0).otherwise(c("width")).alias("sy"))
 
 
 _E = "sqrt((gx - px) ** 2 + (gy - py) ** 2)"
 
 
-@query(f"SELECT obj AS id, round(avg(exp(-pow({_E}, 2) / (2 * scale ** 2 * (2 * CASE WHEN kind = 1 THEN 0.08 ELSE 0.05 END) ** 2))) FILTER (gv > 0), 6) AS oks FROM {_KEYPOINTS} GROUP BY 1")
+_BOTH = "gv > 0 AND pv > 0"
+_OUT = "pow(greatest(abs(px - ux) - 1.5 * sx, 0), 2) + pow(greatest(abs(py - uy) - 1.5 * sy, 0), 2)"
+
+
+def _oks(sigma: str) -> str:
+    wide = f"(2 * pow(scale * 2 * {sigma}, 2))"
+    return f"""CASE WHEN max(gv) > 0 THEN coalesce(avg(exp(-pow({_E}, 2) / {wide})) FILTER ({_BOTH}), 0) ELSE avg(exp(-({_OUT}) / {wide})) END"""
+
+
+@query(f"SELECT obj AS id, round({_oks('CASE WHEN kind = 1 THEN 0.08 ELSE 0.05 END')}, 6) AS oks FROM {_KEYPOINTS} GROUP BY 1")
 def keypoint_oks(spark, sf):
-    return K.oks(_keypoints(spark, sf), {1: 0.08}).withColumn("oks", r6("oks"))
+    return K.oks(_keypoints(spark, sf), {1: 0.08}).select("id", r6("oks").alias("oks"))
 
 
-@query(f"""SELECT level, round(avg((coalesce(oks, 0) > level)::int), 6) AS precision FROM (SELECT obj, avg(exp(-pow({_E}, 2) / (2 * scale ** 2 * 0.01))) FILTER (gv > 0) AS oks FROM {_KEYPOINTS} GROUP BY 1)
+@query(f"""SELECT level, round(avg((oks > level)::int) FILTER (valid), 6) AS precision FROM (SELECT obj, {_oks('0.05')} AS oks, max(greatest(sx, sy)) > 1e-5 AS valid FROM {_KEYPOINTS} GROUP BY 1)
 CROSS JOIN (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::double AS level) GROUP BY 1""")
 def keypoint_ap(spark, sf):
     return K.average_precision(K.oks(_keypoints(spark, sf), {})).withColumn("precision", r6("precision"))
 
 
-@query(f"SELECT kind, round(avg({_E}), 6) AS mpjpe FROM {_KEYPOINTS} WHERE gv > 0 GROUP BY 1")
+@query(f"SELECT kind, round(coalesce(avg({_E}) FILTER ({_BOTH}), 0), 6) AS mpjpe FROM {_KEYPOINTS} GROUP BY 1")
 def keypoint_mpjpe(spark, sf):
     return K.mpjpe(_keypoints(spark, sf), ["kind"]).withColumn("mpjpe", r6("mpjpe"))
 
@@ -534,21 +547,35 @@ def keypoint_pem(spark, sf):
     return K.pem(_keypoints(spark, sf)).withColumn("pem", r6("pem"))
 
 
-@query(f"SELECT round(count(*) FILTER (gv = 2 AND pv = 2) / count(*) FILTER (pv = 2), 6) AS precision, round(count(*) FILTER (gv = 2 AND pv = 2) / count(*) FILTER (gv = 2), 6) AS recall FROM {_KEYPOINTS} WHERE gv > 0")
+@query(f"SELECT round(count(*) FILTER (gv = 2 AND pv = 2) / count(*) FILTER (pv = 2), 6) AS precision, round(count(*) FILTER (gv = 2 AND pv = 2) / count(*) FILTER (gv = 2), 6) AS recall FROM {_KEYPOINTS}")
 def keypoint_visibility(spark, sf):
     return K.visibility(_keypoints(spark, sf)).select(r6("precision").alias("precision"), r6("recall").alias("recall"))
 
 
-@query(f"SELECT threshold, round(avg(({_E} <= threshold * scale)::int), 6) AS pck FROM {_KEYPOINTS} CROSS JOIN (SELECT unnest([0.05, 0.1, 0.2])::double AS threshold) WHERE gv > 0 GROUP BY 1")
+@query(f"SELECT threshold, round(avg(({_E} / scale <= threshold)::int), 6) AS pck FROM {_KEYPOINTS} CROSS JOIN (SELECT unnest([0.05, 0.1, 0.2])::double AS threshold) WHERE {_BOTH} GROUP BY 1")
 def keypoint_pck(spark, sf):
     return K.pck(_keypoints(spark, sf), [0.05, 0.1, 0.2]).withColumn("pck", r6("pck"))
 
 
-@query()
+_RATER = f"""WITH t AS (SELECT object, step, x, y, vx FROM {{tracks}} WHERE step < 20 AND object IN (SELECT object FROM {{tracks}} GROUP BY 1 HAVING count(*) >= 5)),
+speeds AS (SELECT object, {_SCALE} AS scale FROM (SELECT object, arg_min(vx, step) AS v FROM t GROUP BY 1)),
+moves AS (SELECT object, label, step, x + s AS x, y, x + s - lag(x + s, 1, 0) OVER w AS mx, y - lag(y, 1, 0) OVER w AS my FROM t, (VALUES (0.0::double, 8.0::double), (2.0, 6.0)) AS r(s, label) WINDOW w AS (PARTITION BY object, label ORDER BY step)),
+truth AS (SELECT object, label, last, lat, lon, arg_max(x, step) AS x, arg_max(y, step) AS y, coalesce(arg_max(mx / sqrt(mx * mx + my * my), step) FILTER (mx * mx + my * my > 1e-12), 1) AS dx,
+  coalesce(arg_max(my / sqrt(mx * mx + my * my), step) FILTER (mx * mx + my * my > 1e-12), 0) AS dy FROM moves, (VALUES (11, 1.0, 4.0), (19, 1.8, 7.2)) AS h(last, lat, lon) WHERE step <= last GROUP BY ALL),
+plans AS (SELECT object, last, plan, p, arg_max(x, step) + s AS x, arg_max(y, step) AS y FROM t, (VALUES (0.5, 0.6::double, 0), (3.0, 0.4, 1)) AS q(s, p, plan), (VALUES (11), (19)) AS h(last) WHERE step <= last GROUP BY object, last, plan, p, s),
+near AS (SELECT object, plan, p, label, last, greatest(abs((plans.y - truth.y) * dx - (plans.x - truth.x) * dy) / (lat * scale), abs((plans.x - truth.x) * dx + (plans.y - truth.y) * dy) / (lon * scale)) AS d
+  FROM plans JOIN truth USING (object, last) JOIN speeds USING (object)),
+best AS (SELECT object, plan, p, last, max(label * 0.1 ** greatest(d - 1, 0)) AS v FROM near GROUP BY ALL),
+held AS (SELECT object, plan, bool_or(inside) AS inside FROM (SELECT object, plan, label, max(d) <= 1 AS inside FROM near GROUP BY ALL) GROUP BY ALL),
+scored AS (SELECT object, plan, p, inside, avg(v) AS v FROM best JOIN held USING (object, plan) GROUP BY ALL)
+SELECT object, round(sum(p * CASE WHEN inside THEN v ELSE greatest(v, 4) END), 6) AS score FROM scored GROUP BY 1"""
+
+
+@query(_RATER)
 def rater_scores(spark, sf):
-    """Plans and raters made of tracks of at least five steps; tested on analytic trajectories."""
+    """Plans and raters made of tracks of at least five steps."""
     t = read(spark, sf, "tracks").where("step < 20")
-    pts = t.groupBy("object").agg(F.sort_array(F.collect_list(F.struct("step", "x", "y"))).alias("s"), F.first("vx").alias("speed")).where(F.size("s") >= 5)
+    pts = t.groupBy("object").agg(F.sort_array(F.collect_list(F.struct("step", "x", "y"))).alias("s"), F.min_by("vx", "step").alias("speed")).where(F.size("s") >= 5)
     xy = lambda shift: F.transform("s", lambda p: F.struct((p["x"] + shift).alias("x"), p["y"].alias("y")))
     rows = pts.select("object", F.col("speed"), F.array(F.struct(xy(0.5).alias("points"), F.lit(0.6).alias("p")), F.struct(xy(3.0).alias("points"), F.lit(0.4).alias("p"))).alias("plans"), F.array(F.struct(xy(0.0).alias("points"), F.lit(8.0).alias("label")), F.struct(xy(2.0).alias("points"), F.lit(6.0).alias("label"))).alias("raters"))
     return R.score(rows).select("object", r6("score").alias("score"))

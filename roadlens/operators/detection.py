@@ -18,7 +18,6 @@ from roadlens.operators import breakdown as B
 
 THRESHOLDS = {1: 0.7, 2: 0.5, 3: 0.5, 4: 0.5}
 QUANTUM = 1_000_000  # weights are IoU in millionths
-ROWS = 8000  # boxes, about, of the frames handled by one Arrow call
 
 
 def ground_truths(gt: DataFrame) -> DataFrame:
@@ -100,8 +99,52 @@ COUNTS = "generator string, shard int, level int, cutoff double, tp long, fp lon
 BOX = ["cx", "cy", "cz", "length", "width", "height", "heading"]
 
 
-def _spans(frame: np.ndarray, frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.searchsorted(frame, frames, "left"), np.searchsorted(frame, frames, "right")
+def frame_pairs(p_frame: np.ndarray, g_frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of all pairs of two sides, each sorted by frame, that share a frame."""
+    frames = np.intersect1d(p_frame, g_frame)
+    p0, p1 = np.searchsorted(p_frame, frames, "left"), np.searchsorted(p_frame, frames, "right")
+    g0, g1 = np.searchsorted(g_frame, frames, "left"), np.searchsorted(g_frame, frames, "right")
+    wide, size = g1 - g0, (p1 - p0) * (g1 - g0)
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(p0, size) + inside // np.repeat(wide, size), np.repeat(g0, size) + inside % np.repeat(wide, size)
+
+
+def match_pairs(frame: np.ndarray, i: np.ndarray, j: np.ndarray, weight: np.ndarray, score: np.ndarray, matcher: str, memo: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Matched (i, j) among possible pairs of many frames; memo keeps what was matched before.
+
+    A pair whose two sides have no other partner needs no assignment; only frames with competing pairs
+    are matched one by one, on those.
+    """
+    if not len(i):
+        return i, j
+    many = (np.bincount(i)[i] > 1) | (np.bincount(j)[j] > 1)
+    out_i, out_j = [i[~many]], [j[~many]]
+    if many.any():
+        ci, cj, cw = i[many], j[many], weight[many]
+        cut = np.flatnonzero(np.append(True, frame[ci][1:] != frame[ci][:-1]))
+        for lo, hi in zip(cut, np.append(cut[1:], len(ci)), strict=True):
+            x, y = ci[lo:hi], cj[lo:hi]
+            key = (x.tobytes(), y.tobytes())
+            if key not in memo:
+                rows, cols = np.unique(x), np.unique(y)
+                w = np.zeros((len(rows), len(cols)))
+                w[np.searchsorted(rows, x), np.searchsorted(cols, y)] = cw[lo:hi]
+                match = K.greedy(w, score[rows]) if matcher == "score_first" else K.assign(w)
+                memo[key] = rows[match >= 0], cols[match[match >= 0]]
+            out_i.append(memo[key][0])
+            out_j.append(memo[key][1])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def _members(shards, n: int) -> dict[int, np.ndarray]:
+    """For each shard which rows are in it, from the rows' lists of shards."""
+    size = [len(x) for x in shards]
+    row, shard = np.repeat(np.arange(n), size), np.array([y for x in shards for y in x], int)
+    out = {}
+    for s in np.unique(shard[shard >= 0]):
+        out[int(s)] = np.zeros(n, bool)
+        out[int(s)][row[shard == s]] = True
+    return out
 
 
 def _frame_counts(config: dict):
@@ -115,74 +158,49 @@ def _frame_counts(config: dict):
 
     def run(key, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         p, g = p.sort_values(["frame", "id"]), g.sort_values(["frame", "id"])
-        total: dict[tuple, np.ndarray] = {}
-        frames = np.union1d(p["frame"], g["frame"])
-        (p0, p1), (g0, g1) = _spans(p["frame"].to_numpy(), frames), _spans(g["frame"].to_numpy(), frames)
-        a_all, b_all = p[BOX].to_numpy(float), g[BOX].to_numpy(float)
-        pt_all, gt_all = p["type"].to_numpy(int), g["type"].to_numpy(int)
-        score_all, nlz_all, level_all = p["score"].to_numpy(float), p["nlz"].to_numpy(bool), g["level"].to_numpy(int)
-        ps_all = {x: p[f"s_{x}"].to_numpy() for x in generators}
-        gs_all = {x: g[f"g_{x}"].to_numpy(int) for x in generators}
-        gm_all = {x: g[f"s_{x}"].to_numpy() for x in generators if only[x]}
-        # the overlaps of all frames of the bucket at once; a frame's matrix is a slice
-        np_, ng = p1 - p0, g1 - g0
-        cell = np.append(0, np.cumsum(np_ * ng))
-        inside = np.arange(cell[-1]) - np.repeat(cell[:-1], np_ * ng)
-        wide = np.repeat(np.maximum(ng, 1), np_ * ng)
-        i_all, j_all = np.repeat(p0, np_ * ng) + inside // wide, np.repeat(g0, np_ * ng) + inside % wide
-        flat = np.zeros(cell[-1])
-        if not let:
-            same = np.flatnonzero(pt_all[i_all] == gt_all[j_all])
-            flat[same] = K.pair_iou(a_all[i_all[same]], b_all[j_all[same]], kind)
-        for f in range(len(frames)):
-            pi, gi_ = slice(p0[f], p1[f]), slice(g0[f], g1[f])
-            a, b, pt, gt_ = a_all[pi], b_all[gi_], pt_all[pi], gt_all[gi_]
-            score, nlz, level = score_all[pi], nlz_all[pi], level_all[gi_]
-            overlap = let_iou(a, b, let, kind) if let else flat[cell[f] : cell[f + 1]].reshape(len(a), len(b))
-            overlap[pt[:, None] != gt_[None, :]] = 0
-            affinity = let_affinity(a, b, let) if let else np.ones_like(overlap)
-            need = np.where(pt < len(limit), limit[np.minimum(pt, len(limit) - 1)], np.inf)
-            can = (overlap >= need[:, None]) & (affinity > 0) & (overlap > 0)
-            weight = np.where(can, np.round(overlap * affinity * QUANTUM), 0)
-            ha = 1 - np.abs((a[:, None, 6] - b[None, :, 6] + np.pi) % (2 * np.pi) - np.pi) / np.pi
-            order = np.unique(score)
-            for gen in generators:
-                gs = gs_all[gen][gi_]
-                ps = list(ps_all[gen][pi])
-                gm = list(gm_all[gen][gi_]) if only[gen] else [[x] for x in gs]
-                shards = sorted({x for y in (*ps, *gm) for x in y} - {-1})
-                for shard in shards:
-                    in_p = np.array([shard in x for x in ps], bool)
-                    j = np.flatnonzero(np.array([shard in x for x in gm], bool))
-                    last_n, result = -1, None
-                    for cut in cutoffs:
-                        above = int(np.searchsorted(order, cut))  # cutoffs that pass the same scores match alike
-                        if above != last_n:
-                            last_n = above
-                            i = np.flatnonzero(in_p & (score >= cut))
-                            w = weight[np.ix_(i, j)]
-                            match = K.greedy(w, score[i]) if matcher == "score_first" else K.assign(w)
-                            hit = match >= 0
-                            own_g = j[match[hit]]
-                            own = gs[own_g] == shard if only[gen] else np.ones(len(own_g), bool)
-                            h = ha[i[hit], own_g]
-                            tp = own & (h > least_heading)
-                            miss = i[~hit & ~nlz[i]]
-                            if only[gen] and len(miss) and len(j):
-                                o = overlap[np.ix_(miss, j)]
-                                last = len(j) - 1 - o[:, ::-1].argmax(1)  # ties: the last
-                                other = (o[np.arange(len(miss)), last] >= 0.01) & (gs[j[last]] != shard)
-                                miss = miss[~other]
-                            free = np.ones(len(b), bool)
-                            free[own_g] = False
-                            lost = j[free[j]]
-                            if only[gen]:
-                                lost = lost[gs[lost] == shard]
-                            result = [np.array([tp.sum(), len(miss), (level[lost] <= lv).sum(), h[tp].sum(), affinity[i[hit], own_g][tp].sum()]) for lv in levels]
-                        for lv, r in zip(levels, result, strict=True):
-                            at = (gen, int(shard), int(lv), float(cut))
-                            total[at] = total[at] + r if at in total else r
-        out = [(*k, int(v[0]), int(v[1]), int(v[2]), float(v[3]), float(v[4])) for k, v in total.items()]
+        n, m = len(p), len(g)
+        a, b = p[BOX].to_numpy(float), g[BOX].to_numpy(float)
+        frame, kind_p, kind_g = p["frame"].to_numpy(), p["type"].to_numpy(int), g["type"].to_numpy(int)
+        score, nlz, level = p["score"].to_numpy(float), p["nlz"].to_numpy(bool), g["level"].to_numpy(int)
+        # the overlaps of all pairs of a frame and type, at once
+        i, j = frame_pairs(frame, g["frame"].to_numpy())
+        same = kind_p[i] == kind_g[j]
+        i, j = i[same], j[same]
+        overlap = let_iou(a[i], b[j], let, kind) if let else K.pair_iou(a[i], b[j], kind)
+        affinity = let_affinity(a[i], b[j], let) if let else np.ones(len(i))
+        ha = 1 - np.abs((a[i, 6] - b[j, 6] + np.pi) % (2 * np.pi) - np.pi) / np.pi
+        need = np.where(kind_p < len(limit), limit[np.clip(kind_p, 0, len(limit) - 1)], np.inf)[i]
+        weight = np.round(overlap * affinity * QUANTUM)
+        can = np.flatnonzero((overlap >= need) & (affinity > 0) & (overlap > 0) & (weight > 0))
+        code = i * m + j  # rises with (i, j)
+        out, memo = [], {}
+        for gen in generators:
+            gs = g[f"g_{gen}"].to_numpy(int)
+            in_ps = _members(p[f"s_{gen}"], n)
+            in_gs = _members(g[f"s_{gen}"], m) if only[gen] else {int(s): gs == s for s in np.unique(gs[gs >= 0])}
+            for shard in sorted({*in_ps, *in_gs}):
+                in_p, in_g = in_ps.get(shard, np.zeros(n, bool)), in_gs.get(shard, np.zeros(m, bool))
+                mine = can[in_p[i[can]] & in_g[j[can]]]
+                other = np.zeros(n, bool)  # predictions that overlap most with a truth of another shard (ties: the last)
+                if only[gen]:
+                    k = np.flatnonzero(in_p[i] & in_g[j])
+                    k = k[np.lexsort((j[k], overlap[k], i[k]))]
+                    last = k[np.append(i[k][1:] != i[k][:-1], True)] if len(k) else k
+                    other[i[last]] = (overlap[last] >= 0.01) & (gs[j[last]] != shard)
+                for cut in cutoffs:
+                    act = in_p & (score >= cut)
+                    use = mine[act[i[mine]]]
+                    mi, mj = match_pairs(frame, i[use], j[use], weight[use], score, matcher, memo)
+                    at = np.searchsorted(code, mi * m + mj)
+                    own = gs[mj] == shard if only[gen] else np.ones(len(mj), bool)
+                    tp = own & (ha[at] > least_heading)
+                    miss, lost = act & ~nlz & ~other, in_g.copy()
+                    miss[mi] = False
+                    lost[mj] = False
+                    if only[gen]:
+                        lost &= gs == shard
+                    for lv in levels:
+                        out.append((gen, shard, int(lv), float(cut), int(tp.sum()), int(miss.sum()), int((level[lost] <= lv).sum()), float(ha[at][tp].sum()), float(affinity[at][tp].sum())))
         return pd.DataFrame(out, columns=["generator", "shard", "level", "cutoff", "tp", "fp", "fn", "sum_ha", "sum_la"])
 
     return run
@@ -196,25 +214,24 @@ def _seen(x: np.ndarray, let: dict) -> np.ndarray:
 
 
 def let_affinity(a: np.ndarray, b: np.ndarray, let: dict) -> np.ndarray:
+    """Longitudinal affinity of the pairs a[i], b[i]."""
     p, g = _seen(a, let), _seen(b, let)
     rg = np.maximum(np.linalg.norm(g, axis=1), 1e-6)
-    along = (p @ g.T) / rg[None, :]  # the prediction's range along the ground truth's direction
-    error = np.abs((along - rg[None, :]) / np.maximum(let["tolerance"] * rg, let["least"])[None, :])
-    return np.clip(1 - error, 0, 1)
+    along = (p * g).sum(1) / rg  # the prediction's range along the ground truth's direction
+    return np.clip(1 - np.abs((along - rg) / np.maximum(let["tolerance"] * rg, let["least"])), 0, 1)
 
 
 def let_iou(a: np.ndarray, b: np.ndarray, let: dict, kind: str) -> np.ndarray:
-    """IoU of each prediction, moved along its line of sight towards each ground truth."""
-    i, j = np.divmod(np.arange(len(a) * len(b)), max(1, len(b)))
-    moved, p, g = a[i].copy(), _seen(a, let)[i], _seen(b, let)[j]
+    """IoU of the pairs a[i], b[i], each prediction moved along its line of sight towards the ground truth."""
+    moved, p, g = a.copy(), _seen(a, let), _seen(b, let)
     if let["align"] == "center":
-        moved[:, :2] = b[j, :2]
+        moved[:, :2] = b[:, :2]
     elif let["align"] != "none":
         m = (p * g).sum(1) / np.maximum((p * p).sum(1), 1e-6)
         inner = (m < 1) & (m >= 0)
         m = {"range": m, "further_only": np.where(inner, m, 1), "any_closer_only": np.where(inner, 1, m), "between_origin_and_gt_only": np.maximum(m, 1)}[let["align"]]
         moved[:, :3] = p * m[:, None] + np.array(let["sensor"])
-    return K.pair_iou(moved, b[j], kind).reshape(len(a), len(b))
+    return K.pair_iou(moved, b, kind)
 
 
 def measure(pd_: DataFrame, gt: DataFrame, cutoffs: list[float], generators=("OBJECT_TYPE",), levels=(1, 2), matcher: str = "hungarian", kind: str = "3d", thresholds: dict[int, float] = THRESHOLDS, least_heading: float = 0.0, let: dict | None = None) -> DataFrame:
@@ -233,13 +250,21 @@ def measure(pd_: DataFrame, gt: DataFrame, cutoffs: list[float], generators=("OB
     p = pd_.select(*box, "score", "nlz", *(B.shards_for_matching(g).alias(f"s_{g}") for g in generators))
     g = gt.select(*box, "level", *speed)
     g = g.select(*box, "level", *(B.shards_for_matching(x).alias(f"s_{x}") for x in generators), *(F.coalesce(B.shard(x), F.lit(-1)).alias(f"g_{x}") for x in generators))
-    # a bucket of frames a call: a call costs more than a frame
-    buckets = max(1, -(-(p.count() + g.count()) // ROWS))
-    bucket = F.pmod(F.xxhash64("frame"), F.lit(buckets)).alias("bucket")
+    bucket = buckets(p, "frame")
     found = p.select(bucket, "*").groupBy("bucket").cogroup(g.select(bucket, "*").groupBy("bucket")).applyInPandas(_frame_counts(config), COUNTS)
     return merge_counts(found)
 
 
+def buckets(df: DataFrame, *key: str) -> Column:
+    """A column ``bucket`` of a key's hash: the frames of one Arrow call, as a call costs more than a frame.
+
+    There are eight to each shuffle partition, so that a bucket is an eighth of what the session lets a
+    task hold; nothing is counted.
+    """
+    n = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return F.pmod(F.xxhash64(*key), F.lit(n)).alias("bucket")
+
+
 def merge_counts(*parts: DataFrame) -> DataFrame:
     """Sum counters of any number of partial results."""
     out = parts[0]

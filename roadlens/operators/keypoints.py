@@ -1,7 +1,9 @@
 """Keypoint metrics over long rows: object, point, truth and prediction coordinates, visibility.
 
 Columns: id, kind (point type), gx, gy[, gz], px, py[, pz], gv, pv (0 missing, 1 occluded, 2 visible),
-scale (box volume to the power 1/d).
+scale (box volume to the power 1/d); optionally weight (of a point) and the truth's box: bx, by[, bz]
+(centre) and sx, sy[, sz] (size).  A point counts in errors only where both sides have it; a mean
+without any weight is 0.
 """
 
 from __future__ import annotations
@@ -17,25 +19,76 @@ def error(df: DataFrame) -> Column:
     return F.sqrt(sum(((F.col(f"g{a}") - F.col(f"p{a}")) ** 2 for a in axes), F.lit(0.0)))
 
 
-def oks(points: DataFrame, sigmas: dict[int, float], default: float = 0.05) -> DataFrame:
-    """(id, oks): mean over labelled points of exp(-e^2 / (2 scale^2 (2 sigma)^2)); null without any."""
+def _axes(df: DataFrame) -> str:
+    return "xyz" if "gz" in df.columns else "xy"
+
+
+def shared(df: DataFrame) -> Column:
+    """A point's weight: 0 unless both sides have it."""
+    both = ((F.col("gv") > 0) & (F.col("pv") > 0)).cast("double")
+    return both * F.col("weight") if "weight" in df.columns else both
+
+
+def weighted(value: Column, weight: Column) -> Column:
+    """Weighted mean as an aggregate; 0 without weight."""
+    total = F.sum(weight)
+    return F.coalesce(F.sum(F.when(weight > 0, value * weight)) / F.when(total > 0, total), F.lit(0.0))
+
+
+def displacement(df: DataFrame, enlarge: float = 1.0) -> list[Column]:
+    """The shift of each axis that moves a prediction into the (axis-aligned, enlarged) box."""
+    out = []
+    for a in _axes(df):
+        d, half = F.col(f"p{a}") - F.col(f"b{a}"), F.col(f"s{a}") * (enlarge / 2)
+        out.append(F.greatest(F.least(d, half), -half) - d)
+    return out
+
+
+def _sigma(sigmas: dict[int, float], default: float) -> Column:
     sigma = F.lit(default)
     for k, v in sigmas.items():
         sigma = F.when(F.col("kind") == k, F.lit(v)).otherwise(sigma)
-    var = (2 * sigma) ** 2
-    value = F.exp(-(error(points) ** 2) / (2 * F.col("scale") ** 2 * var))
-    return points.groupBy("id").agg(F.avg(F.when(F.col("gv") > 0, value)).alias("oks"))
+    return sigma
+
+
+def oks(points: DataFrame, sigmas: dict[int, float], default: float = 0.05) -> DataFrame:
+    """(id, oks, valid, weight): mean over points that both sides have of exp(-e^2 / (2 scale^2 (2 sigma)^2)).
+
+    An object without any truth point is scored by how far all its predicted points lie outside a box of
+    three times the size (null where no box is given).  ``valid``: the box has a side over 1e-5.
+    ``weight``: the sum of the object's point weights (1 where none are given).
+    """
+    wide = 2 * (F.col("scale") * 2 * _sigma(sigmas, default)) ** 2
+    similar = lambda square: F.when(wide > 0, F.exp(-square / wide)).otherwise(1.0)
+    boxed = "sx" in points.columns
+    by_box = F.avg(similar(sum((d * d for d in displacement(points, 3.0)), F.lit(0.0)))) if boxed else F.lit(None).cast("double")
+    side = F.greatest(*(F.col(f"s{a}") for a in _axes(points))) if boxed else F.lit(1.0)
+    some = F.max((F.col("gv") > 0).cast("int")) == 1
+    return points.groupBy("id").agg(
+        F.when(some, weighted(similar(error(points) ** 2), shared(points))).otherwise(by_box).alias("oks"),
+        (F.max(side) > 1e-5).alias("valid"),
+        (F.sum("weight") if "weight" in points.columns else F.lit(1.0)).alias("weight"),
+    )
 
 
 def average_precision(scores: DataFrame, levels=OKS_LEVELS) -> DataFrame:
-    """(level, precision) of matched objects whose OKS is above the level; misses and false alarms have OKS 0."""
+    """(level, precision): weighted share of objects with a valid box whose OKS is above the level; misses have OKS 0."""
     each = scores.withColumn("level", F.explode(F.array(*(F.lit(round(x, 4)) for x in levels))))
-    return each.groupBy("level").agg(F.avg((F.coalesce("oks", F.lit(0.0)) > F.col("level")).cast("double")).alias("precision"))
+    weight = F.coalesce("weight", F.lit(1.0)) if "weight" in scores.columns else F.lit(1.0)
+    if "valid" in scores.columns:
+        weight = weight * F.coalesce("valid", F.lit(False)).cast("double")
+    hit = (F.coalesce("oks", F.lit(0.0)) > F.col("level")).cast("double")
+    return each.groupBy("level").agg(weighted(hit, weight).alias("precision"))
+
+
+def mean_average_precision(scores: DataFrame, levels=OKS_LEVELS) -> DataFrame:
+    """(ap): the mean of the levels' precisions."""
+    return average_precision(scores, levels).agg(F.avg("precision").alias("ap"))
 
 
 def mpjpe(points: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Mean error over labelled points."""
-    return points.where("gv > 0").groupBy(*by).agg(F.avg(error(points)).alias("mpjpe"))
+    """Mean error over points that both sides have."""
+    return points.groupBy(*by).agg(weighted(error(points), shared(points)).alias("mpjpe"))
 
 
 def pem(points: DataFrame, mismatch: float = 0.25) -> DataFrame:
@@ -48,19 +101,21 @@ def pem(points: DataFrame, mismatch: float = 0.25) -> DataFrame:
 
 
 def visibility(points: DataFrame) -> DataFrame:
-    """Precision and recall of predicted visible points among labelled ones."""
-    hit = F.sum(((F.col("gv") == 2) & (F.col("pv") == 2)).cast("long"))
-    made, real = F.sum((F.col("pv") == 2).cast("long")), F.sum((F.col("gv") == 2).cast("long"))
-    return points.where("gv > 0").agg(F.when(made > 0, hit / made).alias("precision"), F.when(real > 0, hit / real).alias("recall"))
+    """Precision and recall of predicted visible points, unlabelled points among them; 0 without any."""
+    weight = F.col("weight") if "weight" in points.columns else F.lit(1.0)
+    count = lambda c: F.sum(F.when(c, weight).otherwise(0.0))
+    hit, made, real = count((F.col("gv") > 1) & (F.col("pv") > 1)), count(F.col("pv") > 1), count(F.col("gv") > 1)
+    share = lambda n: F.coalesce(hit / F.when(n > 0, n), F.lit(0.0))
+    return points.agg(share(made).alias("precision"), share(real).alias("recall"))
 
 
 def pck(points: DataFrame, thresholds: list[float], per_kind: dict[int, float] | None = None) -> DataFrame:
-    """(threshold, pck): share of labelled points with error at most threshold * scale * per-kind factor."""
+    """(threshold, pck): share of points that both sides have with error at most threshold * scale * per-kind factor."""
     factor = F.lit(1.0)
     for k, v in (per_kind or {}).items():
         factor = F.when(F.col("kind") == k, F.lit(v)).otherwise(factor)
-    each = points.where("gv > 0").withColumn("_e", error(points)).withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
-    return each.groupBy("threshold").agg(F.avg((F.col("_e") <= F.col("threshold") * F.col("scale") * factor).cast("double")).alias("pck"))
+    each = points.select((error(points) / (F.col("scale") * factor)).alias("_e"), shared(points).alias("_w"), F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
+    return each.groupBy("threshold").agg(weighted((F.col("_e") <= F.col("threshold")).cast("double"), F.col("_w")).alias("pck"))
 
 
 def subsets(points: DataFrame, groups: dict[str, list[int]]) -> DataFrame:
@@ -90,7 +145,7 @@ def match_by_error(gt: DataFrame, pred: DataFrame, penalty: float = 0.25, reach:
     import pandas as pd
 
     from roadlens.functions import kernels as K
-    from roadlens.operators.detection import ROWS
+    from roadlens.operators.detection import buckets
 
     def table(points) -> tuple[np.ndarray, np.ndarray]:
         kept = [p for p in points if p["v"] > 0]
@@ -132,6 +187,5 @@ def match_by_error(gt: DataFrame, pred: DataFrame, penalty: float = 0.25, reach:
                 out += [(f, one["id"].iloc[i], by_p[f]["id"].iloc[j]) for i, j in frame(one, by_p[f])]
         return pd.DataFrame(out, columns=["frame", "gt", "pred"])
 
-    buckets = max(1, -(-(gt.count() + pred.count()) // ROWS))
-    bucket = F.pmod(F.xxhash64("frame"), F.lit(buckets)).alias("bucket")
+    bucket = buckets(gt, "frame")
     return gt.select(bucket, "*").groupBy("bucket").cogroup(pred.select(bucket, "*").groupBy("bucket")).applyInPandas(run, "frame long, gt long, pred long")

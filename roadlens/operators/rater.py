@@ -38,27 +38,39 @@ def direction(points: Column, at: int) -> Column:
 
 
 def score(df: DataFrame) -> DataFrame:
-    """Adds ``score``: over plans, weighted by p, the mean over 3 s and 5 s of the best rater's
+    """Adds ``score``: the sum over plans of p times the mean over 3 s and 5 s of the best rater's
     label * 0.1 ** max(d - 1, 0), d being the larger of lateral and longitudinal error over its
-    threshold; at least 4 where no rater's region (d <= 1) holds the plan."""
+    threshold; the mean is at least 4 unless one rater's region (d <= 1 at both times) holds the plan."""
     scale = speed_scale(F.col("speed"))
+
+    def once(x: Column) -> Column:  # a generator, so that no later expression repeats the work
+        return F.explode(F.array(x))
+
+    def seen(r):
+        return F.struct(r["label"].alias("label"), *(F.struct(F.element_at(r["points"], at + 1).alias("g"), direction(r["points"], at).alias("u")).alias(f"at{at}") for at in AT))
+
     raters = F.transform(F.slice("raters", 1, RATERS), lambda r: F.struct(pad(r["points"]).alias("points"), r["label"].alias("label")))
+    plans = F.transform(F.transform("plans", lambda q: F.struct(pad(q["points"]).alias("points"), q["p"].alias("p"))), lambda q: F.struct(q["p"].alias("p"), *(F.element_at(q["points"], at + 1).alias(f"at{at}") for at in AT)))
+    rows = df.withColumn("_raters", once(F.transform(raters, seen))).withColumn("_plans", once(plans))
 
-    def at_time(plan: Column, at: int) -> Column:
+    def distance(q, r, at: int) -> Column:
         lat, lon = AT[at]
+        g, u = r[f"at{at}"]["g"], r[f"at{at}"]["u"]
+        ex, ey = q[f"at{at}"]["x"] - g["x"], q[f"at{at}"]["y"] - g["y"]
+        return F.greatest(F.abs(ey * u["dx"] - ex * u["dy"]) / (lat * scale), F.abs(ex * u["dx"] + ey * u["dy"]) / (lon * scale))
+
+    def best(q) -> Column:
+        near = F.transform("_raters", lambda r: F.struct(r["label"].alias("label"), *(distance(q, r, at).alias(f"d{at}") for at in AT)))
+        start = F.struct(F.lit(False).alias("inside"), *(F.lit(0.0).alias(f"v{at}") for at in AT))
+
+        def add(t, x):
+            inside = t["inside"]
+            here = F.lit(True)
+            for at in AT:
+                here = here & (x[f"d{at}"] <= 1)
+            return F.struct((inside | here).alias("inside"), *(F.greatest(t[f"v{at}"], x["label"] * F.pow(F.lit(0.1), F.greatest(x[f"d{at}"] - 1, F.lit(0.0)))).alias(f"v{at}") for at in AT))
+
+        mean = lambda t: sum((t[f"v{at}"] for at in AT), F.lit(0.0)) / len(AT)
+        return F.aggregate(near, start, add, lambda t: F.when(t["inside"], mean(t)).otherwise(F.greatest(mean(t), F.lit(FLOOR))))
 
-        def one(r):
-            u = direction(r["points"], at)
-            p, g = F.element_at(plan, at + 1), F.element_at(r["points"], at + 1)
-            ex, ey = p["x"] - g["x"], p["y"] - g["y"]
-            along, side = F.abs(ex * u["dx"] + ey * u["dy"]), F.abs(ey * u["dx"] - ex * u["dy"])
-            d = F.greatest(side / (lat * scale), along / (lon * scale))
-            return F.struct(d.alias("d"), (r["label"] * F.pow(F.lit(0.1), F.greatest(d - 1, F.lit(0.0)))).alias("v"))
-
-        got = F.transform(raters, one)
-        best = F.aggregate(got, F.lit(0.0), lambda t, x: F.greatest(t, x["v"]))
-        return F.when(F.exists(got, lambda x: x["d"] <= 1), best).otherwise(F.greatest(best, F.lit(FLOOR)))
-
-    each = F.transform("plans", lambda p: F.struct(p["p"].alias("p"), (sum((at_time(pad(p["points"]), a) for a in AT), F.lit(0.0)) / len(AT)).alias("v")))
-    total = F.aggregate(each, F.lit(0.0), lambda t, x: t + x["p"])
-    return df.withColumn("score", F.aggregate(each, F.lit(0.0), lambda t, x: t + x["p"] * x["v"]) / F.when(total > 0, total))
+    return rows.withColumn("score", F.aggregate("_plans", F.lit(0.0), lambda t, q: t + q["p"] * best(q))).drop("_raters", "_plans")

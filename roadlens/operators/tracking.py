@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions import kernels as K
-from roadlens.operators.detection import BOX, QUANTUM, ROWS, THRESHOLDS
-
+from roadlens.operators.detection import BOX, QUANTUM, THRESHOLDS, buckets, frame_pairs
 
 
 class Mot:
@@ -77,27 +76,56 @@ class Mot:
 
 
 def _scene(config: dict):
-    def arrays(d: pd.DataFrame, extra: str):
-        d = d.sort_values(["scene", "shard", "frame", "id"])
-        return [d[c].to_numpy() for c in ("scene", "shard", "frame", "id", "type")], d[BOX].to_numpy(float), d[extra].to_numpy()
+    limit = np.full(max(config["thresholds"]) + 1, np.inf)
+    for t, v in config["thresholds"].items():
+        limit[t] = v
 
     def run(key, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        order = ["scene", "shard", "frame", "id"]
+        p, g = p.sort_values(order), g.sort_values(order)
+        both = pd.concat([p[order], g[order]])
+        if g.duplicated(order).any():
+            raise ValueError("a ground truth occurs twice in a frame")
+        p_first = ~p.duplicated(order).to_numpy()  # a repeated prediction is ignored
+        group = both.groupby(order[:2], sort=True).ngroup().to_numpy()
+        step = both.groupby(order[:3], sort=True).ngroup().to_numpy()
+        groups = both[order[:2]].drop_duplicates().sort_values(order[:2]).to_numpy()
+        n = len(p)
+        pg, gg, ps, gs = group[:n], group[n:], step[:n], step[n:]
+        pid, pt, a, score, nlz = (p["id"].to_numpy(), p["type"].to_numpy(int), p[BOX].to_numpy(float), p["score"].to_numpy(float), p["nlz"].to_numpy(bool))
+        gid, gt, b, level = g["id"].to_numpy(), g["type"].to_numpy(int), g[BOX].to_numpy(float), g["level"].to_numpy(int)
+        i, j = frame_pairs(ps, gs)
+        ok = pt[i] == gt[j]
+        i, j = i[ok], j[ok]
+        overlap = K.pair_iou(a[i], b[j], config["kind"])
+        can = (overlap >= np.where(pt < len(limit), limit[np.clip(pt, 0, len(limit) - 1)], np.inf)[i]) & (overlap > 0)
+        i, j, overlap = i[can], j[can], overlap[can]
+        p0, p1 = np.searchsorted(ps, np.arange(step.max() + 1)), np.searchsorted(ps, np.arange(step.max() + 1), "right")
+        g0, g1 = np.searchsorted(gs, np.arange(step.max() + 1)), np.searchsorted(gs, np.arange(step.max() + 1), "right")
+        counted = level <= config["level"]
         out = []
-        (ps, ph, pf, pid, pt), pbox, score = arrays(p, "score")
-        nlz = p.sort_values(["scene", "shard", "frame", "id"])["nlz"].to_numpy(bool)
-        (gs, gh, gf, gid, gt), gbox, level = arrays(g, "level")
-        for scene, shard in sorted(set(zip(ps.tolist(), ph.tolist(), strict=True)) | set(zip(gs.tolist(), gh.tolist(), strict=True))):
-            a, b = np.flatnonzero((ps == scene) & (ph == shard)), np.flatnonzero((gs == scene) & (gh == shard))
-            frames = np.union1d(pf[a], gf[b])
-            for cut in config["cutoffs"]:
-                mot = Mot(config["thresholds"], config["kind"], config["level"])
-                i = a[score[a] >= cut]
-                p0, p1 = np.searchsorted(pf[i], frames), np.searchsorted(pf[i], frames, "right")
-                g0, g1 = np.searchsorted(gf[b], frames), np.searchsorted(gf[b], frames, "right")
-                for f in range(len(frames)):
-                    x, y = i[p0[f] : p1[f]], b[g0[f] : g1[f]]
-                    mot.step(pid[x], pt[x], pbox[x], nlz[x], gid[y], gt[y], gbox[y], level[y])
-                out.append((scene, shard, float(cut), *mot.counts()))
+        for cut in config["cutoffs"]:
+            act = score >= cut
+            k = np.flatnonzero(act[i])
+            busy = np.zeros(step.max() + 1, bool)
+            busy[ps[i[k]]] = True  # frames in which anything may match; others only add to the sums
+            lone_p = np.flatnonzero(act & p_first & ~busy[ps] & ~nlz)
+            lone_g = np.flatnonzero(~busy[gs] & counted)
+            fps, missed = (np.bincount(x, minlength=len(groups)) for x in (pg[lone_p], gg[lone_g]))
+            mots = {}
+            bounds = np.searchsorted(ps[i[k]], np.flatnonzero(busy)), np.searchsorted(ps[i[k]], np.flatnonzero(busy), "right")
+            for f, lo, hi in zip(np.flatnonzero(busy).tolist(), *bounds, strict=True):
+                x = np.arange(p0[f], p1[f])[act[p0[f] : p1[f]]]
+                y = np.arange(g0[f], g1[f])
+                w = np.zeros((len(x), len(y)))
+                w[np.searchsorted(x, i[k[lo:hi]]), j[k[lo:hi]] - g0[f]] = overlap[k[lo:hi]]
+                of = int(pg[x[0]])
+                if of not in mots:
+                    mots[of] = Mot(config["thresholds"], config["kind"], config["level"])
+                mots[of].step(pid[x].tolist(), pt[x], None, nlz[x], gid[y].tolist(), gt[y], None, level[y], w)
+            for of, (scene, shard) in enumerate(groups):
+                c = mots[of].counts() if of in mots else (0, 0, 0, 0, 0, 0.0)
+                out.append((scene, shard, float(cut), c[0] + missed[of], c[1] + fps[of], c[2], c[3], c[4] + missed[of], c[5]))
         return pd.DataFrame(out, columns=["scene", "shard", "cutoff", "misses", "fps", "matches", "mismatches", "objects", "cost"])
 
     return run
@@ -109,8 +137,7 @@ def measure(pd_: DataFrame, gt: DataFrame, cutoffs: list[float], thresholds=THRE
     p = pd_.select("scene", "shard", "frame", "id", "type", *BOX, "score", "nlz")
     g = gt.select("scene", "shard", "frame", "id", "type", *BOX, "level")
     schema = "scene long, shard long, cutoff double, misses long, fps long, matches long, mismatches long, objects long, cost double"
-    buckets = max(1, -(-(p.count() + g.count()) // ROWS))
-    bucket = F.pmod(F.xxhash64("scene", "shard"), F.lit(buckets)).alias("bucket")
+    bucket = buckets(p, "scene", "shard")
     return p.select(bucket, "*").groupBy("bucket").cogroup(g.select(bucket, "*").groupBy("bucket")).applyInPandas(_scene(config), schema)
 
 

@@ -50,23 +50,23 @@ def consistent(latency: DataFrame, submitted: DataFrame, iou: float = 0.9, score
     import pandas as pd
 
     from roadlens.functions import kernels as K
+    from roadlens.operators.detection import buckets, frame_pairs, match_pairs
 
     box = ["cx", "cy", "cz", "length", "width", "height", "heading"]
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("frame"), b.sort_values("frame")
         fa, fb, sa, sb = a["frame"].to_numpy(), b["frame"].to_numpy(), a["score"].to_numpy(float), b["score"].to_numpy(float)
-        xa, xb = a[box].to_numpy(float), b[box].to_numpy(float)
-        hit = 0
-        for f in np.intersect1d(fa, fb):
-            i, j = slice(*np.searchsorted(fa, [f, f + 1])), slice(*np.searchsorted(fb, [f, f + 1]))
-            w = K.iou(xa[i], xb[j], "3d", np.abs(sa[i][:, None] - sb[j][None, :]) <= score)
-            hit += int((K.assign(np.where(w >= iou, w, 0)) >= 0).sum())
+        i, j = frame_pairs(fa, fb)
+        near = np.abs(sa[i] - sb[j]) <= score
+        i, j = i[near], j[near]
+        w = K.pair_iou(a[box].to_numpy(float)[i], b[box].to_numpy(float)[j], "3d")
+        ok = np.flatnonzero((w >= iou) & (w > 0))
+        hit = len(match_pairs(fa, i[ok], j[ok], w[ok], sa, "hungarian", {})[0])
         return pd.DataFrame([(len(a) + len(b), len(a) + len(b) - 2 * hit)], columns=["boxes", "unmatched"])
 
     keep = ["frame", *box, "score"]
-    buckets = max(1, -(-(latency.count() + submitted.count()) // 8000))
-    bucket = F.pmod(F.xxhash64("frame"), F.lit(buckets)).alias("bucket")
+    bucket = buckets(latency, "frame")
     found = latency.select(bucket, *keep).groupBy("bucket").cogroup(submitted.select(bucket, *keep).groupBy("bucket")).applyInPandas(run, "boxes long, unmatched long")
     n = found.agg(F.coalesce(F.sum("boxes"), F.lit(0)).alias("boxes"), F.coalesce(F.sum("unmatched"), F.lit(0)).alias("unmatched"))
     share = F.when(F.col("boxes") > 0, F.col("unmatched") / F.col("boxes")).otherwise(F.lit(0.0))

@@ -84,6 +84,17 @@ def test_occupancy(spark):
 def test_keypoints(spark):
     d = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 0.0, 2, 2, 1.0), (1, 2, 0.0, 0.0, 3.0, 4.0, 1, 2, 1.0), (1, 3, 0.0, 0.0, 9.0, 9.0, 0, 0, 1.0)], "id int, kind int, gx double, gy double, px double, py double, gv int, pv int, scale double")
     assert KP.mpjpe(d).first()[0] == 2.5 and KP.oks(d, {}).first()["oks"] == pytest.approx(0.5)
+    # a truth without a prediction, a prediction without a truth: neither has an error; the latter is a false positive
+    more = d.union(spark.createDataFrame([(1, 4, 7.0, 7.0, 0.0, 0.0, 2, 0, 1.0), (1, 5, 0.0, 0.0, 8.0, 8.0, 0, 2, 1.0)], d.schema))
+    assert KP.mpjpe(more).first()[0] == 2.5 and KP.oks(more, {}).first()["oks"] == pytest.approx(0.5)
+    assert KP.visibility(more).first() == (pytest.approx(1 / 3), 0.5)
+    assert KP.pck(more, [0.1, 5.0]).orderBy("threshold").collect()[0]["pck"] == 0.5
+    # no truth point: by the distance outside a box three times as large (here from -3 to 3)
+    bare = spark.createDataFrame([(2, 1, 0.0, 0.0, 2.0, 0.0, 0, 2, 1.0, 0.0, 0.0, 2.0, 2.0), (2, 2, 0.0, 0.0, 4.0, 0.0, 0, 2, 1.0, 0.0, 0.0, 2.0, 2.0), (3, 1, 0.0, 0.0, 0.0, 0.0, 2, 2, 1.0, 0.0, 0.0, 0.0, 0.0)], "id int, kind int, gx double, gy double, px double, py double, gv int, pv int, scale double, bx double, by double, sx double, sy double")
+    got = {r["id"]: r for r in KP.oks(bare, {}, 0.5).collect()}
+    assert got[2]["oks"] == pytest.approx((1 + math.exp(-0.5)) / 2) and got[2]["valid"] and not got[3]["valid"]
+    assert [r["precision"] for r in KP.average_precision(KP.oks(bare, {}, 0.5), [0.5, 0.9]).orderBy("level").collect()] == [1.0, 0.0]
+    assert KP.mean_average_precision(KP.oks(bare, {}, 0.5), [0.5, 0.9]).first()["ap"] == 0.5
     assert KP.pck(d, [0.1, 10.0]).orderBy("threshold").collect()[1]["pck"] == 1.0
     assert {r["subset"] for r in KP.subsets(d, {"a": [1], "b": [1, 2]}).collect()} == {"a", "b"}
 
@@ -109,8 +120,12 @@ def test_rater(spark):
     rows = [(0, [(line, 1.0)], [(line, 8.0)], 20.0), (1, [(shift(0, 2.0), 1.0)], [(line, 10.0)], 20.0), (2, [(shift(0, 500.0), 1.0)], [(line, 10.0)], 20.0), (3, [(line, 0.5), (shift(0, 500.0), 0.5)], [(line, 8.0)], 20.0)]
     got = {r["k"]: r["score"] for r in R.score(spark.createDataFrame(rows, schema)).collect()}
     assert got[0] == pytest.approx(8) and got[2] == pytest.approx(4) and got[3] == pytest.approx(6)
-    # 2 m aside: past the threshold of 1.0 at 3 s (d = 2: floor), 2 / 1.8 at 5 s
-    assert got[1] == pytest.approx((4 + 10 * 0.1 ** (2 / 1.8 - 1)) / 2)
+    # 2 m aside: d is 2 / 1.0 at 3 s and 2 / 1.8 at 5 s; the floor is for the mean: (1.0 + 7.7426) / 2 = 4.3713
+    assert got[1] == pytest.approx(4.3713, abs=1e-4)
+    # each rater's region holds the plan at one of the times only: outside of both
+    bend = [(float(i), 0.0 if i < 15 else 30.0) for i in range(20)]
+    apart = [(3, [(line, 1.0)], [([(x, 9.0) if i < 15 else (x, y) for i, (x, y) in enumerate(line)], 2.0), (bend, 2.0)], 20.0)]
+    assert R.score(spark.createDataFrame(apart, schema)).first()["score"] == pytest.approx(4)
 
 
 def test_scenarios(spark):

@@ -5,14 +5,15 @@ to its character 5-grams, then 4-grams down to single characters: the longest le
 n-gram is known decides, with the mean of the known n-grams' log frequencies.  A text's language is
 the one with the largest sum over all its words.
 
-The model is fitted on a documented, bounded sample: about ``per_language`` labelled rows of each
-language, chosen by the hash of their text; counts over it are distributed sums, and at most
-``max_entries`` entries of each length (those seen most) are kept, which bounds what is broadcast.
-Prediction is one scan without a shuffle.
+The model is fitted on a documented, bounded sample: about ``per_language`` different labelled texts of
+each language (fewer where that would be over ``most`` texts in all), chosen by the hash of the text;
+counts over it are distributed sums.  Every word and n-gram of the sample is kept: the sample alone
+bounds what is broadcast.  Prediction is one scan without a shuffle.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a text with letters but
 no known word or n-gram falls to the most frequent language with score 1/languages; rows without a
-label teach nothing; with no labels at all every text is ``und``; extra columns are ignored.
+label teach nothing; with no labels at all every text is ``und``; languages of equal score go to the
+first by name; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
 from . import textvec as tv
 
 LONGEST = 5
@@ -68,11 +68,11 @@ class Model:
     """Sorted hashes and per-language log frequencies, for words (0) and n-grams (1..LONGEST)."""
 
     def __init__(self, langs: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray]], totals: np.ndarray):
-        self.langs = langs
+        self.langs, self.totals = langs, totals
         self.hashes, self.logs = {}, {}
         for n, (h, c) in tables.items():
             self.hashes[n] = h
-            self.logs[n] = np.log((c + 0.5) / (totals[n][None, :] + 0.5 * max(1, len(h)))).astype(np.float64)
+            self.logs[n] = np.log((c + 0.5) / (totals[n][None, :] + 0.5 * max(1, len(h)))).astype(np.float32)
         self.prior = totals[0] / max(1, totals[0].sum()) if len(langs) else totals[0]
 
     def find(self, n: int, h: np.ndarray) -> np.ndarray:
@@ -155,29 +155,28 @@ def _predict(model_of, keep: list[str]):
     return run
 
 
-def fit(labelled: DataFrame, per_language: int = 4000, max_entries: int = 300_000) -> Model:
-    """Model from rows (text, lang) with a label; see the module for the bounds."""
+def fit(labelled: DataFrame, per_language: int = 1500, most: int = 50_000) -> Model:
+    """Model from rows (text, lang) with a label; see the module for the bounds.  Equal texts of a language count once."""
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not sizes:
         return Model([], {}, np.zeros((LONGEST + 1, 0)))
+    each = max(1, min(per_language, most // len(sizes)))
     unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))))
-    sample = rows.where(unit < share[F.col("lang")])
-    counts = sample.mapInArrow(tv.tidy(_count), "n int, h long, lang string, c long").groupBy("n", "h", "lang").agg(F.sum("c").alias("c"))
+    share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, each / max(1, n))))))
+    sample = rows.where(unit < share[F.col("lang")]).groupBy(F.md5("text").alias("key"), "lang").agg(F.first("text").alias("text"))
+    counts = sample.select("text", "lang").mapInArrow(tv.tidy(_count), "n int, h long, lang string, c long").groupBy("n", "h", "lang").agg(F.sum("c").alias("c")).toArrow()
     langs = sorted(sizes)
-    wide = counts.groupBy("n", "h").pivot("lang", langs).agg(F.first("c")).na.fill(0)
-    wide = wide.withColumn("_all", sum((F.col(f"`{k}`") for k in langs), F.lit(0))).where("_all >= 2")
-    wide = scratch.table(wide, "langid")
+    length, h = counts.column("n").to_numpy(), counts.column("h").to_numpy().view(np.uint64)
+    lang, c = np.searchsorted(langs, counts.column("lang").to_numpy(zero_copy_only=False).astype(str)), counts.column("c").to_numpy().astype(np.float64)
     tables, totals = {}, np.zeros((LONGEST + 1, len(langs)))
     for n in range(LONGEST + 1):
-        t = wide.where(F.col("n") == n).orderBy(F.desc("_all"), "h").limit(max_entries).drop("n", "_all").toArrow()
-        h = t.column("h").to_numpy().view(np.uint64)
-        c = np.stack([t.column(i + 1).to_numpy().astype(np.float64) for i in range(len(langs))], 1) if len(h) else np.zeros((0, len(langs)))
-        order = np.argsort(h)
-        tables[n] = (h[order], c[order])
-        totals[n] = c.sum(0)
-    scratch.drop(wide)
+        i = np.flatnonzero(length == n)
+        known, of = np.unique(h[i], return_inverse=True)
+        wide = np.zeros((len(known), len(langs)))
+        wide[of, lang[i]] = c[i]
+        tables[n] = (known, wide)
+        totals[n] = wide.sum(0)
     return Model(langs, tables, totals)
 
 

@@ -15,8 +15,8 @@ force.  Number of strips, weight, centres and repetitions are planned from the n
 texts, so that the lists stay small and a pair of similarity 0.8 is found with probability ``recall``
 (closer pairs more surely).
 
-Equal texts collapse first and are never paired.  The brute force of pass one emits, per list, only
-each fingerprint's nearest other one; those pairs are checked on the shingle sets, and linked.
+Equal texts collapse first and are never paired.  Pass one keeps, of all a fingerprint's lists, only its
+nearest other one and its nearest of lesser id; those pairs are checked on the shingle sets, and linked.
 Pass two takes the texts that have any near fingerprint and emits the pairs whose classes still
 differ, so a large class is not expanded into its pairs.  Lists over ``LIST`` are cut into
 blocks which meet pairwise in tasks of their own.
@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import blocks, scratch
 from . import textvec as tv
 from .components import components
 
@@ -48,7 +48,8 @@ FEW = 25  # shingles up to which texts are searched a second time, as ties of fe
 FEW_FLIP = 0.1875  # how often a bit differs between 4 shingles and those with a fifth, the worst case of similarity 0.8
 FEW_NEAR = 40  # NEAR of that search (24 +- 4.4: 99.98 %)
 SURE = 76  # bits over 256 (48 +- 6.2 in the worst case: over 99.999 %), asked of a pair before its texts are fetched
-LIST = 8192
+LIST = 2048
+LANES = tv.U64(0x0101010101010101)
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -71,6 +72,23 @@ def _sets(s: tv.Slice) -> tuple[np.ndarray, np.ndarray]:
     return (key >> tv.U64(44)).astype(np.int64), key & tv.U64((1 << 44) - 1)
 
 
+def _bit_counts(h: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How often each of 256 hash bits is set in each run of h (starts ``at``, lengths ``count``).
+
+    Bits are added eight to a word, in the bytes of 64-bit lanes, over at most 255 hashes; those sums are
+    added up as bytes.
+    """
+    pieces = -(-count // 255)
+    run = np.repeat(np.arange(len(at)), pieces)
+    begin = at[run] + 255 * (np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    lanes = np.empty((len(begin), 32), np.uint64)
+    for i in range(4):
+        word = tv.mix(h * tv.COMBINE[11 + i])
+        for k in range(8):
+            lanes[:, 8 * i + k] = np.add.reduceat((word >> tv.U64(k)) & LANES, begin)
+    return np.add.reduceat(lanes.view(np.uint8), np.cumsum(pieces) - pieces, axis=0, dtype=np.int32)
+
+
 def _fingerprints(batches):
     for batch in batches:
         f = np.zeros((batch.num_rows, 4), np.int64)
@@ -80,11 +98,9 @@ def _fingerprints(batches):
             row, h = _sets(s)
             if not len(row):
                 continue
-            both = np.stack([tv.mix(h * tv.COMBINE[11 + i]) for i in range(4)], 1)
-            bits = np.unpackbits(both.view(np.uint8), axis=1)
             at = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
             count = np.diff(np.append(at, len(row)))
+            ones = _bit_counts(h, at, count)
             f[s.first + row[at]] = np.packbits(2 * ones > count[:, None], axis=1).view(np.int64)
             some[s.first + row[at]] = True
             few[s.first + row[at]] = count <= FEW
@@ -164,41 +180,28 @@ class Filters:
             yield row, key
 
 
-ENTRY = "list long, cell long, block int, node long, f0 long, f1 long, root long"
+ENTRY = "list long, node long, f0 long, f1 long, root long"
 
 
-def _deal(filters_of, blocks_of, drop_of=None):
-    """(node, f0, f1, root) to entries of lists; large lists are dealt into pairs of blocks."""
+def _deal(filters_of):
+    """(node, f0, f1, root) to entries of lists."""
 
     def run(batches):
-        blocks = blocks_of.value if blocks_of else None
         for batch in batches:
             node, f0, f1, root = (c.to_numpy() for c in batch.columns)
             f = np.stack([f0, f1], 1).view(np.uint64)
             for row, key in filters_of.value.lists(f):
-                cell, block = np.zeros(len(key), np.int64), np.zeros(len(key), np.int32)
-                if blocks is not None and len(blocks[0]):
-                    at = np.minimum(np.searchsorted(blocks[0], key), len(blocks[0]) - 1)
-                    big = np.flatnonzero(blocks[0][at] == key)
-                    if len(big):
-                        nb = blocks[1][at[big]]
-                        mine = (tv.mix(node[row[big]].view(np.uint64)) % nb.astype(np.uint64)).astype(np.int64)
-                        other = tv.ragged(np.zeros(len(big), np.int64), nb)
-                        src = np.repeat(big, nb)
-                        own = np.repeat(mine, nb)
-                        lo, hi = np.minimum(own, other), np.maximum(own, other)
-                        small = np.ones(len(key), bool)
-                        small[big] = False
-                        row, key = np.append(row[small], row[src]), np.append(key[small], key[src])
-                        cell = np.append(np.zeros(small.sum(), np.int64), 1 + lo * (1 << 24) + hi)
-                        block = np.append(np.zeros(small.sum(), np.int32), own.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, cell, block, node[row], f0[row], f1[row], root[row])], names=["list", "cell", "block", "node", "f0", "f1", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node[row], f0[row], f1[row], root[row])], names=["list", "node", "f0", "f1", "root"])
 
     return run
 
 
 def _compare(f: np.ndarray, node: np.ndarray, block: np.ndarray, cross: bool, root: np.ndarray, all_pairs: bool, near: int):
-    """Pairs of one list (or pair of blocks) with fingerprints at most ``near`` bits apart."""
+    """(node, other, bits) of one list (or pair of blocks) with fingerprints at most ``near`` bits apart.
+
+    All pairs of different roots, node < other; or of each node its nearest other one and its nearest
+    among those of lesser id, by which a group of near copies hangs together at once.
+    """
     n = len(node)
     out = []
     for lo in range(0, n, 256):
@@ -215,35 +218,36 @@ def _compare(f: np.ndarray, node: np.ndarray, block: np.ndarray, cross: bool, ro
         d[bad] = 255
         if all_pairs:
             i, j = np.nonzero(d <= near)
-        else:
+            out.append(np.stack([node[lo + i], node[j], d[i, j].astype(np.int64)], 1))
+            continue
+        for _ in range(2):
             j = d.argmin(1)
             i = np.flatnonzero(d[np.arange(hi - lo), j] <= near)
-            j = j[i]
-        if len(i):
-            out.append(np.stack([np.minimum(node[lo + i], node[j]), np.maximum(node[lo + i], node[j])], 1))
+            out.append(np.stack([node[lo + i], node[j[i]], d[i, j[i]].astype(np.int64)], 1))
+            d[node[lo:hi, None] < node[None, :]] = 255
     return out
 
 
 def _search(all_pairs: bool, near: int):
-    """Entries sorted by (list, cell) to distinct candidate pairs (a, b)."""
+    """Entries sorted by (list, cell) to what ``_compare`` finds, without repetitions."""
 
     def run(batches):
         held: list = []
         found: list = []
 
         def work(x):
-            lst, cell, block, node, f0, f1, root = x
+            _, cell, block, node, f0, f1, root = x
             if len(node) < 2:
                 return
             if all_pairs:
                 o = np.argsort(root, kind="stable")
                 block, node, f0, f1, root = block[o], node[o], f0[o], f1[o], root[o]
-            found.extend(_compare(np.stack([f0, f1], 1).view(np.uint64), node, block, cell[0] > 0 and (cell[0] - 1) >> 24 != (cell[0] - 1) & ((1 << 24) - 1), root, all_pairs, near))
+            found.extend(_compare(np.stack([f0, f1], 1).view(np.uint64), node, block, blocks.crosses(int(cell[0])), root, all_pairs, near))
 
         def drain():
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            x = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2].astype(np.int32))], names=["node", "other", "bits"])
 
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns]
@@ -308,23 +312,17 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(tv.tidy(_verify(similarity)), "a long, b long")
 
 
-def _blocks(entries: DataFrame, limit: int):
-    """Sorted large lists and their numbers of blocks; a list needs over ``limit`` entries to be one."""
-    t = entries.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("list", F.ceil(F.col("n") * 2 / limit).alias("b")).toArrow()
-    key, nb = t.column(0).to_numpy(), t.column(1).to_numpy().astype(np.int64)
-    order = np.argsort(key)
-    return key[order], nb[order]
-
-
 def _candidates(nodes: DataFrame, filters_of, limit: int, all_pairs: bool, near: int = NEAR) -> DataFrame:
-    """Distinct candidate pairs among nodes (node, f0, f1, root)."""
+    """Distinct candidate pairs (a, b) among nodes (node, f0, f1, root); at most two of each node unless ``all_pairs``."""
     spark = nodes.sparkSession
-    entries = nodes.mapInArrow(tv.tidy(_deal(filters_of, None)), ENTRY)
-    large = _blocks(entries, limit)
-    if len(large[0]):
-        entries = nodes.mapInArrow(tv.tidy(_deal(filters_of, spark.sparkContext.broadcast(large))), ENTRY)
+    entries = blocks.dealt(nodes.mapInArrow(tv.tidy(_deal(filters_of)), ENTRY), ["list"], limit).select("list", "cell", "block", "node", "f0", "f1", "root")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(parts, "list", "cell").sortWithinPartitions("list", "cell").mapInArrow(tv.tidy(_search(all_pairs, near)), "a long, b long").distinct()
+    found = entries.repartition(parts, "list", "cell").sortWithinPartitions("list", "cell").mapInArrow(tv.tidy(_search(all_pairs, near)), "node long, other long, bits int")
+    if not all_pairs:
+        nearest = F.struct("bits", "other")
+        found = found.groupBy("node").agg(F.min(nearest).alias("x"), F.min(F.when(F.col("other") < F.col("node"), nearest)).alias("y"))
+        found = found.select("node", F.explode(F.array("x.other", "y.other")).alias("other")).where("other is not null")
+    return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _sure(pairs: DataFrame, reps: DataFrame) -> DataFrame:

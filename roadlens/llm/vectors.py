@@ -9,7 +9,7 @@ In a bucket all pairs are compared by exact double-precision cosine.
 Nothing is emitted by pair: a pair counts in the first table in which it shares a bucket (the task
 recomputes both keys), a bucket sends on each vector's number of links and one edge to its least
 linked one.  Equal vectors of a label collapse first and count by their number.  Buckets over
-``BUCKET`` vectors are cut into blocks that meet pairwise in tasks of their own; no bucket is capped.
+``BUCKET`` vectors are cut into blocks that meet pairwise in tasks of their own (``blocks``); none is capped.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors
 without a label, link with nothing; vectors of different lengths do not link; repeated rows are
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import blocks, scratch
 from . import textvec as tv
 from .components import components
 
 COSINE = 0.93
-BUCKET = 4096
+BUCKET = 512
 
 
 def collide(d: float, w: float) -> float:
@@ -79,22 +79,17 @@ class Hash:
 
 def normalised(rows) -> np.ndarray:
     x = np.array(rows, np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)  # so that no square overflows or vanishes
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-ENTRY = "label int, dim int, tab int, bucket long, cell long, block int, node long, m long, v array<double>"
+ENTRY = "label int, dim int, tab int, bucket long, node long, m long, v array<double>"
 
 
-def _lists(col, batch) -> np.ndarray:
-    flat = batch.column(col).flatten().to_numpy()
-    return flat.reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
-
-
-def _deal(hash_of, blocks_of=None):
+def _deal(hash_of):
     """(label, dim, node, m, v) to bucket entries, one dimension at a time."""
 
     def run(batches):
-        blocks = blocks_of.value if blocks_of else {}
         for batch in batches:
             label, dim, node, m = (batch.column(i).to_numpy() for i in range(4))
             for d in np.unique(dim):
@@ -102,24 +97,10 @@ def _deal(hash_of, blocks_of=None):
                     raw = batch.column(4).take(pa.array(part))
                     x = normalised(raw.flatten().to_numpy().reshape(len(part), int(d)))
                     keys = hash_of.value.keys(x)
+                    n = len(part)
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * int(d), pa.int32()), pa.array(x.ravel()))
                     for t in range(keys.shape[1]):
-                        row, cell, block = np.arange(len(part)), np.zeros(len(part), np.int64), np.zeros(len(part), np.int32)
-                        big = [i for i in range(len(part)) if (int(label[part[i]]), int(d), t, int(keys[i, t])) in blocks] if blocks else []
-                        if big:
-                            nb = np.array([blocks[int(label[part[i]]), int(d), t, int(keys[i, t])] for i in big])
-                            big = np.array(big)
-                            own = (tv.mix(node[part[big]].view(np.uint64)) % nb.astype(np.uint64)).astype(np.int64)
-                            other, src, mine = tv.ragged(np.zeros(len(big), np.int64), nb), np.repeat(big, nb), np.repeat(own, nb)
-                            rest = np.setdiff1d(row, big)
-                            row = np.append(rest, src)
-                            cell = np.append(np.zeros(len(rest), np.int64), 1 + np.minimum(mine, other) * (1 << 24) + np.maximum(mine, other))
-                            block = np.append(np.zeros(len(rest), np.int32), mine.astype(np.int32))
-                        n = len(row)
-                        offsets = pa.array(np.arange(n + 1) * int(d), pa.int32())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(label[part[row]]), pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(keys[row, t]), pa.array(cell), pa.array(block), pa.array(node[part[row]]), pa.array(m[part[row]]), pa.ListArray.from_arrays(offsets, pa.array(x[row].ravel()))],
-                            names=["label", "dim", "tab", "bucket", "cell", "block", "node", "m", "v"],
-                        )
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, (label[part], np.full(n, d, np.int32), np.full(n, t, np.int32), keys[:, t].copy(), node[part], m[part])), flat], names=["label", "dim", "tab", "bucket", "node", "m", "v"])
 
     return run
 
@@ -135,7 +116,7 @@ def _links(hash_of, cosine: float):
             if n < 2:
                 return None
             keys = hash_of.value.keys(x)
-            cross = cell > 0 and (cell - 1) >> 24 != (cell - 1) & ((1 << 24) - 1)  # a cell of two blocks
+            cross = blocks.crosses(cell)
             count, root = np.zeros(n, np.int64), np.arange(n)
             hits = []
             for lo in range(0, n, 1024):
@@ -201,23 +182,19 @@ def link(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.98, bucke
     spark = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
+    largest = F.array_max(F.transform("v", F.abs))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), v.alias("v"))
-    valid = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & ~bad & (norm > 0) & (norm < float("inf")), F.lit(False))
+    valid = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & ~bad & (largest > 0), F.lit(False))
     key = F.when(valid, F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.to_json("v")), 256))
     rows = scratch.table(rows.select("vec_id", "label", "v", key.alias("key")), "vectors")
     good = rows.where("key is not null")
     nodes = scratch.table(good.groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("m"), F.first("label").alias("label"), F.first("v").alias("v")), "nodes")
-    largest = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    hash_of = spark.sparkContext.broadcast(Hash(plan(max(2, largest), cosine, recall)))
+    most = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    hash_of = spark.sparkContext.broadcast(Hash(plan(max(2, most), cosine, recall)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     deal = nodes.select("label", F.size("v").alias("dim"), "node", "m", "v").repartition(parts)
-    entries = deal.mapInArrow(tv.tidy(_deal(hash_of)), ENTRY)
     group = ["label", "dim", "tab", "bucket"]
-    large = entries.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).collect()  # at most tables * vectors / bucket
-    if large:
-        blocks = {tuple(r[c] for c in group): -(-2 * r["n"] // bucket) for r in large}
-        entries = deal.mapInArrow(tv.tidy(_deal(hash_of, spark.sparkContext.broadcast(blocks))), ENTRY)
+    entries = blocks.dealt(deal.mapInArrow(tv.tidy(_deal(hash_of)), ENTRY), group, bucket).select(*group, "cell", "block", "node", "m", "v")
     found = entries.repartition(parts, *group, "cell").sortWithinPartitions(*group, "cell").mapInArrow(tv.tidy(_links(hash_of, cosine)), "node long, links long, other long")
     found = scratch.table(found, "links")
     roots = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))

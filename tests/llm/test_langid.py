@@ -1,4 +1,9 @@
-from roadlens.llm import langid
+import collections
+import math
+import re
+import zlib
+
+from roadlens.llm import langid, registry
 from roadlens.llm.textvec import Slice
 from tests.llm import fixtures as fx
 
@@ -45,3 +50,53 @@ def test_backs_off_to_shorter_grams():
     assert np.allclose(total[0], np.mean(np.log((np.array([[8, 2], [2, 8]]) + 0.5) / 101), axis=0))
     b = np.frombuffer("ñ!".encode(), np.uint8)
     assert m.words(Slice(0, b, np.array([0, 3])))[1][0] == 0
+
+
+def test_query_against_brute_force(spark):
+    """Folds, counts, backoff, score and columns of the query, recomputed with dictionaries."""
+    word = re.compile("[a-z\u0080-\U0010ffff]+")
+    docs = fx.documents()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in docs}
+    texts = {(r["text"], r["lang"]) for r in docs if not held[r["doc_id"]] and r["text"] is not None and r["lang"] is not None}
+    langs = sorted({lang for _, lang in texts})
+    counts = {n: collections.defaultdict(collections.Counter) for n in range(6)}
+    for text, lang in texts:
+        for w in word.findall(text.lower()):
+            counts[0][w][lang] += 1
+            for n in range(1, 6):
+                for i in range(len(w) - n + 1):
+                    counts[n][w[i : i + n]][lang] += 1
+    totals = {n: {k: sum(c[k] for c in counts[n].values()) for k in langs} for n in counts}
+
+    def log(n, x):
+        return [math.log((counts[n][x][k] + 0.5) / (totals[n][k] + 0.5 * len(counts[n]))) for k in langs]
+
+    def one(w):
+        if w in counts[0]:
+            return log(0, w)
+        for n in range(5, 0, -1):
+            found = [log(n, w[i : i + n]) for i in range(len(w) - n + 1) if w[i : i + n] in counts[n]]
+            if found:
+                return [sum(c) / len(found) for c in zip(*found, strict=True)]
+        return None
+
+    got = {r["doc_id"]: r for r in registry.op1_langid(spark, fx.SF).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        assert got[r["doc_id"]]["held_out"] == held[r["doc_id"]]
+        values = [v for v in map(one, word.findall((r["text"] or "").lower())) if v]
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        total = [sum(c) / math.sqrt(max(1, len(values))) for c in zip(*values, strict=True)] if values else [0.0] * len(langs)
+        p = [math.exp(t - max(total)) for t in total]
+        best = max(range(len(langs)), key=p.__getitem__)
+        if sorted(p)[-1] - sorted(p)[-2] > 1e-4:
+            assert got[r["doc_id"]]["lang_pred"] == langs[best]
+        assert abs(got[r["doc_id"]]["score"] - max(p) / sum(p)) < 1e-3
+
+
+def test_repeated_texts_count_once(spark):
+    rows = [(i, "viele gleiche worte", "de", "s", 1) for i in range(300)] + [(400 + i, f"one two {i}", "en", "s", 1) for i in range(3)]
+    model = langid.fit(fx.frame(spark, rows))
+    assert model.totals[0].tolist() == [3, 6] and len(model.hashes[0]) == 5

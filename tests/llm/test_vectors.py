@@ -75,3 +75,24 @@ def test_recall_at_the_threshold():
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     b = 0.93 * a + math.sqrt(1 - 0.93**2) * b
     assert (h.keys(a) == h.keys(b)).any(1).mean() > 0.96
+
+
+def test_links_found_at_the_shipped_recall(spark):
+    rng = np.random.default_rng(5)
+    n, dim = 400, 64
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.normal(size=(n, dim)))
+    b = rng.normal(size=(n, dim))
+    b = unit(b - (b * a).sum(1, keepdims=True) * a)
+    cosine = rng.uniform(0.931, 0.95, (n, 1))
+    b = cosine * a + np.sqrt(1 - cosine**2) * b
+    rows = [(2 * i + k, [float(np.float32(x)) for x in v], 1) for i in range(n) for k, v in enumerate((a[i], b[i]))]
+    got = {r[0]: r[1] for r in run(spark, rows)}
+    assert sum(got[2 * i] > 0 for i in range(n)) >= 0.96 * n
+
+
+def test_extreme_lengths_link(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, [x * 1e-200 for x in v], 1), (2, [x * 1e200 for x in v], 1), (3, v, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r["component_id"] for r in vectors.link(df).collect()} == {1}

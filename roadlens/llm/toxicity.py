@@ -4,7 +4,7 @@ Terms are all words of the labelled examples; none is dropped but those of weigh
 (1 + log tf) * idf * phi, phi being the strength of its tie to the label in the examples (the square root
 of chi-square over their number: supervised term weighting, Debole and Sebastiani, 2003); a word that no
 example has weighs nothing.  Without phi the topic decides which texts are near, not the insult: README
-has the figures.  Vectors are normalised.  Examples lie in blocks of 64 of the
+has the figures.  Vectors are normalised.  Examples lie in blocks of 32 of the
 index; each term knows its largest weight in each block.  A text's bounds for the blocks come from
 those, blocks are scored from the largest bound down, and the search ends when no block can hold a
 nearer example than the k found: the k nearest are exact.  The vote is weighted by similarity and
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from . import scratch
 from . import textvec as tv
 
-BLOCK = 64
+BLOCK = 32
+COMMON = 16
 
 
 def _terms(s: tv.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -86,12 +87,19 @@ class Terms:
 
 
 class Index:
-    """Block-max inverted index of the examples that have terms."""
+    """Block-max inverted index of the examples that have terms.
+
+    Terms of at least one example in ``COMMON`` are not looked up by list: a text's part of the cosine
+    that comes from them is a matrix product, made for many texts at once (``common``); the bounds of
+    blocks add that part to the largest weights of the other terms.
+    """
 
     def __init__(self, vectors: list[tuple[list[int], list[float], int, int]], terms: int, k: int):
-        # examples with the same leading term share blocks, which keeps the block maxima tight
-        vectors = sorted((v for v in vectors if v[0]), key=lambda v: (v[0][max(range(len(v[1])), key=v[1].__getitem__)], v[3]))
-        self.k, self.n = k, len(vectors)
+        vectors = [v for v in vectors if len(v[0])]
+        df = np.bincount([x for v in vectors for x in v[0]], minlength=terms)
+        # examples of a language, then of a leading term, share blocks, which keeps the block maxima tight
+        vectors.sort(key=lambda v: (max(v[0], key=lambda x: (df[x], x)), v[0][max(range(len(v[1])), key=v[1].__getitem__)], v[3]))
+        self.k, self.n, self.terms = k, len(vectors), terms
         self.label = np.array([v[2] for v in vectors], np.int8)
         self.ids = np.array([v[3] for v in vectors], np.int64)
         t = np.array([x for v in vectors for x in v[0]], np.int64)
@@ -107,32 +115,61 @@ class Index:
         self.block = self.e[new] // BLOCK if len(new) else np.zeros(0, np.int32)
         self.block_at = np.searchsorted(t[new], np.arange(terms + 1))
         self.begin = np.append(new, len(t))
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples of positive similarity, nearest first."""
+        self.matrix = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"matrix": None}  # each worker makes its own
+
+    def _common(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each term in the matrix of common terms (-1: none), and the matrix."""
+        if self.matrix is None:
+            wide = np.flatnonzero(np.diff(self.at) * COMMON >= max(1, self.n))
+            row = np.full(self.terms, -1)
+            row[wide] = np.arange(len(wide))
+            m = np.zeros((len(wide), self.blocks * BLOCK))
+            for r, x in enumerate(wide):
+                m[r, self.e[self.at[x] : self.at[x + 1]]] = self.w[self.at[x] : self.at[x + 1]]
+            self.matrix = row, m
+        return self.matrix
+
+    def common(self, at: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Texts by examples: the parts of the cosines that come from common terms."""
+        row, m = self._common()
+        text, r = np.repeat(np.arange(len(at) - 1), np.diff(at)), row[t]
+        q = np.zeros((len(at) - 1, len(m)))
+        q[text[r >= 0], r[r >= 0]] = w[r >= 0]
+        return q @ m
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, without: int = -1, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples of positive similarity, nearest first; ``part`` is the text's row of ``common``."""
+        if part is None:
+            part = self.common(np.array([0, len(t)]), t, w)[0]
+        rare = np.flatnonzero(self._common()[0][t] < 0)
+        t, w = t[rare], w[rare]
         count = self.block_at[t + 1] - self.block_at[t]
         cell = tv.ragged(self.block_at[t], count)  # the terms' blocks
         q = np.repeat(w, count)
         block = self.block[cell]
-        bound = np.bincount(block, q * self.most[cell], self.blocks)
+        bound = part.reshape(-1, BLOCK).max(1) + np.bincount(block, q * self.most[cell], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best, score = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, 16
-        chosen = np.zeros(self.blocks, bool)
-        while done < len(order):
-            if len(best) == self.k and bound[order[done]] < score[-1] - 1e-12:
+        for mine in (order[:8], order[8:]):
+            if len(best) == self.k:
+                mine = mine[bound[mine] >= score[-1] - 1e-12]
+            if not len(mine):
                 break
-            mine = order[done : done + step]
-            done, step = done + step, step * 4
+            chosen = np.zeros(self.blocks, bool)
             chosen[mine] = True
             use = np.flatnonzero(chosen[block])
-            chosen[mine] = False
             size = self.begin[cell[use] + 1] - self.begin[cell[use]]
             p = tv.ragged(self.begin[cell[use]], size)
-            sims = np.bincount(self.e[p], np.repeat(q[use], size) * self.w[p], self.n)
+            sims = np.where(np.repeat(chosen, BLOCK), part, 0.0)
+            sims += np.bincount(self.e[p], np.repeat(q[use], size) * self.w[p], len(part))
             hit = np.flatnonzero(sims > 0)
             hit = hit[hit != without]
+            if len(hit) > 4 * self.k:
+                hit = hit[sims[hit] >= np.partition(sims[hit], -self.k)[-self.k] - 1e-9]
             best, score = np.append(best, hit), np.append(score, sims[hit])
             top = np.lexsort((best, -np.round(score, 12)))[: self.k]
             best, score = best[top], score[top]
@@ -241,21 +278,24 @@ def _score(model_of, keep: list[str]):
             scores, evidence = [], []
             for s in tv.slices(_lowered(batch.column(batch.schema.get_field_index("text")))):
                 at, t, w = m.terms.vectors(s)
-                for r in range(s.rows):
-                    if at[r] == at[r + 1]:
-                        scores.append(m.bare)
-                        evidence.append([])
-                        continue
-                    ti, wi = t[at[r] : at[r + 1]], w[at[r] : at[r + 1]]
-                    same = (ti.tobytes(), wi.tobytes())
-                    if same not in memo:
-                        if len(memo) > 20_000:
-                            memo.clear()
-                        best, sim = m.index.nearest(ti, wi)
-                        near = [{"example_id": int(m.index.ids[i]), "similarity": float(x), "toxic": int(m.index.label[i])} for i, x in zip(best[:3], sim[:3], strict=True)]
-                        memo[same] = (m.score(m.index.vote(best, sim, m.prior)), near)
-                    scores.append(memo[same][0])
-                    evidence.append(memo[same][1])
+                for lo in range(0, s.rows, 128):
+                    hi = min(s.rows, lo + 128)
+                    part = m.index.common(at[lo : hi + 1] - at[lo], t[at[lo] : at[hi]], w[at[lo] : at[hi]]) if m.index.n else None
+                    for r in range(lo, hi):
+                        if at[r] == at[r + 1]:
+                            scores.append(m.bare)
+                            evidence.append([])
+                            continue
+                        ti, wi = t[at[r] : at[r + 1]], w[at[r] : at[r + 1]]
+                        same = (ti.tobytes(), wi.tobytes())
+                        if same not in memo:
+                            if len(memo) > 20_000:
+                                memo.clear()
+                            best, sim = m.index.nearest(ti, wi, part=part[r - lo])
+                            near = [{"example_id": int(m.index.ids[i]), "similarity": float(x), "toxic": int(m.index.label[i])} for i, x in zip(best[:3], sim[:3], strict=True)]
+                            memo[same] = (m.score(m.index.vote(best, sim, m.prior)), near)
+                        scores.append(memo[same][0])
+                        evidence.append(memo[same][1])
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(evidence, kind)], names=[*keep, "score", "predicted", "evidence"])
 
     return run

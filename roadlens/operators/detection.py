@@ -166,7 +166,7 @@ def _frame_counts(config: dict):
         i, j = frame_pairs(frame, g["frame"].to_numpy())
         same = kind_p[i] == kind_g[j]
         i, j = i[same], j[same]
-        overlap = let_iou(a[i], b[j], let, kind) if let else K.pair_iou(a[i], b[j], kind)
+        overlap = config["iou"](a[i], b[j]) if config["iou"] else let_iou(a[i], b[j], let, kind) if let else K.pair_iou(a[i], b[j], kind)
         affinity = let_affinity(a[i], b[j], let) if let else np.ones(len(i))
         ha = 1 - np.abs((a[i, 6] - b[j, 6] + np.pi) % (2 * np.pi) - np.pi) / np.pi
         need = np.where(kind_p < len(limit), limit[np.clip(kind_p, 0, len(limit) - 1)], np.inf)[i]
@@ -234,17 +234,18 @@ def let_iou(a: np.ndarray, b: np.ndarray, let: dict, kind: str) -> np.ndarray:
     return K.pair_iou(moved, b, kind)
 
 
-def measure(pd_: DataFrame, gt: DataFrame, cutoffs: list[float], generators=("OBJECT_TYPE",), levels=(1, 2), matcher: str = "hungarian", kind: str = "3d", thresholds: dict[int, float] = THRESHOLDS, least_heading: float = 0.0, let: dict | None = None) -> DataFrame:
+def measure(pd_: DataFrame, gt: DataFrame, cutoffs: list[float], generators=("OBJECT_TYPE",), levels=(1, 2), matcher: str = "hungarian", kind: str = "3d", thresholds: dict[int, float] = THRESHOLDS, least_heading: float = 0.0, let: dict | None = None, iou=None) -> DataFrame:
     """Summed counters per generator, shard, level and cutoff.
 
     pd_: frame, id, type, box columns, score, nlz; gt: frame, id, type, box columns, level, speeds.
     Unmatched predictions in no-label zones are no false positives; unmatched ground truths count up to
     their level; a match whose heading accuracy is at most ``least_heading`` counts as nothing.
-    Counters are additive, so partial results of parts of the frames can be summed.
+    Counters are additive, so partial results of parts of the frames can be summed.  ``iou`` replaces the
+    overlap: a function of two arrays of paired boxes (cx, cy, cz, length, width, height, heading).
     """
     if matcher not in ("hungarian", "score_first"):
         raise ValueError(f"unknown matcher {matcher}")
-    config = {"kind": kind, "thresholds": thresholds, "cutoffs": list(cutoffs), "generators": list(generators), "levels": list(levels), "matcher": matcher, "least_heading": least_heading, "let": let}
+    config = {"kind": kind, "thresholds": thresholds, "cutoffs": list(cutoffs), "generators": list(generators), "levels": list(levels), "matcher": matcher, "least_heading": least_heading, "let": let, "iou": iou}
     box = ["frame", "id", "type", "cx", "cy", "cz", "length", "width", "height", "heading"]
     speed = [c for c in ("speed_x", "speed_y") if c in gt.columns]
     p = pd_.select(*box, "score", "nlz", *(B.shards_for_matching(g).alias(f"s_{g}") for g in generators))
@@ -313,6 +314,33 @@ def metrics(counts: DataFrame, delta: float = 0.05, least_precision: float = 0.0
     return grouped.select("generator", "shard", "level", area(F.col("precision"), delta).alias("ap"), area(F.col("precision_ha"), delta).alias("aph"), area(F.col("precision_la"), delta).alias("apl"))
 
 
+def evaluate(pd_: DataFrame, gt: DataFrame, cutoffs: int = 101, **options) -> DataFrame:
+    """AP, APH and APL by the usual configuration: types and ranges, two levels, evenly spaced cutoffs."""
+    return metrics(measure(pd_, ground_truths(gt), [i / (cutoffs - 1) for i in range(cutoffs)], **{"generators": ("OBJECT_TYPE", "RANGE"), "levels": (1, 2)} | options))
+
+
+def match(pd_: DataFrame, gt: DataFrame, least: float = 0.5, kind: str = "3d", matcher: str = "hungarian", iou=None) -> DataFrame:
+    """(frame, pd, gt, iou): one-to-one matches of boxes of at least that overlap, whatever their type.
+
+    Boxes without a valid size match nothing; ``iou`` may replace the overlap, as in ``measure``.
+    """
+
+    def run(key, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        p, g = p.sort_values(["frame", "id"]), g.sort_values(["frame", "id"])
+        a, b, frame = p[BOX].to_numpy(float), g[BOX].to_numpy(float), p["frame"].to_numpy()
+        i, j = frame_pairs(frame, g["frame"].to_numpy())
+        overlap = iou(a[i], b[j]) if iou else K.pair_iou(a[i], b[j], kind)
+        ok = np.flatnonzero((overlap >= least) & (overlap > 0))
+        mi, mj = match_pairs(frame, i[ok], j[ok], np.round(overlap[ok] * QUANTUM), p["score"].to_numpy(float), matcher, {})
+        at = np.searchsorted(i * len(g) + j, mi * len(g) + mj)
+        return pd.DataFrame({"frame": frame[mi], "pd": p["id"].to_numpy()[mi], "gt": g["id"].to_numpy()[mj], "iou": overlap[at]})
+
+    score = F.col("score") if "score" in pd_.columns else F.lit(1.0)
+    p = pd_.select(buckets(pd_, "frame"), "frame", "id", *BOX, score.alias("score"))
+    g = gt.select(buckets(pd_, "frame"), "frame", "id", *BOX)
+    return p.groupBy("bucket").cogroup(g.groupBy("bucket")).applyInPandas(run, "frame long, pd long, gt long, iou double")
+
+
 def recall_at(counts: DataFrame, precision: float) -> DataFrame:
     """Largest recall at a precision above the given one."""
     return curve(counts).groupBy("generator", "shard", "level").agg(F.max(F.when(F.col("precision") > precision, F.col("recall"))).alias("recall"))

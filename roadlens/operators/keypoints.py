@@ -35,13 +35,16 @@ def weighted(value: Column, weight: Column) -> Column:
     return F.coalesce(F.sum(F.when(weight > 0, value * weight)) / F.when(total > 0, total), F.lit(0.0))
 
 
-def displacement(df: DataFrame, enlarge: float = 1.0) -> list[Column]:
-    """The shift of each axis that moves a prediction into the (axis-aligned, enlarged) box."""
-    out = []
-    for a in _axes(df):
-        d, half = F.col(f"p{a}") - F.col(f"b{a}"), F.col(f"s{a}") * (enlarge / 2)
-        out.append(F.greatest(F.least(d, half), -half) - d)
-    return out
+def displacement(df: DataFrame, enlarge: float = 1.0, heading: Column | None = None) -> list[Column]:
+    """The shift of each axis that moves a prediction to the nearest point of the (enlarged) box."""
+    d = [F.col(f"p{a}") - F.col(f"b{a}") for a in _axes(df)]
+    c, s = (F.cos(heading), F.sin(heading)) if heading is not None else (F.lit(1.0), F.lit(0.0))
+    d[:2] = [d[0] * c + d[1] * s, d[1] * c - d[0] * s]  # in the box's frame
+    for k, a in enumerate(_axes(df)):
+        half = F.col(f"s{a}") * (enlarge / 2)
+        d[k] = F.greatest(F.least(d[k], half), -half) - d[k]
+    d[:2] = [d[0] * c - d[1] * s, d[0] * s + d[1] * c]
+    return d
 
 
 def _sigma(sigmas: dict[int, float], default: float) -> Column:

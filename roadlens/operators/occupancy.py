@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,3 +91,40 @@ def trails(cells: DataFrame, by: list[str], decay: float = 0.8) -> DataFrame:
     last = cells.groupBy(*by).agg(F.max("step").alias("_last"))
     d = cells.join(last, by)
     return d.groupBy(*by, "row", "col").agg(F.max(F.col("occupied") * F.pow(F.lit(decay), F.col("_last") - F.col("step"))).alias("occupied"))
+
+
+def roadgraph(points: DataFrame, vehicle: DataFrame, by: list[str], upright: bool = True) -> DataFrame:
+    """(by.., row, col, occupied) of valid map points (by.., x, y, valid) seen from the vehicle (by.., x, y, heading).
+
+    ``upright`` turns the scene so that the vehicle points up.
+    """
+    v = vehicle.select(*by, F.col("x").alias("_vx"), F.col("y").alias("_vy"), F.col("heading").alias("_h"))
+    x, y = F.col("x") - F.col("_vx"), F.col("y") - F.col("_vy")
+    a = F.lit(math.pi / 2) - F.col("_h")
+    c, s = F.cos(a), F.sin(a)
+    turned = (c * x - s * y, s * x + c * y) if upright else (x, y)
+    p = points.where("valid").join(v, by)
+    return rasterise(p.select(*by, turned[0].alias("x"), turned[1].alias("y")), by)
+
+
+def waypoints(cells: DataFrame, by: list[str], steps: int = 10, cumulative: bool = False) -> DataFrame:
+    """(by.., waypoint, row, col, occupied): future cells (by.., step from 1, row, col, occupied) at waypoints of ``steps`` steps.
+
+    A waypoint shows its last step, or with ``cumulative`` the maximum over its steps.
+    """
+    w = F.floor((F.col("step") - 1) / steps).cast("int")
+    d = cells.where("step >= 1").withColumn("waypoint", w)
+    d = d if cumulative else d.where(F.col("step") % steps == 0)
+    return d.groupBy(*by, "waypoint", "row", "col").agg(F.max("occupied").alias("occupied"))
+
+
+def flow_origins(cells: DataFrame, by: list[str], steps: int = 10) -> DataFrame:
+    """(by.., waypoint, row, col, occupied): where what a waypoint shows was one waypoint before (step 0 for the first)."""
+    d = cells.where((F.col("step") >= 0) & (F.col("step") % steps == 0))
+    return d.groupBy(*by, (F.col("step") / steps).cast("int").alias("waypoint"), "row", "col").agg(F.max("occupied").alias("occupied"))
+
+
+def by_visibility(agents: DataFrame, by: list[str]) -> DataFrame:
+    """Agents' states (by.., agent, step, valid, ..) with ``observed``: whether the agent was valid at any step up to 0."""
+    seen = agents.groupBy(*by, "agent").agg(F.max(F.when(F.col("step") <= 0, F.col("valid").cast("int"))).alias("_s"))
+    return agents.join(seen, [*by, "agent"]).withColumn("observed", F.coalesce(F.col("_s") == 1, F.lit(False))).drop("_s")

@@ -200,13 +200,13 @@ def _grid(x: str, y: str) -> str:
 _IN = "row BETWEEN 0 AND 255 AND col BETWEEN 0 AND 255"
 
 
-@query("""SELECT frame, id, count(*) AS points, round(sum(x), 5) AS sum_x, round(sum(y * i), 5) AS sum_y FROM (SELECT frame, id, i, cx + cos(heading) * u * length - sin(heading) * v * width AS x, cy + sin(heading) * u * length + cos(heading) * v * width AS y
+@query("""SELECT frame, id, count(*) AS points, round(sum(x), 5) + 0.0::double AS sum_x, round(sum(y * i), 5) + 0.0::double AS sum_y FROM (SELECT frame, id, i, cx + cos(heading) * u * length - sin(heading) * v * width AS x, cy + sin(heading) * u * length + cos(heading) * v * width AS y
 FROM {gt}, (SELECT unnest(range(12)) AS i) a, (SELECT i AS n, i / 11.0::double - 0.5 AS u FROM (SELECT unnest(range(12)) AS i)) b, (SELECT i / 3.0::double - 0.5 AS v FROM (SELECT unnest(range(4)) AS i)) c WHERE a.i = b.n) GROUP BY 1, 2""")
 def agent_samples(spark, sf):
     """Checksums of the points spread over each agent's box."""
     p = O.sample_agents(read(spark, sf, "gt_boxes").select("frame", "id", "cx", "cy", "length", "width", "heading"), 12, 4)
     u = F.round(((_c("x") - _c("cx")) * F.cos("heading") + (_c("y") - _c("cy")) * F.sin("heading")) / _c("length") * 11 + 5.5)
-    return p.groupBy("frame", "id").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("x"), 5).alias("sum_x"), F.round(F.sum(_c("y") * u), 5).alias("sum_y"))
+    return p.groupBy("frame", "id").agg(F.count(F.lit(1)).alias("points"), (F.round(F.sum("x"), 5) + 0.0).alias("sum_x"), (F.round(F.sum(_c("y") * u), 5) + 0.0).alias("sum_y"))
 
 
 _FLOW = f"""SELECT frame, row, col, avg(col - c0) AS dx, avg(row - r0) AS dy FROM (SELECT frame, {_grid('cx', 'cy')}, {_GY.format(y='cy - discount * 3')} AS r0, {_GX.format(x='cx - turn')} AS c0 FROM {{gt}}) WHERE {_IN} GROUP BY 1, 2, 3"""

@@ -9,6 +9,7 @@ under a local master, else a folder below the SQL warehouse, which a cluster sha
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -30,7 +31,10 @@ def root(spark: SparkSession) -> str:
 
 
 def bounded(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of fewer rows than Spark's default, as rows here are whole texts; a set value stays."""
+    """Arrow batches of fewer rows than Spark's default, as rows here are whole texts; a set value stays.
+
+    Spark itself ends a batch at 64 MB (``spark.sql.execution.arrow.maxBytesPerBatch``).
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(rows))
@@ -53,6 +57,22 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+@contextlib.contextmanager
+def scope():
+    """Tables made inside are deleted at its end, but for those that ``keep`` was called with."""
+    before, kept = set(_live), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.scratch_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for where in set(_live) - before - kept:
+            _delete(_live[where], where)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete tables of ``table`` that nothing reads any more."""
     for df in frames:

@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 docs.  ``run`` writes what a stage returns as Parquet and rereads it as the next stage's docs.
 
 Defined cases are those of the operators: null and empty texts pass every filter and end as a piece of
-one closing id; repeated rows are near duplicates of each other, so one stays; extra columns travel
-along to the packing.
+one closing id; rows of one doc_id are versions of one document, of which the one whose text has the
+least digest stays, once; extra columns travel along to the packing.
 """
 
 from __future__ import annotations
@@ -45,7 +45,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = docs.where("doc_id is not null").select("doc_id")
     if ids.count() == ids.distinct().count():
         return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).union(left.where("doc_id is null"))
+    # versions of one document: always the same one stays
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    some = left.where("doc_id is not null").withColumn("_digest", digest)
+    least = some.groupBy("doc_id").agg(F.min("_digest").alias("_digest"))
+    one = some.join(least, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"])
+    return one.select(*(F.col(f"`{c}`") for c in docs.columns)).union(left.where("doc_id is null"))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,5 +82,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch.scope() as keep:  # a stage's own tables go with it, and its input
+            docs = keep(scratch.table(stage(spark, docs, sf_dir), name))
+        if hasattr(before, "scratch_path"):
+            scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

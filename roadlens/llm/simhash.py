@@ -18,7 +18,8 @@ texts, so that the lists stay small and a pair of similarity 0.8 is found with p
 Equal texts collapse first and are never paired.  Pass one keeps, of all a fingerprint's lists, only its
 nearest other one and its nearest of lesser id; those pairs are checked on the shingle sets, and linked.
 Pass two takes the texts that have any near fingerprint and emits the pairs whose classes still
-differ, so a large class is not expanded into its pairs.  Lists over ``LIST`` are cut into
+differ, so a large class is not expanded into its pairs; the triangle inequality over a pivot of each
+large near group spares those of its pairs that cannot be similar (``pivots``).  Lists over ``LIST`` are cut into
 blocks which meet pairwise in tasks of their own.
 
 Defined cases: null texts are classes of their own; texts without words are linked only to equal
@@ -180,41 +181,46 @@ class Filters:
             yield row, key
 
 
-ENTRY = "list long, node long, f0 long, f1 long, root long"
+ONE = {"node": "long", "f0": "long", "f1": "long"}  # an entry's columns in pass one
+TWO = ONE | {"root": "long", "pivot": "long", "far": "double"}  # and in pass two
 
 
-def _deal(filters_of):
-    """(node, f0, f1, root) to entries of lists."""
+def _deal(filters_of, names: list[str]):
+    """Nodes with these columns to entries of lists."""
 
     def run(batches):
         for batch in batches:
-            node, f0, f1, root = (c.to_numpy() for c in batch.columns)
-            f = np.stack([f0, f1], 1).view(np.uint64)
+            cols = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names}
+            f = np.stack([cols["f0"], cols["f1"]], 1).view(np.uint64)
             for row, key in filters_of.value.lists(f):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node[row], f0[row], f1[row], root[row])], names=["list", "node", "f0", "f1", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[row]) for c in cols.values())], names=["list", *names])
 
     return run
 
 
-def _compare(f: np.ndarray, node: np.ndarray, block: np.ndarray, cross: bool, root: np.ndarray, all_pairs: bool, near: int):
+def _compare(x: dict, cross: bool, all_pairs: bool, near: int, similarity: float):
     """(node, other, bits) of one list (or pair of blocks) with fingerprints at most ``near`` bits apart.
 
     All pairs of different roots, node < other; or of each node its nearest other one and its nearest
-    among those of lesser id, by which a group of near copies hangs together at once.
+    among those of lesser id, by which a group of near copies hangs together at once.  As 1 - Jaccard is
+    a metric, two texts whose distances to a common pivot differ by over 1 - similarity are no pair.
     """
+    f, node, block = np.stack([x["f0"], x["f1"]], 1).view(np.uint64), x["node"], x["block"]
     n = len(node)
     out = []
     for lo in range(0, n, 256):
         hi = min(n, lo + 256)
-        if all_pairs and root[lo] == root[hi - 1] and (root == root[lo]).all():
+        if all_pairs and (x["root"] == x["root"][lo]).all():
             continue
         d = np.bitwise_count(f[lo:hi, None, 0] ^ f[None, :, 0]) + np.bitwise_count(f[lo:hi, None, 1] ^ f[None, :, 1])
         bad = node[lo:hi, None] == node[None, :]
         if cross:
             bad |= block[lo:hi, None] == block[None, :]
         if all_pairs:
+            root, pivot, far = x["root"], x["pivot"], x["far"]
             bad |= root[lo:hi, None] == root[None, :]
             bad |= node[lo:hi, None] > node[None, :]
+            bad |= (pivot[lo:hi, None] == pivot[None, :]) & (np.abs(far[lo:hi, None] - far[None, :]) > 1 - similarity + 1e-6)
         d[bad] = 255
         if all_pairs:
             i, j = np.nonzero(d <= near)
@@ -228,44 +234,57 @@ def _compare(f: np.ndarray, node: np.ndarray, block: np.ndarray, cross: bool, ro
     return out
 
 
-def _search(all_pairs: bool, near: int):
+def _nearest(x: np.ndarray) -> np.ndarray:
+    """Of rows (node, other, bits) each node's nearest other one and nearest of lesser id."""
+    keep = []
+    for part in (x, x[x[:, 1] < x[:, 0]]):
+        part = part[np.lexsort((part[:, 1], part[:, 2], part[:, 0]))]
+        keep.append(part[np.append(True, part[1:, 0] != part[:-1, 0])] if len(part) else part)
+    return np.unique(np.concatenate(keep), axis=0)
+
+
+def _search(all_pairs: bool, near: int, similarity: float):
     """Entries sorted by (list, cell) to what ``_compare`` finds, without repetitions."""
 
     def run(batches):
-        held: list = []
+        held: dict = {}
         found: list = []
 
         def work(x):
-            _, cell, block, node, f0, f1, root = x
-            if len(node) < 2:
-                return
-            if all_pairs:
-                o = np.argsort(root, kind="stable")
-                block, node, f0, f1, root = block[o], node[o], f0[o], f1[o], root[o]
-            found.extend(_compare(np.stack([f0, f1], 1).view(np.uint64), node, block, blocks.crosses(int(cell[0])), root, all_pairs, near))
-
-        def drain():
-            x = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-            found.clear()
+            if len(x["node"]) > 1:
+                found.extend(_compare(x, blocks.crosses(int(x["cell"][0])), all_pairs, near, similarity))
+
+        def gather():
+            x = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+            found[:] = [np.unique(x, axis=0) if all_pairs else _nearest(x)]
+            return found[0]
+
+        def batch_of(x):
             return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2].astype(np.int32))], names=["node", "other", "bits"])
 
+        limit = 200_000
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
-            if not len(cols[0]):
+            cols = dict(zip(batch.schema.names, (c.to_numpy() for c in batch.columns), strict=True))
+            if not batch.num_rows:
                 continue
             if held:
-                cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
-            cut = np.append(np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1, len(cols[0]))
+                cols = {c: np.concatenate([held[c], v]) for c, v in cols.items()}
+            lists, cells = cols["list"], cols["cell"]
+            cut = np.append(np.flatnonzero((lists[1:] != lists[:-1]) | (cells[1:] != cells[:-1])) + 1, len(lists))
             at = 0
             for to in cut[:-1]:
-                work([c[at:to] for c in cols])
+                work({c: v[at:to] for c, v in cols.items()})
                 at = to
-            held = [c[at:] for c in cols]
-            if sum(map(len, found)) > 200_000:
-                yield drain()
+            held = {c: v[at:] for c, v in cols.items()}
+            if sum(map(len, found)) > limit:
+                left = len(gather())
+                if all_pairs or left > 4_000_000:
+                    yield batch_of(found.pop())
+                else:
+                    limit = max(200_000, 2 * left)
         if held:
             work(held)
-        yield drain()
+        yield batch_of(gather())
 
     return run
 
@@ -278,46 +297,71 @@ def _zip(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([z.compress(t.encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["node", "z"])
 
 
-def _verify(similarity: float):
-    def run(batches):
-        z = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
-                a, b = part.column(0).to_numpy(), part.column(1).to_numpy()
-                memo: dict[int, np.ndarray] = {}
-
-                def shingled(node, raw, memo=memo):
-                    if node not in memo:
-                        t = z.decompress(raw)
-                        s = tv.Slice(0, np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-                        ws, we, _ = s.words(tv.ALNUM)
-                        memo[node] = np.unique(shingles(s.span_hash(ws, we)))
-                    return memo[node]
-
-                ok = []
-                for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                    p, q = shingled(int(x), part.column(2)[i].as_py()), shingled(int(y), part.column(3)[i].as_py())
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    ok.append(both > 0 and both >= similarity * (len(p) + len(q) - both) - 1e-9)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], names=["a", "b"])
-
-    return run
+def _similar(batches):
+    """(a, b, za, zb) to (a, b, Jaccard similarity of the texts)."""
+    z = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
+            a, b = part.column(0).to_numpy(), part.column(1).to_numpy()
+            memo: dict[int, np.ndarray] = {}
+
+            def shingled(node, raw, memo=memo):
+                if node not in memo:
+                    t = z.decompress(raw)
+                    s = tv.Slice(0, np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+                    ws, we, _ = s.words(tv.ALNUM)
+                    memo[node] = np.unique(shingles(s.span_hash(ws, we)))
+                return memo[node]
+
+            out = []
+            for i, (x, y) in enumerate(zip(a, b, strict=True)):
+                p, q = shingled(int(x), part.column(2)[i].as_py()), shingled(int(y), part.column(3)[i].as_py())
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                out.append(both / max(1, len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.float64())], names=["a", "b", "j"])
+
+
+def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the Jaccard similarity j of their texts (node, z)."""
+    left = texts.select(F.col("node").alias("a"), F.col("z").alias("za"))
+    right = texts.select(F.col("node").alias("b"), F.col("z").alias("zb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(tv.tidy(_similar), "a long, b long, j double")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Those of pairs (a, b) whose texts (node, z) are at least so similar."""
-    left = texts.select(F.col("node").alias("a"), F.col("z").alias("za"))
-    right = texts.select(F.col("node").alias("b"), F.col("z").alias("zb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(tv.tidy(_verify(similarity)), "a long, b long")
+    return similarities(pairs, texts).where((F.col("j") > 0) & (F.col("j") >= similarity - 1e-9)).select("a", "b")
+
 
+def pivots(near: DataFrame, good: DataFrame, texts: DataFrame, least: int = 64) -> DataFrame:
+    """(node, pivot, far): a text common to a node's whole near group, and 1 - similarity to it.
 
-def _candidates(nodes: DataFrame, filters_of, limit: int, all_pairs: bool, near: int = NEAR) -> DataFrame:
-    """Distinct candidate pairs (a, b) among nodes (node, f0, f1, root); at most two of each node unless ``all_pairs``."""
+    A near group is what hangs together by near pairs (a, b), similar or not; its pivot is the text with
+    most links.  Groups of fewer than ``least`` texts have none: their pairs are few.
+    """
+    group = scratch.table(components(near), "groups")
+    both = good.union(good.select("b", "a")).toDF("node", "_x")
+    degree = both.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max_by("node", F.struct(F.coalesce("n", F.lit(0)), -F.col("node")))
+    hub = group.join(degree, "node", "left").groupBy("root").agg(best.alias("pivot"), F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
+    hub = scratch.table(hub.select("root", "pivot", F.ceil(F.col("size") / least).cast("int").alias("salts")), "hubs")
+    # the pivot's text goes once for each ``least`` texts, so that no task holds a group
+    centre = hub.join(texts, F.col("pivot") == F.col("node")).select("pivot", F.col("z").alias("zb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    mine = group.join(hub, "root").where("node <> pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))
+    pairs = mine.join(texts.select("node", F.col("z").alias("za")), "node").join(centre, ["pivot", "salt"])
+    far = pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "za", "zb").mapInArrow(tv.tidy(_similar), "a long, b long, j double")
+    return far.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("j")).alias("far")).union(hub.select("pivot", "pivot", F.lit(0.0)))
+
+
+def _candidates(nodes: DataFrame, filters_of, limit: int, all_pairs: bool, near: int = NEAR, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct candidate pairs (a, b) among nodes (columns ``TWO`` or ``ONE``); at most two of each node unless ``all_pairs``."""
     spark = nodes.sparkSession
-    entries = blocks.dealt(nodes.mapInArrow(tv.tidy(_deal(filters_of)), ENTRY), ["list"], limit).select("list", "cell", "block", "node", "f0", "f1", "root")
+    kinds = TWO if all_pairs else ONE
+    schema = ", ".join(f"{c} {k}" for c, k in ({"list": "long"} | kinds).items())
+    entries = blocks.dealt(nodes.select(*kinds).mapInArrow(tv.tidy(_deal(filters_of, list(kinds))), schema), ["list"], limit).select("list", "cell", "block", *kinds)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = entries.repartition(parts, "list", "cell").sortWithinPartitions("list", "cell").mapInArrow(tv.tidy(_search(all_pairs, near)), "node long, other long, bits int")
+    found = entries.repartition(parts, "list", "cell").sortWithinPartitions("list", "cell").mapInArrow(tv.tidy(_search(all_pairs, near, similarity)), "node long, other long, bits int")
     if not all_pairs:
         nearest = F.struct("bits", "other")
         found = found.groupBy("node").agg(F.min(nearest).alias("x"), F.min(F.when(F.col("other") < F.col("node"), nearest)).alias("y"))
@@ -341,12 +385,12 @@ def links(reps: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, rec
     few_of = spark.sparkContext.broadcast(Filters(plan(max(2, n_few), recall, similarity, FEW_FLIP)))
 
     def search(nodes: DataFrame, all_pairs: bool) -> DataFrame:
-        found = _candidates(nodes.drop("few"), filters_of, limit, all_pairs)
+        found = _candidates(nodes, filters_of, limit, all_pairs, NEAR, similarity)
         if not n_few:
             return found
-        return found.union(_candidates(nodes.where("few").drop("few"), few_of, limit, all_pairs, FEW_NEAR)).distinct()
+        return found.union(_candidates(nodes.where("few"), few_of, limit, all_pairs, FEW_NEAR, similarity)).distinct()
 
-    deal = reps.select("node", "f0", "f1", F.col("node").alias("root"), "few").repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 2000))))
+    deal = reps.select("node", "f0", "f1", "few").repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 2000))))
     first = scratch.table(search(deal, False), "near")
     active = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     packed = texts.where("text is not null").mapInArrow(tv.tidy(_zip), "node long, z binary")
@@ -354,7 +398,9 @@ def links(reps: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, rec
     own = scratch.table(packed.join(active.hint("merge"), "node"), "texts")
     good = scratch.table(verified(_sure(first, reps), own, similarity), "links")
     roots = components(good)
-    again = active.join(reps, "node").join(roots, "node", "left").select("node", "f0", "f1", F.coalesce("root", "node").alias("root"), "few")
+    pivot = scratch.table(pivots(first, good, own), "pivots")
+    again = active.join(reps, "node").join(roots, "node", "left").join(pivot, "node", "left")
+    again = again.select("node", "f0", "f1", F.coalesce("root", "node").alias("root"), F.coalesce("pivot", -1 - F.col("node")).alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"), "few")
     again = scratch.table(again, "active")
     # the pairs of pass one that failed are known; what is left has different roots
     rest = search(again, True).join(first, ["a", "b"], "left_anti")

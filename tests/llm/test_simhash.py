@@ -110,3 +110,40 @@ def test_components(spark):
     want = {9: 1, 8: 1, 7: 1, 21: 20, 22: 20, 5: 4} | {101 + i: 100 for i in range(40)}
     assert got == want
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_pivots_lose_no_link(spark, monkeypatch):
+    """A group of texts about as far from each other as the threshold, with a pivot for each near group of three."""
+    rng = random.Random(8)
+    base = [f"word{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.choice((0, 1, 2, 3, 4, 6))):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10_000)}"
+        rows.append((100 + i, " ".join(w)))
+    whole = simhash.pivots
+    monkeypatch.setattr(simhash, "pivots", lambda near, good, texts: whole(near, good, texts, 3))
+    assert run(spark, rows, recall=0.99999) == brute(rows)
+
+
+def test_shipped_recall_on_borderline_pairs(spark):
+    """Pairs of similarity just over 0.8, long and short, by the shipped settings."""
+    rng = random.Random(4)
+    rows, want = [], 0
+    for i in range(150):
+        n = rng.choice((9, 20, 60, 200))
+        w = [f"u{i}x{k}" for k in range(n + 4)]
+        v = list(w)
+        while True:  # change words at the end, as far as the similarity allows
+            u = list(v)
+            u[len(u) - 1 - sum(a != b for a, b in zip(w, v, strict=True))] = "changed" + str(i)
+            a, b = shingles(" ".join(w)), shingles(" ".join(u))
+            if len(a & b) < 0.8 * len(a | b):
+                break
+            v = u
+        if v != w:
+            rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+            want += 1
+    got = {r[0]: r[1] for r in run(spark, rows)}
+    assert sum(got[i] == got[i + 1] for i, _ in rows[::2]) >= 0.96 * want and want > 100

@@ -222,22 +222,6 @@ def breakdown_shards(spark, sf):
     return B.explode_shards(read(spark, sf, "gt_boxes"), every).groupBy("generator", "shard").agg(F.count(F.lit(1)).alias("n"))
 
 
-_COUNTS = f"""c AS (SELECT type, cutoff, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit AND NOT nlz) AS fp FROM (
-SELECT p.type, cutoff, nlz, m.pd IS NOT NULL AS hit FROM {{pd}} p JOIN (VALUES (0.0::double), (0.3::double), (0.6::double)) k(cutoff) ON score >= cutoff
-LEFT JOIN (SELECT frame, pd FROM (SELECT frame, gt, arg_min(pd, (-iou, pd)) AS pd FROM {_PAIRS} WHERE iou >= {_THR} GROUP BY frame, type, gt) GROUP BY ALL) m ON m.frame = p.frame AND m.pd = p.id) GROUP BY ALL)"""
-
-
-@query(f"""WITH {_COUNTS} SELECT c.type, cutoff, tp, fp, n - tp AS fn, round(CASE WHEN tp = 0 THEN 1.0 ELSE tp / (tp + fp) END, 6) AS precision, round(tp / n, 6) AS recall
-FROM c JOIN (SELECT type, count(*) AS n FROM {{gt}} GROUP BY 1) g ON g.type = c.type""")
-def precision_recall_curve(spark, sf):
-    best = D.best_per_gt(_pairs(spark, sf), D.threshold(F.col("type"))).select("frame", F.col("pd").alias("id"), F.lit(True).alias("hit")).distinct()
-    p = D.above_cutoffs(read(spark, sf, "pd_boxes"), [0.0, 0.3, 0.6]).join(best, ["frame", "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    c = p.groupBy("type", "cutoff").agg(F.sum(F.col("hit").cast("long")).alias("tp"), F.sum((~F.col("hit") & ~F.col("nlz")).cast("long")).alias("fp"))
-    n = read(spark, sf, "gt_boxes").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    c = c.join(n, "type").select("type", "cutoff", "tp", "fp", (F.col("n") - F.col("tp")).alias("fn"), F.lit(0.0).alias("sum_ha"), F.lit(0.0).alias("sum_la"))
-    return D.curve(c).select("type", "cutoff", "tp", "fp", "fn", r6("precision").alias("precision"), r6("recall").alias("recall"))
-
-
 @query("""SELECT type, round(avg(greatest(0, least(1, 1 - abs(d - 2 * pi() * floor((d + pi()) / (2 * pi()))) / pi()))), 6) AS accuracy
 FROM (SELECT g.type, p.heading - g.heading AS d FROM {pd} p JOIN {gt} g ON p.frame = g.frame AND p.id = g.id) GROUP BY 1""")
 def heading_accuracy(spark, sf):

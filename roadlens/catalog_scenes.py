@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadlens.catalog import _keypoints, _motion, query, r6, read
+from roadlens.catalog import _CELLS, _cells, _keypoints, _motion, query, r6, read
 from roadlens.functions import geometry as G
 from roadlens.operators import detection as D
 from roadlens.operators import keypoints as K
@@ -281,6 +281,57 @@ def built_range_image(spark, sf):
     return L.to_range_image(g, ["image"], [0.1, 0.05, 0.0, -0.05, -0.1], 64).select("row", "col", r6("range").alias("range"))
 
 
+_BEAMS = "[0.1, 0.07, 0.05, 0.02, 0.0, -0.05, -0.1, -0.2]"
+
+
+@query(f"""WITH p AS (SELECT vec_id, CAST((i - 1) // 8 AS INTEGER) AS row, CAST((i - 1) % 8 AS INTEGER) AS col, r FROM (SELECT vec_id, unnest(embedding)::double AS r, unnest(range(1, 65)) AS i FROM embeddings WHERE embedding IS NOT NULL) WHERE r > 0),
+q AS (SELECT *, {_BEAMS}[row + 1] AS b, ((8 - col - 0.5) / 8 * 2 - 1) * pi() - 0.3 AS a, CASE WHEN (row + col) % 3 <> 0 THEN 1 + (row + vec_id) % 5 ELSE 0 END AS camera FROM p)
+SELECT vec_id, camera, count(*) AS n, round(sum(r * cos(b) * cos(a)), 4) + 0.0::double AS x, round(sum(r * cos(b) * sin(a)), 4) + 0.0::double AS y, round(sum(r * sin(b)), 4) + 0.0::double AS z, CAST(sum(CASE WHEN camera > 0 THEN col * 10 END) AS BIGINT) AS u FROM q GROUP BY 1, 2""")
+def projected_points(spark, sf):
+    """Points of a table of beams with their camera projections."""
+    e = read(spark, sf, "embeddings").where("embedding is not null").select("vec_id", _c("embedding").cast("array<double>").alias("values"), F.array(F.lit(8), F.lit(8), F.lit(1)).alias("shape"))
+    px = L.pixels(e, "values", "shape", ["range"], ["vec_id"])
+    cloud = L.point_cloud_by_beams(px, [-0.2, -0.1, -0.05, 0.0, 0.02, 0.05, 0.07, 0.1], 8, 0.3)
+    none = F.lit(0).cast("long")
+    seen = px.where((_c("row") + _c("col")) % 3 != 0).select("vec_id", "row", "col", (1 + (_c("row") + _c("vec_id")) % 5).alias("camera1"), (_c("col") * 10).cast("long").alias("u1"), none.alias("v1"), none.alias("camera2"), none.alias("u2"), none.alias("v2"))
+    out = L.with_projections(cloud, seen, ["vec_id"]).groupBy("vec_id", _c("camera1").alias("camera"))
+    return out.agg(F.count(F.lit(1)).alias("n"), *((F.round(F.sum(c), 4) + 0.0).alias(c) for c in "xyz"), F.sum("u1").alias("u"))
+
+
+@query("SELECT frame, id, points FROM (SELECT frame, id, points, CASE WHEN part % 3 > 0 THEN part END AS part, CASE WHEN points > 2 THEN [points] ELSE [] END AS labels FROM {gt}) WHERE part IS NOT NULL AND len(labels) > 0")
+def present_fields(spark, sf):
+    """Rows that have a nested field and a list with anything in it."""
+    g = read(spark, sf, "gt_boxes")
+    rows = g.select("frame", "id", "points", F.struct(F.when(_c("part") % 3 > 0, _c("part")).alias("part")).alias("box"), F.when(_c("points") > 2, F.array("points")).otherwise(F.array().cast("array<bigint>")).alias("labels"))
+    return REL.has_fields(rows, ["box.part", "labels"]).select("frame", "id", "points")
+
+
+@query("SELECT object % 20 AS scenario, step, x, y FROM {tracks} WHERE object < 20")
+def vehicle_states(spark, sf):
+    """The states of each scenario's own vehicle."""
+    t = read(spark, sf, "tracks").withColumns({"scenario": _c("object") % 20, "is_sdc": _c("object") < 20})
+    return scenarios.of_vehicle(t, ["scenario"], ["x", "y"]).select("scenario", "step", "x", "y")
+
+
+@query("""SELECT coalesce(g.id, p.id) AS object, coalesce(g.kind, p.kind) AS kind, coalesce(g.x, 0) AS gx, coalesce(p.x, 0) AS px, coalesce(gv, 0) AS gv, coalesce(pv, 0) AS pv FROM (SELECT part AS id, id AS kind, min(cx) AS x, min(points % 3) AS gv FROM {gt} WHERE points > 0 GROUP BY 1, 2) g
+FULL JOIN (SELECT part AS id, id AS kind, min(cx + turn) AS x, min(part % 3) AS pv FROM {gt} WHERE points < 8 GROUP BY 1, 2) p ON p.id = g.id AND p.kind = g.kind""")
+def padded_keypoints(spark, sf):
+    """Matched objects' points side by side, with zeros for what one side lacks."""
+    g = read(spark, sf, "gt_boxes")
+    gt = g.where("points > 0").groupBy(_c("part").alias("id"), _c("id").alias("kind")).agg(F.min("cx").alias("gx"), F.lit(0.0).alias("gy"), F.min(_c("points") % 3).alias("gv"), F.lit(1.0).alias("scale"))
+    pd_ = g.where("points < 8").groupBy(_c("part").alias("id"), _c("id").alias("kind")).agg(F.min(_c("cx") + _c("turn")).alias("px"), F.lit(0.0).alias("py"), F.min(_c("part") % 3).alias("pv"))
+    match = gt.select(_c("id").alias("gt")).distinct().withColumn("pred", _c("gt"))
+    return K.with_unmatched(gt, pd_, match).select(F.coalesce("gt", "pred").alias("object"), "kind", "gx", "px", "gv", "pv")
+
+
+@query("SELECT 'soft_iou' AS metric, round(avg(v), 6) AS value FROM (SELECT sum(t * p) / sum(t + p - t * p) AS v FROM " + _CELLS + " GROUP BY waypoint HAVING sum(t) > 0) UNION ALL SELECT 'epe', round(avg(v), 6) FROM (SELECT avg(sqrt((tx - px) ** 2 + (ty - py) ** 2)) AS v FROM " + _CELLS + " WHERE tx <> 0 OR ty <> 0 GROUP BY waypoint)")
+def occupancy_means(spark, sf):
+    """Occupancy and flow metrics averaged over waypoints."""
+    cells = _cells(spark, sf)
+    a = O.over_waypoints(O.soft_iou(cells, ["waypoint"]), "soft_iou").select(F.lit("soft_iou").alias("metric"), r6("soft_iou").alias("value"))
+    return a.union(O.over_waypoints(O.flow_error(cells, ["waypoint"]), "epe").select(F.lit("epe"), r6("epe")))
+
+
 @query("SELECT frame, CAST(id AS INTEGER) - 2 AS row, CAST(part % 10 AS INTEGER) - 3 AS col, cx AS range FROM {gt} WHERE id BETWEEN 2 AND 5 AND part % 10 BETWEEN 3 AND 7")
 def range_crop(spark, sf):
     px = read(spark, sf, "gt_boxes").select("frame", _c("id").cast("int").alias("row"), (_c("part") % 10).cast("int").alias("col"), _c("cx").alias("range"))
@@ -345,16 +396,36 @@ sets AS (SELECT frame, type, cutoff, [p] AS ps, [g] AS gs, [level] AS levels, w
 best AS (SELECT frame, type, cutoff, max(len(ps)) AS n, arg_max(levels, w) AS levels, arg_max(ps, w) AS ps, arg_max(gs, w) AS gs, max(w) AS w FROM sets GROUP BY 1, 2, 3)"""
 
 
-@query(f"""WITH RECURSIVE {_BEST}, m AS (SELECT frame, type, cutoff, unnest(ps) AS p, unnest(levels) AS level FROM best),
+_COUNTED = f"""WITH RECURSIVE {_BEST}, m AS (SELECT frame, type, cutoff, unnest(ps) AS p, unnest(levels) AS level FROM best),
 tp AS (SELECT type, cutoff, count(*) AS tp, count(*) FILTER (level = 1) AS tp1 FROM m GROUP BY 1, 2),
 p AS (SELECT type, cutoff, count(*) FILTER (NOT nlz OR hit) AS made FROM (SELECT d.*, k.cutoff, EXISTS (SELECT 1 FROM m WHERE m.frame = d.frame AND m.p = d.id AND m.type = d.type AND m.cutoff = k.cutoff) AS hit FROM {{pd}} d JOIN (VALUES (0.0::double), (0.3::double), (0.6::double)) AS k(cutoff) ON d.score >= k.cutoff) GROUP BY 1, 2),
-g AS (SELECT type, count(*) AS n, count(*) FILTER (points > 5) AS n1 FROM {{gt}} WHERE points > 0 GROUP BY 1)
-SELECT CAST(g.type - 1 AS INTEGER) AS shard, CAST(l AS INTEGER) AS level, k.cutoff, coalesce(tp, 0) AS tp, coalesce(made, 0) - coalesce(tp, 0) AS fp, CASE WHEN l = 2 THEN n - coalesce(tp, 0) ELSE n1 - coalesce(tp1, 0) END AS fn
-FROM g CROSS JOIN (VALUES (0.0::double), (0.3::double), (0.6::double)) AS k(cutoff) CROSS JOIN (VALUES (1), (2)) AS v(l) LEFT JOIN tp ON tp.type = g.type AND tp.cutoff = k.cutoff LEFT JOIN p ON p.type = g.type AND p.cutoff = k.cutoff""")
+g AS (SELECT type, count(*) AS n, count(*) FILTER (points > 5) AS n1 FROM {{gt}} WHERE points > 0 GROUP BY 1),
+counted AS (SELECT CAST(g.type - 1 AS INTEGER) AS shard, CAST(l AS INTEGER) AS level, k.cutoff, coalesce(tp, 0) AS tp, coalesce(made, 0) - coalesce(tp, 0) AS fp, CASE WHEN l = 2 THEN n - coalesce(tp, 0) ELSE n1 - coalesce(tp1, 0) END AS fn
+FROM g CROSS JOIN (VALUES (0.0::double), (0.3::double), (0.6::double)) AS k(cutoff) CROSS JOIN (VALUES (1), (2)) AS v(l) LEFT JOIN tp ON tp.type = g.type AND tp.cutoff = k.cutoff LEFT JOIN p ON p.type = g.type AND p.cutoff = k.cutoff),
+curved AS (SELECT *, CASE WHEN tp = 0 THEN 1.0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM counted)"""
+
+
+def _counted(spark, sf):
+    p, g = read(spark, sf, "pd_boxes"), D.ground_truths(read(spark, sf, "gt_boxes"))
+    return D.measure(p, g, [0.0, 0.3, 0.6], kind="aa")
+
+
+@query(f"{_COUNTED} SELECT shard, level, cutoff, tp, fp, fn FROM counted")
 def detection_counts(spark, sf):
     """Counters of optimal matching with axis-aligned overlap; the SQL tries every set of disjoint pairs."""
-    p, g = read(spark, sf, "pd_boxes"), D.ground_truths(read(spark, sf, "gt_boxes"))
-    return D.measure(p, g, [0.0, 0.3, 0.6], kind="aa").select("shard", "level", "cutoff", "tp", "fp", "fn")
+    return _counted(spark, sf).select("shard", "level", "cutoff", "tp", "fp", "fn")
+
+
+@query(f"{_COUNTED} SELECT shard, level, cutoff, round(precision, 6) AS precision, round(recall, 6) AS recall FROM curved")
+def precision_recall_curve(spark, sf):
+    """Precision and recall of one-to-one matches."""
+    return D.curve(_counted(spark, sf)).select("shard", "level", "cutoff", r6("precision").alias("precision"), r6("recall").alias("recall"))
+
+
+@query(f"{_COUNTED} SELECT shard, level, round(max(CASE WHEN precision > 0.75 THEN recall END), 6) AS recall FROM curved GROUP BY 1, 2")
+def recall_at_precision(spark, sf):
+    """The largest recall at a precision above 0.75."""
+    return D.recall_at(_counted(spark, sf), 0.75).select("shard", "level", r6("recall").alias("recall"))
 
 
 @query(f"""WITH RECURSIVE {_BEST.replace("(VALUES (0.0::double), (0.3::double), (0.6::double))", "(VALUES (0.0::double))")}, b AS (SELECT frame, type, sum(w) AS w, max(n) AS n FROM best GROUP BY 1, 2)

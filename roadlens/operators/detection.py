@@ -73,12 +73,14 @@ def estimate_cutoffs(scores: DataFrame, n: int) -> DataFrame:
     sizes = [total // buckets + (i < total % buckets) for i in range(buckets)]
     at = [0, *np.cumsum(sizes)[:-1].tolist()]
     want = spark.createDataFrame([(i, int(r)) for i, r in enumerate(at)], "position int, rank long")
-    found = ranked(scores).join(F.broadcast(want), "rank").select("position", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("cutoff"))
+    # at most n wanted ranks against ranges of ranks, one a distinct score
+    among = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
+    found = ranked(scores).join(F.broadcast(want), among).select("position", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("cutoff"))
     return found.union(spark.createDataFrame([(n - 1, 1.0)], "position int, cutoff double"))
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    """(score, rank) for distinct scores expanded to their ranks' ranges, without one task of all rows.
+    """(score, first, n): the least rank and number of each distinct score, without one task of all rows.
 
     Scores are counted by value; the running count over values is made of sums over ranges of values.
     """
@@ -89,8 +91,7 @@ def ranked(scores: DataFrame) -> DataFrame:
     sums = bucketed.groupBy("b").agg(F.sum("n").alias("m"))  # one row per 1/1024 of the score range
     before = sums.select("b", (F.sum("m").over(Window.orderBy("b")) - F.col("m")).alias("base"))
     inside = F.sum("n").over(Window.partitionBy("b").orderBy("score")) - F.col("n")
-    first = bucketed.withColumn("inside", inside).join(F.broadcast(before), "b").select("score", (F.col("base") + F.col("inside")).alias("first"), "n")
-    return first.select("score", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("rank"))
+    return bucketed.withColumn("inside", inside).join(F.broadcast(before), "b").select("score", (F.col("base") + F.col("inside")).alias("first"), "n")
 
 
 COUNTS = "generator string, shard int, level int, cutoff double, tp long, fp long, fn long, sum_ha double, sum_la double"

@@ -42,6 +42,20 @@ def point_cloud(px: DataFrame, height: int, width: int, low: float, high: float)
     return px.where("range > 0").withColumns({"x": x, "y": y, "z": z})
 
 
+def point_cloud_by_beams(px: DataFrame, inclinations: list[float], width: int, yaw: float = 0.0) -> DataFrame:
+    """Points of pixels with a range above 0, each row having its own beam; beams are given from the lowest up."""
+    beams = F.array(*(F.lit(float(b)) for b in reversed(inclinations)))
+    x, y, z = cartesian(F.col("range"), F.element_at(beams, F.col("row") + 1), azimuth(F.col("col"), width, yaw))
+    return px.where("range > 0").withColumns({"x": x, "y": y, "z": z})
+
+
+def with_projections(points: DataFrame, projections: DataFrame, by: list[str]) -> DataFrame:
+    """Points with their pixel's camera projections (camera1, u1, v1, camera2, u2, v2); camera 0 where a pixel has none."""
+    names = [f"{c}{i}" for i in (1, 2) for c in ("camera", "u", "v")]
+    out = points.join(projections.select(*by, "row", "col", *names), [*by, "row", "col"], "left")
+    return out.withColumns({f"camera{i}": F.coalesce(f"camera{i}", F.lit(0)) for i in (1, 2)})
+
+
 def to_range_image(points: DataFrame, by: list[str], inclinations: list[float], width: int) -> DataFrame:
     """(by.., row, col, range): points to pixels of the nearest beam and rounded column, nearest point wins."""
     r = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)

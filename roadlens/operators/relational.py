@@ -96,6 +96,15 @@ def require_all(left: DataFrame, right: DataFrame, on: list[str], message: str)
     return out.where(ok).drop("_there")
 
 
+def has_fields(df: DataFrame, fields: list[str]) -> DataFrame:
+    """Rows in which all the (possibly nested) fields are present; an empty list counts as absent."""
+    ok = F.lit(True)
+    for name in fields:
+        kind = df.select(name).schema[0].dataType
+        ok = ok & F.col(name).isNotNull() & (F.size(name) > 0 if isinstance(kind, T.ArrayType) else F.lit(True))
+    return df.where(ok)
+
+
 def missing_ids(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Ids of left that right lacks, once each."""
     return left.select(*on).distinct().join(right.select(*on).distinct(), on, "left_anti")

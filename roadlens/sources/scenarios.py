@@ -56,6 +56,13 @@ def augment(scenarios: DataFrame, parts: DataFrame, on: str, name: str) -> DataF
     return out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
 
 
+def of_vehicle(tracks: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """(by.., step, values..) of the vehicle's own track, one a scenario; fails where a step has two."""
+    own = tracks.where("is_sdc").groupBy(*by, "step").agg(F.count(F.lit(1)).alias("_n"), *(F.first(v).alias(v) for v in values))
+    ok = F.when(F.col("_n") > 1, F.raise_error(F.lit("several tracks of the vehicle itself")).cast("boolean")).otherwise(F.lit(True))
+    return own.where(ok).drop("_n")
+
+
 def token_vectors(tokens: DataFrame, codebook: DataFrame, size: int) -> DataFrame:
     """Tokens with their code vectors; the codebook holds ``size`` rows, and a token outside it fails."""
     ok = F.when((F.col("token") < 0) | (F.col("token") >= size), F.raise_error(F.concat(F.lit("token out of range: "), F.col("token").cast("string"))).cast("boolean")).otherwise(F.lit(True))

@@ -574,3 +574,6 @@ def windowed_events(spark, sf):
     return out.select("event_type", F.unix_timestamp("window.start").alias("window_start"), "n", F.round("total", 4).alias("total"))
 
 
+
+
+from roadlens import catalog_scenes  # noqa: E402, F401 - it adds its queries to these

@@ -20,6 +20,8 @@ similarities go to the earlier example of the index; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -114,7 +116,7 @@ class Index:
         self.most = np.maximum.reduceat(self.w, new) if len(new) else np.zeros(0)
         self.block = self.e[new] // BLOCK if len(new) else np.zeros(0, np.int32)
         self.block_at = np.searchsorted(t[new], np.arange(terms + 1))
-        self.begin = np.append(new, len(t))
+        self.begin = np.append(new, len(t)).astype(np.int32)
         self.matrix = None
 
     def __getstate__(self) -> dict:
@@ -203,7 +205,7 @@ class Model:
         return float(min(1.0, max(0.0, 0.999 * np.interp(vote, self.x, self.y) + 0.001 * vote)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 5000, k: int = 25) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, k: int = 25) -> Model:
     """Model from the texts of docs (doc_id, text) that labels (doc_id, toxic) marks.
 
     The labels are sampled before any text is met, so they are a table of about ``max_examples`` rows
@@ -252,12 +254,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 5000, k: int = 2
 
         def votes(batches):
             m = model_of.value
-            order = np.argsort(m.index.e, kind="stable")
-            e, w, t = m.index.e[order], m.index.w[order], np.repeat(np.arange(len(m.terms.hashes)), np.diff(m.index.at))[order]
-            at = np.searchsorted(e, np.arange(m.index.n + 1))
+            term_of = np.repeat(np.arange(len(m.terms.hashes), dtype=np.int32), np.diff(m.index.at))
             for batch in batches:
                 ids = batch.column(0).to_numpy()
-                out = [m.index.vote(*m.index.nearest(t[at[i] : at[i + 1]], w[at[i] : at[i + 1]], i), m.prior) for i in ids]
+                mine = np.zeros(m.index.n, bool)
+                mine[ids] = True
+                own = np.flatnonzero(mine[m.index.e])
+                own = own[np.argsort(m.index.e[own], kind="stable")]
+                e, w, t = m.index.e[own], m.index.w[own], term_of[own].astype(np.int64)
+                lo, hi = np.searchsorted(e, ids), np.searchsorted(e, ids, "right")
+                out = [m.index.vote(*m.index.nearest(t[a:b], w[a:b], int(i)), m.prior) for i, a, b in zip(ids, lo, hi, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "vote"])
 
         own = spark.range(index.n).repartition(min(64, -(-index.n // 256))).mapInArrow(tv.tidy(votes), "id long, vote double").toArrow()
@@ -287,9 +293,9 @@ def _score(model_of, keep: list[str]):
                             evidence.append([])
                             continue
                         ti, wi = t[at[r] : at[r + 1]], w[at[r] : at[r + 1]]
-                        same = (ti.tobytes(), wi.tobytes())
+                        same = hashlib.md5(ti.tobytes() + wi.tobytes()).digest()
                         if same not in memo:
-                            if len(memo) > 20_000:
+                            if len(memo) > 4096:
                                 memo.clear()
                             best, sim = m.index.nearest(ti, wi, part=part[r - lo])
                             near = [{"example_id": int(m.index.ids[i]), "similarity": float(x), "toxic": int(m.index.label[i])} for i, x in zip(best[:3], sim[:3], strict=True)]

@@ -5,9 +5,11 @@ consecutive ones stays), so any span of ten shared words keeps at least one comm
 Fingerprints of the documents are joined with those of the items, and each hit is extended to the
 whole ten-word windows around it, compared word by word.
 
-Scale: documents are read once and never shuffled.  The item index is cut into blocks of at most
-``block_windows`` windows; each block is broadcast (that bound is the proof of its size) and, with
-more than one block, the hits of a document are united by one aggregation on its row.
+Scale: documents are read once and never shuffled.  Only the hashes of the items' fingerprints and
+windows are broadcast, 16 bytes a window, in blocks of at most ``block_windows`` windows; each block is
+a look-up in the same scan's next step, not another scan.  What a scan finds is a small stored table: a
+text's places whose window hash some item has, with the words.  Those are joined with the table of
+windows by hash and words, once per distinct text.
 
 Defined cases: null or wordless text has no words and no hits; an item of fewer than ten words (but
 not none) is one window of its length; repeated rows each get their own result; equal windows of
@@ -18,19 +20,18 @@ several items count for each item.  Extra columns are ignored by ``decontaminate
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import textvec as tv
 
 WINDOW = 10
 GRAM = 5
 SPAN = WINDOW - GRAM + 1
-OUT = "row_id long, doc_id long, n_words long, hit_from array<int>, hit_to array<int>, item_ids array<long>"
 
 
 def _normal(buf: np.ndarray, ws: np.ndarray, we: np.ndarray, lo: int, hi: int) -> bytes:
@@ -71,17 +72,11 @@ def _item_windows(batches):
 
 
 class Index:
-    """Windows of some items: by length their sorted hashes, and by hash the words and items."""
+    """Sorted hashes of some windows, by length, and of their fingerprints."""
 
-    def __init__(self, rows):
-        self.items: dict[tuple[int, int], dict[bytes, set[int]]] = defaultdict(lambda: defaultdict(set))
-        prints: set[int] = set()
-        for r in rows:
-            self.items[r["n"], r["window"]][bytes(r["words"])].add(r["item_id"])
-            prints.update(r["prints"])
-        self.items = {k: dict(v) for k, v in self.items.items()}
-        self.hashes = {n: np.array(sorted(k[1] for k in self.items if k[0] == n), np.int64) for n in {k[0] for k in self.items}}
-        self.prints = np.array(sorted(prints), np.int64)
+    def __init__(self, n: np.ndarray, window: np.ndarray, prints: np.ndarray):
+        self.hashes = {int(k): np.unique(window[n == k]) for k in np.unique(n)}
+        self.prints = np.unique(prints)
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -91,131 +86,115 @@ def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == values
 
 
-def _scan(index_of):
+PLACE = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("window", pa.int64()), ("words", pa.binary())])
+OUT = "n_words long, places array<struct<at:int,n:int,window:bigint,words:binary>>"
+
+
+def places(s: tv.Slice, index: Index) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
+    """Of each row of a slice: number of words, and the places whose window hash some item has."""
+    ws, we, off = s.words(tv.ALNUM)
+    h = s.span_hash(ws, we)
+    last = np.repeat(off[1:], np.diff(off))  # the end of each word's row
+    out: list[list[dict]] = [[] for _ in range(s.rows)]
+    for n, known in index.hashes.items():
+        if n == WINDOW:
+            grams = tv.ngrams(h, GRAM)
+            if len(grams) < SPAN:
+                continue
+            own = _selected(grams)
+            own = own[_member(grams[own].astype(np.int64), index.prints)]
+            at = np.unique((own[:, None] - np.arange(SPAN)[None, :]).ravel())
+            at = at[(at >= 0) & (at + n <= len(h))]
+        else:
+            at = np.arange(max(0, len(h) - n + 1))
+        at = at[at + n <= last[at]]
+        if not len(at):
+            continue
+        whole = np.zeros(len(at), np.uint64)
+        for j in range(n):
+            whole += h[at + j] * tv.COMBINE[j]
+        whole = tv.mix(whole).astype(np.int64)
+        for i in np.flatnonzero(_member(whole, known)):
+            p = int(at[i])
+            r = int(np.searchsorted(off, p, "right")) - 1
+            out[r].append({"at": p - int(off[r]), "n": n, "window": int(whole[i]), "words": _normal(s.buf, ws, we, p, p + n)})
+    return np.diff(off), out
+
+
+def _scan(index_of: list, keep: list[str]):
+    """Rows with a text to their columns ``keep``, n_words and places."""
+
     def run(batches):
-        index: Index = index_of.value
         for batch in batches:
-            row_id, doc_id = batch.column(0), batch.column(1)
-            words, hit_from, hit_to, found = [], [], [], []
-            for s in tv.slices(batch.column(2)):
-                ws, we, off = s.words(tv.ALNUM)
-                h = s.span_hash(ws, we)
-                last = np.repeat(off[1:], np.diff(off))  # the end of each word's row
-                hits: dict[int, list[tuple[int, int, set[int]]]] = defaultdict(list)
-
-                def check(n, at, s=s, ws=ws, we=we, h=h, off=off, hits=hits):
-                    if not len(at):
-                        return
-                    whole = np.zeros(len(at), np.uint64)
-                    for j in range(n):
-                        whole += h[at + j] * tv.COMBINE[j]
-                    whole = tv.mix(whole).astype(np.int64)
-                    for i in np.flatnonzero(_member(whole, index.hashes[n])):
-                        p = int(at[i])
-                        items = index.items[n, int(whole[i])].get(_normal(s.buf, ws, we, p, p + n))
-                        if items:
-                            hits[int(np.searchsorted(off, p, "right")) - 1].append((p, p + n, items))
-
-                for n in index.hashes:
-                    if n == WINDOW:
-                        grams = tv.ngrams(h, GRAM)
-                        if len(grams) < SPAN:
-                            continue
-                        own = _selected(grams)
-                        own = own[_member(grams[own].astype(np.int64), index.prints)]
-                        at = np.unique((own[:, None] - np.arange(SPAN)[None, :]).ravel())
-                        at = at[(at >= 0) & (at + n <= len(h))]
-                        check(n, at[at + n <= last[at]])
-                    else:
-                        at = np.arange(max(0, len(h) - n + 1))
-                        check(n, at[at + n <= last[at]])
-                words.append(np.diff(off))
-                for r in range(s.rows):
-                    mine = sorted((a, b) for a, b, _ in hits.get(r, ()))
-                    runs: list[list[int]] = []
-                    for a, b in mine:
-                        if runs and a <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], b)
-                        else:
-                            runs.append([a, b])
-                    hit_from.append([a - int(off[r]) for a, _ in runs])
-                    hit_to.append([b - int(off[r]) for _, b in runs])
-                    found.append(sorted(set().union(*(x[2] for x in hits.get(r, ())))))
-            yield pa.RecordBatch.from_arrays(
-                [row_id, doc_id, pa.array(np.concatenate(words) if words else [], pa.int64()), pa.array(hit_from, pa.list_(pa.int32())), pa.array(hit_to, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))],
-                names=["row_id", "doc_id", "n_words", "hit_from", "hit_to", "item_ids"],
-            )
+            n_words, found = [], []
+            for s in tv.slices(batch.column(batch.schema.get_field_index("text"))):
+                every = [places(s, index.value) for index in index_of]
+                n_words.append(every[0][0])
+                found += [[x for e in every for x in e[1][r]] for r in range(s.rows)]
+            own = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array(found, pa.list_(PLACE))], names=[*keep, "n_words", "places"])
 
     return run
 
 
-def find(docs: DataFrame, items: DataFrame, block_windows: int = 500_000) -> DataFrame:
-    """Hits per row of docs: (row_id, doc_id, n_words, hit_from, hit_to, item_ids).
-
-    docs needs (row_id long, doc_id long, text string); hit_from/hit_to are word runs inside any
-    occurring window, merged where they overlap.
-    """
-    spark: SparkSession = docs.sparkSession
-    windows = items.select("item_id", "text").mapInArrow(tv.tidy(_item_windows), "item_id long, n int, window long, words binary, prints array<long>")
+def _indexes(windows: DataFrame, block_windows: int) -> list:
+    """The hashes of a stored table of windows as broadcasts of at most so many windows each."""
     blocks = max(1, -(-windows.count() // block_windows))
-    docs = docs.select("row_id", "doc_id", "text")
-    parts = []
+    out = []
     for b in range(blocks):
         mine = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("n", "window"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(Index(mine.toLocalIterator()))
-        parts.append(docs.mapInArrow(tv.tidy(_scan(index)), OUT))
-    if blocks == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    runs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to"))))
+        t = mine.select("n", "window", F.explode_outer("prints").alias("print")).distinct().toArrow()
+        prints = t.column("print").drop_null().to_numpy()
+        out.append(windows.sparkSession.sparkContext.broadcast(Index(t.column("n").to_numpy(), t.column("window").to_numpy(), prints)))
+    return out
+
+
+def scan(docs: DataFrame, items: DataFrame, block_windows: int = 5_000_000) -> tuple[DataFrame, DataFrame]:
+    """(rows, hits), both stored.
+
+    rows: doc_id, key (the text's digest, null for null) and n_words of each row of docs (doc_id, text);
+    hits: key, hit_from, hit_to, item_ids of each text in which a window occurs, word runs inside any
+    occurring window being merged where they overlap.
+    """
+    windows = scratch.table(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(tv.tidy(_item_windows), "item_id long, n int, window long, words binary, prints array<long>"), "windows")
+    keyed = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"), "text")
+    rows = scratch.table(keyed.mapInArrow(tv.tidy(_scan(_indexes(windows, block_windows), ["doc_id", "key"])), "doc_id long, key string, " + OUT), "places")
+    texts = rows.where(F.size("places") > 0).groupBy("key").agg(F.first("places").alias("places"))
+    each = texts.select("key", F.explode("places").alias("p")).select("key", "p.*")
+    of_window = windows.groupBy("n", "window", "words").agg(F.collect_set("item_id").alias("ids"))
+    hit = each.join(of_window, ["n", "window", "words"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("hit_from"), (F.col("at") + F.col("n")).alias("hit_to")))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"))
     merged = F.aggregate(
-        runs,
+        "runs",
         F.expr("cast(array() as array<struct<hit_from:int,hit_to:int>>)"),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["hit_to"] >= x["hit_from"]),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["hit_from"].alias("hit_from"), F.greatest(F.element_at(acc, -1)["hit_to"], x["hit_to"]).alias("hit_to")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return (
-        out.groupBy("row_id")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), merged.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-        .select("row_id", "doc_id", "n_words", F.col("runs.hit_from").alias("hit_from"), F.col("runs.hit_to").alias("hit_to"), "item_ids")
-    )
+    hits = hit.select("key", merged.alias("runs"), "item_ids").select("key", F.col("runs.hit_from").alias("hit_from"), F.col("runs.hit_to").alias("hit_to"), "item_ids")
+    return rows.drop("places"), scratch.table(hits, "hits")
+
+
+def find(docs: DataFrame, items: DataFrame, block_windows: int = 5_000_000) -> DataFrame:
+    """Hits per row of docs (doc_id, text): (doc_id, n_words, hit_from, hit_to, item_ids)."""
+    rows, hits = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, block_windows)
+    none = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() as array<{kind}>)")).alias(c)
+    return rows.join(hits, "key", "left").select("doc_id", "n_words", none("hit_from", "int"), none("hit_to", "int"), none("item_ids", "bigint"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, block_windows: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, block_windows: int = 5_000_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = find(rows, items, block_windows)
+    found = find(docs, items, block_windows)
     listed = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
     hit = F.aggregate(F.zip_with("hit_to", "hit_from", lambda b, a: (b - a).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "item_ids")
 
 
-def _flag(index_of):
-    scan = _scan(index_of)
-
-    def run(batches):
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
-            ids = pa.array(np.arange(batch.num_rows), pa.int64())
-            hits = [x for out in scan([pa.RecordBatch.from_arrays([ids, ids, text], names=["row_id", "doc_id", "text"])]) for x in out.column(5).to_pylist()]
-            yield batch.filter(pa.array([not x for x in hits], pa.bool_()))
-
-    return run
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, block_windows: int = 500_000) -> DataFrame:
-    """The documents, all their columns, in which no window of any item occurs; one scan a block."""
-    windows = items.select("item_id", "text").mapInArrow(tv.tidy(_item_windows), "item_id long, n int, window long, words binary, prints array<long>")
-    blocks = max(1, -(-windows.count() // block_windows))
-    for b in range(blocks):
-        mine = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("n", "window"), F.lit(blocks)) == b)
-        index = docs.sparkSession.sparkContext.broadcast(Index(mine.toLocalIterator()))
-        docs = docs.mapInArrow(tv.tidy(_flag(index)), docs.schema)
-    return docs
+def drop_contaminated(docs: DataFrame, items: DataFrame, block_windows: int = 5_000_000) -> DataFrame:
+    """The documents, all their columns, in which no window of any item occurs."""
+    _, hits = scan(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), items, block_windows)
+    key = F.md5(F.col("text").cast("binary"))
+    return docs.withColumn("_key", key).join(hits.select(F.col("key").alias("_key")), "_key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def digest(item_ids) -> str:

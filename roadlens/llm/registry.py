@@ -104,9 +104,9 @@ QUERIES = {f.__name__: f for f in (op1_langid, op2_pack, op3_simhash, op4_toxici
 
 
 def _oracle() -> dict[str, str]:
-    from . import licenses
+    from . import licenses, oracles
 
-    return {"op6_licenses": licenses.sql()}
+    return {"op6_licenses": licenses.sql(), **oracles.ORACLE}
 
 
 ORACLE: dict[str, str] = _oracle()

@@ -182,7 +182,7 @@ class Filters:
 
 
 ONE = {"node": "long", "f0": "long", "f1": "long"}  # an entry's columns in pass one
-TWO = ONE | {"root": "long", "pivot": "long", "far": "double"}  # and in pass two
+TWO = ONE | {"f2": "long", "f3": "long", "root": "long", "pivot": "long", "far": "double"}  # and in pass two
 
 
 def _deal(filters_of, names: list[str]):
@@ -224,7 +224,9 @@ def _compare(x: dict, cross: bool, all_pairs: bool, near: int, similarity: float
         d[bad] = 255
         if all_pairs:
             i, j = np.nonzero(d <= near)
-            out.append(np.stack([node[lo + i], node[j], d[i, j].astype(np.int64)], 1))
+            more = sum(np.bitwise_count((x[c][lo + i] ^ x[c][j]).view(np.uint64)).astype(np.int64) for c in ("f2", "f3"))
+            ok = d[i, j].astype(np.int64) + more <= SURE
+            out.append(np.stack([node[lo + i[ok]], node[j[ok]], d[i[ok], j[ok]].astype(np.int64)], 1))
             continue
         for _ in range(2):
             j = d.argmin(1)
@@ -400,11 +402,11 @@ def links(reps: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, rec
     roots = components(good)
     pivot = scratch.table(pivots(first, good, own), "pivots")
     again = active.join(reps, "node").join(roots, "node", "left").join(pivot, "node", "left")
-    again = again.select("node", "f0", "f1", F.coalesce("root", "node").alias("root"), F.coalesce("pivot", -1 - F.col("node")).alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"), "few")
+    again = again.select("node", "f0", "f1", "f2", "f3", F.coalesce("root", "node").alias("root"), F.coalesce("pivot", -1 - F.col("node")).alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"), "few")
     again = scratch.table(again, "active")
     # the pairs of pass one that failed are known; what is left has different roots
     rest = search(again, True).join(first, ["a", "b"], "left_anti")
-    more = scratch.table(verified(_sure(rest, reps), own, similarity), "links")
+    more = scratch.table(verified(rest, own, similarity), "links")
     return components(good.union(more))
 
 

@@ -192,3 +192,10 @@ def match_by_error(gt: DataFrame, pred: DataFrame, penalty: float = 0.25, reach:
 
     bucket = buckets(gt, "frame")
     return gt.select(bucket, "*").groupBy("bucket").cogroup(pred.select(bucket, "*").groupBy("bucket")).applyInPandas(run, "frame long, gt long, pred long")
+
+
+def match_by_overlap(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
+    """(frame, gt, pred): one-to-one matches of objects by the overlap of their boxes."""
+    from roadlens.operators.detection import match
+
+    return match(pred, gt, least).select("frame", "gt", F.col("pd").alias("pred"))

@@ -101,3 +101,19 @@ def validate_rollouts(joint: DataFrame, expected: DataFrame, steps: int = 80, ro
     long_ = joint.where(F.size("x") != steps).select("scenario", F.lit("wrong number of steps").alias("problem")).distinct()
     few = joint.groupBy("scenario").agg(F.countDistinct("rollout").alias("n")).where(F.col("n") != rollouts).select("scenario", F.lit("wrong number of rollouts").alias("problem"))
     return lack.union(more).union(long_).union(few)
+
+
+PREDICTION = "context string, timestamp long, camera int, id string, type int, score double, cx double, cy double, cz double, length double, width double, height double, heading double"
+
+
+def prediction_example(spark) -> DataFrame:
+    """A table of predictions as a submission wants it, with one box to be replaced by real ones."""
+    return spark.createDataFrame([("context name", -1, 1, "track id", 2, 0.5, *[0.0] * 7)], PREDICTION)
+
+
+def segmentation_example(spark, contexts: int = 2, frames: int = 3, rows: int = 64, columns: int = 2650) -> DataFrame:
+    """A table of predicted classes of both returns' range images, row by row: all 1 in the first, all 7 in the second."""
+    ids = spark.range(contexts).select(F.concat(F.lit("context "), F.col("id").cast("string")).alias("context"))
+    each = ids.withColumn("timestamp", F.explode(F.sequence(F.lit(0), F.lit(frames - 1)))).withColumn("timestamp", F.col("timestamp").cast("long") * 1_000_000)
+    classes = lambda k: F.array_repeat(F.lit(k), rows * columns)
+    return each.select("context", "timestamp", F.array(F.lit(rows), F.lit(columns)).alias("shape"), classes(1).alias("first_return"), classes(7).alias("second_return"))

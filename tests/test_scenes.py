@@ -76,3 +76,21 @@ def test_nothing_wrong_with_complete_forecasts(spark):
     wanted = t.select("scenario", "object").distinct()
     assert M.problems(f, t, wanted, 2, 2, 1).collect() == []
     assert [r["problem"] for r in M.problems(f.where("joint = 0 or object = 1"), t, wanted, 2, 2, 1).collect()] == ["joints of different objects"]
+
+
+def test_examples_can_be_written_and_read(spark, tmp_path):
+    from roadlens.sources import submission
+
+    submission.prediction_example(spark).write.parquet(str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).first()["score"] == 0.5
+    s = submission.segmentation_example(spark, 2, 3, 4, 5)
+    assert s.count() == 6 and {(len(r["first_return"]), r["second_return"][0]) for r in s.collect()} == {(20, 7)}
+
+
+def test_keypoint_objects_by_overlap(spark):
+    from roadlens.operators import keypoints as KP
+
+    schema = "frame long, id long, cx double, cy double, cz double, length double, width double, height double, heading double"
+    g = spark.createDataFrame([(1, 5, 0.0, 0.0, 0.0, 4.0, 2.0, 2.0, 0.0), (1, 6, 9.0, 0.0, 0.0, 4.0, 2.0, 2.0, 0.0)], schema)
+    p = spark.createDataFrame([(1, 1, 0.5, 0.0, 0.0, 4.0, 2.0, 2.0, 0.0), (1, 2, 50.0, 0.0, 0.0, 4.0, 2.0, 2.0, 0.0)], schema)
+    assert [tuple(r) for r in KP.match_by_overlap(g, p).collect()] == [(1, 5, 1)]

@@ -19,8 +19,9 @@ WIDE = 1 << 24
 def dealt(entries: DataFrame, group: list[str], limit: int) -> DataFrame:
     """entries (group columns, node, ...) with cell and block; rows of large groups once for each block.
 
-    Small groups are cell 0.  A group a little over the limit has eight blocks at most, a much larger one
-    blocks of a quarter of ``limit`` times eight, as rows are repeated once a block.
+    Small groups are cell 0.  A group over the limit has blocks of about limit / 4 rows, but at most
+    eight of them, until these would be over 2 * limit rows each: as rows are repeated once a block, much
+    larger groups have blocks of that size.
     """
     n = F.col("_n")
     blocks = F.greatest(F.least(F.lit(8), F.ceil(n * 4 / limit)), F.ceil(n / (2 * limit))).cast("int")

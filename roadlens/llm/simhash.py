@@ -4,7 +4,7 @@ A text is the set of its 5-word shingles (words of ASCII letters and digits and
 A-Z as a-z; a text of 1 to 4 words is one shingle).  Its fingerprint has 128 SimHash bits.  Two texts
 link if the shingle sets' Jaccard similarity is at least 0.8; classes are the linked components.
 
-A second fingerprint of 128 bits is asked only of found pairs, before their texts are fetched.  The
+A second fingerprint of 128 bits is asked of each found pair at once, in both passes.  The
 thresholds of both let similar pairs pass; texts of at most ``FEW`` shingles, whose bits agree less at
 the same similarity, are also searched among themselves by a plan of their own.
 
@@ -181,8 +181,8 @@ class Filters:
             yield row, key
 
 
-ONE = {"node": "long", "f0": "long", "f1": "long"}  # an entry's columns in pass one
-TWO = ONE | {"f2": "long", "f3": "long", "root": "long", "pivot": "long", "far": "double"}  # and in pass two
+ONE = {"node": "long", "f0": "long", "f1": "long", "f2": "long", "f3": "long"}  # an entry's columns in pass one
+TWO = ONE | {"root": "long", "pivot": "long", "far": "double"}  # and in pass two
 
 
 def _deal(filters_of, names: list[str]):
@@ -199,40 +199,44 @@ def _deal(filters_of, names: list[str]):
 
 
 def _compare(x: dict, cross: bool, all_pairs: bool, near: int, similarity: float):
-    """(node, other, bits) of one list (or pair of blocks) with fingerprints at most ``near`` bits apart.
+    """(node, other, bits) of one list (or pair of blocks) with fingerprints at most ``near`` bits apart, and ``SURE`` of 256.
 
     All pairs of different roots, node < other; or of each node its nearest other one and its nearest
     among those of lesser id, by which a group of near copies hangs together at once.  As 1 - Jaccard is
     a metric, two texts whose distances to a common pivot differ by over 1 - similarity are no pair.
     """
-    f, node, block = np.stack([x["f0"], x["f1"]], 1).view(np.uint64), x["node"], x["block"]
-    n = len(node)
+    node, n = x["node"], len(x["node"])
+    f = [x[f"f{k}"].view(np.uint64) for k in range(4)]
     out = []
-    for lo in range(0, n, 256):
-        hi = min(n, lo + 256)
-        if all_pairs and (x["root"] == x["root"][lo]).all():
-            continue
-        d = np.bitwise_count(f[lo:hi, None, 0] ^ f[None, :, 0]) + np.bitwise_count(f[lo:hi, None, 1] ^ f[None, :, 1])
-        bad = node[lo:hi, None] == node[None, :]
+    if all_pairs and (x["root"] == x["root"][0]).all():
+        return out
+    step = max(1, min(256, (1 << 18) // n))
+    for lo in range(0, n, step):
+        d = np.bitwise_count(f[0][lo : lo + step, None] ^ f[0])
+        d += np.bitwise_count(f[1][lo : lo + step, None] ^ f[1])
+        d = d.ravel()
+        at = np.flatnonzero(d <= near)  # few, so all else is asked of these only
+        i, j = np.divmod(at, n)
+        i += lo
+        ok = node[i] < node[j] if all_pairs else node[i] != node[j]
         if cross:
-            bad |= block[lo:hi, None] == block[None, :]
+            ok &= x["block"][i] != x["block"][j]
         if all_pairs:
-            root, pivot, far = x["root"], x["pivot"], x["far"]
-            bad |= root[lo:hi, None] == root[None, :]
-            bad |= node[lo:hi, None] > node[None, :]
-            bad |= (pivot[lo:hi, None] == pivot[None, :]) & (np.abs(far[lo:hi, None] - far[None, :]) > 1 - similarity + 1e-6)
-        d[bad] = 255
+            ok &= x["root"][i] != x["root"][j]
+            ok &= (x["pivot"][i] != x["pivot"][j]) | (np.abs(x["far"][i] - x["far"][j]) <= 1 - similarity + 1e-6)
+        i, j, bits = i[ok], j[ok], d[at[ok]].astype(np.int64)
+        # pairs near in 128 bits by chance are in the order of the square of the corpus: they end here
+        ok = bits + sum(np.bitwise_count(f[k][i] ^ f[k][j]).astype(np.int64) for k in (2, 3)) <= SURE
+        i, j, bits = i[ok], j[ok], bits[ok]
         if all_pairs:
-            i, j = np.nonzero(d <= near)
-            more = sum(np.bitwise_count((x[c][lo + i] ^ x[c][j]).view(np.uint64)).astype(np.int64) for c in ("f2", "f3"))
-            ok = d[i, j].astype(np.int64) + more <= SURE
-            out.append(np.stack([node[lo + i[ok]], node[j[ok]], d[i[ok], j[ok]].astype(np.int64)], 1))
+            out.append(np.stack([node[i], node[j], bits], 1))
             continue
-        for _ in range(2):
-            j = d.argmin(1)
-            i = np.flatnonzero(d[np.arange(hi - lo), j] <= near)
-            out.append(np.stack([node[lo + i], node[j[i]], d[i, j[i]].astype(np.int64)], 1))
-            d[node[lo:hi, None] < node[None, :]] = 255
+        for part in (slice(None), node[j] < node[i]):
+            own, key = i[part], bits[part] << 32 | j[part]
+            if len(own):
+                begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                best = np.minimum.reduceat(key, begin)
+                out.append(np.stack([node[own[begin]], node[best & 0xFFFFFFFF], best >> 32], 1))
     return out
 
 
@@ -371,13 +375,6 @@ def _candidates(nodes: DataFrame, filters_of, limit: int, all_pairs: bool, near:
     return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _sure(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose 256 bits are near enough too."""
-    side = lambda n: reps.select(F.col("node").alias(n), *(F.col(f"f{i}").alias(f"{n}{i}") for i in range(4)))
-    far = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(4)), F.lit(0))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(far <= SURE).select("a", "b")
-
-
 def links(reps: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, recall: float = 0.98, limit: int = LIST) -> DataFrame:
     """(node, root) of the linked ones of reps (node, f0 to f3, few); texts has each node's text."""
     spark = reps.sparkSession
@@ -392,13 +389,13 @@ def links(reps: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, rec
             return found
         return found.union(_candidates(nodes.where("few"), few_of, limit, all_pairs, FEW_NEAR, similarity)).distinct()
 
-    deal = reps.select("node", "f0", "f1", "few").repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 2000))))
+    deal = reps.select(*ONE, "few").repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 2000))))
     first = scratch.table(search(deal, False), "near")
     active = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     packed = texts.where("text is not null").mapInArrow(tv.tidy(_zip), "node long, z binary")
     # by sort and merge at every size: what is right for a large corpus is what small ones test
     own = scratch.table(packed.join(active.hint("merge"), "node"), "texts")
-    good = scratch.table(verified(_sure(first, reps), own, similarity), "links")
+    good = scratch.table(verified(first, own, similarity), "links")
     roots = components(good)
     pivot = scratch.table(pivots(first, good, own), "pivots")
     again = active.join(reps, "node").join(roots, "node", "left").join(pivot, "node", "left")

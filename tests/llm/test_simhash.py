@@ -147,3 +147,35 @@ def test_shipped_recall_on_borderline_pairs(spark):
             want += 1
     got = {r[0]: r[1] for r in run(spark, rows)}
     assert sum(got[i] == got[i + 1] for i, _ in rows[::2]) >= 0.96 * want and want > 100
+
+
+def test_fingerprints_near_by_chance_are_no_neighbours(spark):
+    """Pass one asks all 256 bits: a text near in 128 bits only neither counts nor hides a text that is near."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    f = np.repeat(rng.integers(-(2**63), 2**63, (1, 4)), 4, axis=0)
+    f[1, :2] ^= [0b111, 0]  # the nearest in 128 bits, and by the other 128 no neighbour
+    f[1, 2:] = ~f[1, 2:]
+    f[2, 0] ^= 0b11111111
+    f[3, 0] ^= 0b1111111100000000
+    x = {"node": np.array([10, 11, 12, 13]), "block": np.zeros(4, np.int32)} | {f"f{k}": f[:, k].copy() for k in range(4)}
+    found = simhash._nearest(np.concatenate(simhash._compare(x, False, False, simhash.NEAR, 0.8)))
+    assert found.tolist() == [[10, 12, 8], [12, 10, 8], [13, 10, 8]]
+    x |= {"root": x["node"], "pivot": -x["node"], "far": np.zeros(4)}
+    assert np.concatenate(simhash._compare(x, False, True, simhash.NEAR, 0.8)).tolist() == [[10, 12, 8], [10, 13, 8], [12, 13, 16]]
+
+
+def test_unrelated_texts_have_no_candidates(spark):
+    """At 44 bits as many of 6000 fingerprints are near by chance as of millions at 36; none may reach pass two."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    n = 6000
+    f = rng.integers(-(2**63), 2**63, (n, 4))
+    rows = [(i, *f[i].tolist(), False) for i in range(n)]
+    reps = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long, few boolean")
+    filters_of = spark.sparkContext.broadcast(simhash.Filters(simhash.plan(n)))
+    assert simhash._candidates(reps, filters_of, simhash.LIST, False, 44).count() == 0
+    seen = (np.bitwise_count((f[:2000, None, :2] ^ f[None, :2000, :2]).view(np.uint64)).sum(2) <= 44).sum() - 2000
+    assert seen > 100

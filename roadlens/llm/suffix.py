@@ -11,7 +11,8 @@ the work is cut in a way that loses nothing:
    are repeated whole.  A first one can only share windows with runs of the same hash whose contexts
    differ, and only then are its bytes fetched.  Two contexts with a common window also agree on the
    anchor and (LENGTH - GRAM) / 2 bytes to its left, or as many to its right; contexts without such a
-   partner are dropped.
+   partner are dropped.  A run carries 32 bits of hash for either side, so that runs which only share a
+   GRAM by chance, more of them the larger the corpus is, end where they meet.
 3. Those contexts, routed by hash, are cut into shards; the shards' Burrows-Wheeler transforms are
    merged by interleave refinement (module bwt), and the intervals of equal LENGTH-byte prefixes are
    the repeated windows; all but an interval's earliest member are marked.
@@ -82,6 +83,30 @@ def runs_of(s: tv.Slice, length: int, gram: int):
     return row, begin - s.off[row], count | (anchor - begin) << 16, grams[anchor].view(np.int64), context.view(np.int64)
 
 
+def sides(s: tv.Slice, start: np.ndarray, n: np.ndarray, gram: int, length: int) -> np.ndarray:
+    """Of runs (start in the slice, column n) 32 bits of hash of the anchor and half of what surrounds it,
+    to the left in the upper half, to the right in the lower one; 0 where the context does not reach so far."""
+    half, place = (length - gram) // 2, n >> 16
+    at = start + place
+    out = np.zeros(len(start), np.uint64)
+    for shift, i, lo, hi in ((32, np.flatnonzero(place >= half), at - half, at + gram), (0, np.flatnonzero(place - (n & LOW) + 1 < half), at, at + gram + half)):
+        if len(i):
+            key = tv.mix(s.span_hash(lo[i], hi[i])) >> np.uint64(32)
+            out[i] |= np.maximum(key, np.uint64(1)) << np.uint64(shift)
+    return out.view(np.int64)
+
+
+def agreeing(h: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether a run shares one of its ``sides`` with another one of its hash."""
+    keep = np.zeros(len(h), bool)
+    for one in (side.view(np.uint64) >> np.uint64(32), side.view(np.uint64) & np.uint64(0xFFFFFFFF)):
+        i = np.flatnonzero(one)
+        if len(i):
+            _, of, count = np.unique(tv.mix(h[i].view(np.uint64) ^ tv.mix(one[i])), return_inverse=True, return_counts=True)
+            keep[i] |= count[of] > 1
+    return keep
+
+
 def _first(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows in order of (keys, doc, start), and whether each has the least position of its keys."""
     order = np.lexsort((start, doc, *reversed(keys)))
@@ -98,6 +123,7 @@ def _first(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) ->
 
 
 RUN = "h long, c long, doc_id long, start int, n int, kind int"
+SIDED = RUN + ", side long"
 
 
 def _batch(h, c, doc, start, n, kind):
@@ -112,35 +138,58 @@ def _anchors(length: int, gram: int, hot_of):
             parts = []
             for s in tv.slices(batch.column(1), 1 << 20):
                 row, start, n, h, c = runs_of(s, length, gram)
-                parts.append((h, c, ids[s.first + row], start, n))
+                parts.append((h, c, ids[s.first + row], start, n, sides(s, s.off[row] + start, n, gram, length)))
             if not parts:
                 continue
-            h, c, doc, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h, c, doc, start, n, side = (np.concatenate(x) for x in zip(*parts, strict=True))
             order, first = _first((h, c), doc, start)
             kind = np.where(first, EDGE, MARK)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, h[order]), len(hot) - 1)
                 kind[first & (hot[at] == h[order])] = HOT
-            yield _batch(h[order], c[order], doc[order], start[order], n[order], kind)
+            yield _batch(h[order], c[order], doc[order], start[order], n[order], kind).append_column("side", pa.array(np.where(kind == EDGE, side[order], 0)))
 
     return run
 
 
 def _meet(group: int):
-    """Rows sorted by (h, c, doc_id, start): marks later runs of equal contexts, keeps the edges."""
+    """Rows sorted by (h, c, doc_id, start): marks later runs of equal contexts, keeps the edges.
+
+    Of the edges only those stay that agree with another one of their hash on a side.
+    """
 
     def run(batches):
+        wait: list = []  # edges, until all of their hash are there
+        size = 0
+        for made in met(batches):
+            edge = made[5] == EDGE
+            yield _batch(*(x[~edge] for x in made[:6]))
+            wait.append([x[edge] for x in made])
+            size += len(wait[-1][0])
+            if size > 200_000:
+                all_ = [np.concatenate(x) for x in zip(*wait, strict=True)]
+                open_ = all_[0] == all_[0].max()  # rows come by hash, so only the last one may go on
+                yield settled([x[~open_] for x in all_])
+                wait, size = [[x[open_] for x in all_]], int(open_.sum())
+        if size:
+            yield settled([np.concatenate(x) for x in zip(*wait, strict=True)])
+
+    def settled(edges):
+        keep = agreeing(edges[0], edges[6])
+        return _batch(*(x[keep] for x in edges[:6]))
+
+    def met(batches):
         last_h = last_c = last_doc = last_start = None  # of the group of equal contexts
         held = None  # the only context of its hash so far
         seen: list = []  # contexts of the current hash, while they may still be resolved together
         size = 0
         for batch in batches:
-            h, c, doc, start, n, kind = (x.to_numpy() for x in batch.columns)
+            h, c, doc, start, n, kind, side = (x.to_numpy() for x in batch.columns)
             m = len(h)
             if not m:
                 continue
             out: list = []
-            take = lambda i, k: out.append((h[i], c[i], doc[i], start[i], n[i], np.full(len(i), k, np.int32)))  # noqa: E731, B023
+            take = lambda i, k: out.append((h[i], c[i], doc[i], start[i], n[i], np.full(len(i), k, np.int32), side[i]))  # noqa: E731, B023
             take(np.flatnonzero(kind == MARK), MARK)
             live = np.flatnonzero(kind != MARK)
             if len(live):
@@ -166,7 +215,7 @@ def _meet(group: int):
                     if held is not None:
                         if same_before[0]:
                             if size == 1:
-                                out.append((*held[:5], np.full(1, EDGE, np.int32)))
+                                out.append((*held[:5], np.full(1, EDGE, np.int32), held[5]))
                         else:
                             size, seen = 0, []
                     # sizes of hashes within this batch decide about large ones
@@ -177,10 +226,10 @@ def _meet(group: int):
                         piece = firsts[:lead]
                         if size <= group:
                             take(piece, EDGE)
-                            seen.append(tuple(x[piece] for x in (h, c, doc, start, n)))
+                            seen.append(tuple(x[piece] for x in (h, c, doc, start, n, side)))
                         else:
                             if before <= group:
-                                out += [(*x, np.full(len(x[0]), HOT, np.int32)) for x in seen]
+                                out += [(*x[:5], np.full(len(x[0]), HOT, np.int32), x[5]) for x in seen]
                                 seen = []
                             take(piece, HOT)
                     rest = firsts[lead:]
@@ -194,10 +243,10 @@ def _meet(group: int):
                         take(rest[large], HOT)
                         size = int(sizes[-1])
                         end = rest[tail:]
-                        seen = [] if size > group else [tuple(x[end] for x in (h, c, doc, start, n))]
+                        seen = [] if size > group else [tuple(x[end] for x in (h, c, doc, start, n, side))]
                     f = firsts[-1:]
-                    held = tuple(x[f] for x in (h, c, doc, start, n))
-            yield _batch(*(np.concatenate(x) for x in zip(*out, strict=True)))
+                    held = tuple(x[f] for x in (h, c, doc, start, n, side))
+            yield [np.concatenate(x) for x in zip(*out, strict=True)]
 
     return run
 
@@ -264,7 +313,10 @@ def _contexts(length: int):
 
 
 def partners(h: np.ndarray, n: np.ndarray, buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Whether a context agrees with another one of its hash on half of what surrounds the anchor."""
+    """Whether a context has a window whose hash another one of its hash has too.
+
+    Asked first is whether they agree on half of what surrounds the anchor, which is two hashes a context.
+    """
     half = (length - gram) // 2
     place = n >> 16
     s = tv.Slice(0, buf, off)
@@ -276,6 +328,16 @@ def partners(h: np.ndarray, n: np.ndarray, buf: np.ndarray, off: np.ndarray, len
             key = tv.mix(s.span_hash(lo[i], hi[i]) ^ tv.mix(h[i].view(np.uint64)))
             _, of, count = np.unique(key, return_inverse=True, return_counts=True)
             keep[i] |= count[of] > 1
+    i = np.flatnonzero(keep)
+    windows = n[i].astype(np.int64) & LOW
+    at, owner = tv.ragged(off[i], windows), np.repeat(i, windows)
+    keep[:] = False
+    if len(at):
+        key = tv.mix(s.span_hash(at, at + length) ^ tv.mix(h[owner].view(np.uint64)))
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        keep[owner[order[1:][same]]] = True
+        keep[owner[order[:-1][same]]] = True
     return keep
 
 
@@ -363,9 +425,9 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     none = spark.sparkContext.broadcast(np.zeros(0, np.int64))
     often = max(20, SAMPLE // 500)
     # at most (anchors of the sample) / often hashes
-    hot = few.mapInArrow(tv.tidy(_anchors(length, gram, none)), RUN).groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= often).select("h").toArrow().column(0).to_numpy()
+    hot = few.mapInArrow(tv.tidy(_anchors(length, gram, none)), SIDED).groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= often).select("h").toArrow().column(0).to_numpy()
     hot_of = spark.sparkContext.broadcast(np.sort(hot))
-    runs = docs.mapInArrow(tv.tidy(_anchors(length, gram, hot_of)), RUN)
+    runs = docs.mapInArrow(tv.tidy(_anchors(length, gram, hot_of)), SIDED)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     deal = F.when(F.col("kind") == EDGE, F.xxhash64("h")).otherwise(F.xxhash64("h", "c", F.when(F.col("kind") == MARK, F.col("doc_id")).otherwise(F.lit(0))))
     met = scratch.table(runs.repartition(parts, deal).sortWithinPartitions("h", "c", "doc_id", "start").mapInArrow(tv.tidy(_meet(group)), RUN), "runs")
@@ -373,7 +435,7 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     packed = docs.mapInArrow(tv.tidy(_zip(1)), "doc_id long, z binary")
     found = scratch.table(edges.join(packed, "doc_id").select("doc_id", "z", "edges").mapInArrow(tv.tidy(_contexts(length)), RUN + ", bytes binary"), "contexts")
     cold = found.where(F.col("kind") == EDGE).repartition(parts, "h").sortWithinPartitions("h").mapInArrow(tv.tidy(_resolve(length, gram)), RUN)
-    single = found.where(F.col("kind") == HOT).select("h", "c", "doc_id", "start", "n", "kind").repartition(parts, "h", "c").sortWithinPartitions("h", "c", "doc_id", "start").mapInArrow(tv.tidy(_meet(group)), RUN).where(F.col("kind") == MARK)
+    single = found.where(F.col("kind") == HOT).select("h", "c", "doc_id", "start", "n", "kind", F.lit(0).cast("long").alias("side")).repartition(parts, "h", "c").sortWithinPartitions("h", "c", "doc_id", "start").mapInArrow(tv.tidy(_meet(group)), RUN).where(F.col("kind") == MARK)
     at_once = found.where(F.col("kind") == MARK).select("h", "c", "doc_id", "start", "n", "kind")
     out = met.where(F.col("kind") == MARK).union(at_once).union(cold).union(single).select("doc_id", "start", F.expr(f"n & {LOW}").alias("n"))
     out = scratch.table(out, "marks")

@@ -85,3 +85,38 @@ def test_merge_equals_sorting():
     prefix = [bytes(np.resize(np.roll(texts[s], -a), 10)) if len(texts[s]) >= 10 else bytes(np.tile(np.roll(texts[s], -a), 3)[:10]) for s, a in zip(shard, at, strict=True)]
     assert prefix == sorted(prefix)
     assert [block[i] == block[i - 1] for i in range(1, len(block))] == [prefix[i] == prefix[i - 1] for i in range(1, len(prefix))]
+
+
+def shared(size, docs=40):
+    """Unrelated texts that all hold one passage of ``size`` bytes."""
+    rng = random.Random(size)
+    some = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(k))
+    passage = some(size)
+    return [(i, some(300) + passage + some(300)) for i in range(docs)]
+
+
+def test_runs_that_share_less_than_half_a_window_end_where_they_meet(spark, monkeypatch):
+    docs, kinds = shared(50) + [(100, shared(50)[7][1][100:500])], []
+    whole = suffix.scratch.table
+
+    def table(df, tag):
+        out = whole(df, tag)
+        if tag == "runs":
+            kinds.extend((r["doc_id"], r["kind"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(suffix.scratch, "table", table)
+    assert run(spark, docs) == brute(docs, 100)
+    assert {d for d, kind in kinds if kind == suffix.EDGE} <= {7, 100}
+
+
+def test_contexts_without_a_common_window_are_not_merged():
+    for size, some in ((80, False), (120, True)):
+        texts = [t.encode() for _, t in shared(size, 2)]
+        s = suffix.tv.Slice(0, np.frombuffer(b"".join(texts), np.uint8), np.array([0, len(texts[0]), len(texts[0]) + len(texts[1])]))
+        row, start, n, h, _ = suffix.runs_of(s, 100, 24)
+        at = [i for i in np.argsort(h, kind="stable") if (h == h[i]).sum() > 1]
+        pieces = [texts[row[i]][start[i] : start[i] + (n[i] & suffix.LOW) + 99] for i in at]
+        off = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        kept = suffix.partners(h[at], n[at], np.frombuffer(b"".join(pieces), np.uint8), off, 100, 24)
+        assert len(at) > 1 and kept.any() == some

@@ -1,7 +1,8 @@
 import hashlib
+import random
 
 import corpus_pipeline as p
-from roadlens.llm import toxicity
+from roadlens.llm import scratch, simhash, toxicity
 from tests.llm import fixtures as fx
 from tests.llm import test_decontaminate as dc
 from tests.llm import test_pack as pk
@@ -52,3 +53,21 @@ def test_odd_rows_and_extra_columns(spark):
         assert stage(spark, docs.limit(0), SF).collect() == []
     assert len(rows(p.near_duplicates(spark, docs, SF))) < len(data)
     assert p.packed(spark, docs, SF).count() >= len(data)
+
+
+def test_unrelated_documents_are_not_fetched_as_near_ones(spark, monkeypatch):
+    """At 50 bits one in a hundred pairs is near by chance, as is a pair for every text of millions at 36."""
+    rng = random.Random(9)
+    data = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(400)]
+    near, whole = [], scratch.table
+
+    def table(df, tag):
+        out = whole(df, tag)
+        if tag == "near":
+            near.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(scratch, "table", table)
+    monkeypatch.setattr(simhash, "NEAR", 50)
+    out = p.near_duplicates(spark, spark.createDataFrame(data, "doc_id long, text string"), SF)
+    assert rows(out) == sorted(data, key=str) and not near

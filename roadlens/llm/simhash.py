@@ -18,9 +18,10 @@ texts, so that the lists stay small and a pair of similarity 0.8 is found with p
 Equal texts collapse first and are never paired.  Pass one keeps, of all a fingerprint's lists, only its
 nearest other one and its nearest of lesser id; those pairs are checked on the shingle sets, and linked.
 Pass two takes the texts that have any near fingerprint and emits the pairs whose classes still
-differ, so a large class is not expanded into its pairs; the triangle inequality over a pivot of each
-large near group spares those of its pairs that cannot be similar (``pivots``).  Lists over ``LIST`` are cut into
-blocks which meet pairwise in tasks of their own.
+differ, so a large class is not expanded into its pairs.  Of these the pairs that cannot be similar end
+where their lists are compared, without their texts: by the triangle inequality over a pivot of each large
+near group (``pivots``), and by the sizes and odd sketches of the shingle sets (``sketches``), which bound their
+difference from below.  Lists over ``LIST`` are cut into blocks which meet pairwise in tasks of their own.
 
 Defined cases: null texts are classes of their own; texts without words are linked only to equal
 texts; repeated rows share class and ``kept``; a null doc_id keeps a null class; extra columns are
@@ -50,6 +51,7 @@ FEW_FLIP = 0.1875  # how often a bit differs between 4 shingles and those with a
 FEW_NEAR = 40  # NEAR of that search (24 +- 4.4: 99.98 %)
 SURE = 76  # bits over 256 (48 +- 6.2 in the worst case: over 99.999 %), asked of a pair before its texts are fetched
 LIST = 2048
+ODD = 2048  # bits of an odd sketch; sets that differ in some 1000 shingles and more are told apart by it less and less
 LANES = tv.U64(0x0101010101010101)
 
 
@@ -182,7 +184,7 @@ class Filters:
 
 
 ONE = {"node": "long", "f0": "long", "f1": "long", "f2": "long", "f3": "long"}  # an entry's columns in pass one
-TWO = ONE | {"root": "long", "pivot": "long", "far": "double"}  # and in pass two
+TWO = ONE | {"root": "long", "pivot": "long", "far": "double", "size": "long", "odd": "binary"}  # and in pass two
 
 
 def _deal(filters_of, names: list[str]):
@@ -190,20 +192,44 @@ def _deal(filters_of, names: list[str]):
 
     def run(batches):
         for batch in batches:
-            cols = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names}
-            f = np.stack([cols["f0"], cols["f1"]], 1).view(np.uint64)
+            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
+            f = np.stack([cols["f0"].to_numpy(), cols["f1"].to_numpy()], 1).view(np.uint64)
             for row, key in filters_of.value.lists(f):
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[row]) for c in cols.values())], names=["list", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(pa.array(row)) for c in cols.values())], names=["list", *names])
 
     return run
 
 
+def _array(c: pa.Array) -> np.ndarray:
+    """A column of entries; sketches as rows of words."""
+    if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type):
+        return np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), ODD // 64)
+    return c.to_numpy()
+
+
+def _alike(x: dict, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows i and j may be similar: exact bounds, which no similar pair exceeds.
+
+    Of sets A and B of Jaccard similarity J or more, (1 - J) / (1 + J) * (|A| + |B|) elements at most are in one
+    only; the sizes differ by no more than that, and the odd sketches in no more bits.
+    """
+    size, odd, least = x["size"], x["odd"], similarity - 1e-9
+    most = (1 - least) / (1 + least) * (size[i] + size[j]) + 1e-6
+    ok = np.abs(size[i] - size[j]) <= most
+    at = np.flatnonzero(ok)
+    for lo in range(0, len(at), 8192):
+        k = at[lo : lo + 8192]
+        ok[k] = np.bitwise_count(odd[i[k]] ^ odd[j[k]]).sum(1, dtype=np.int64) <= most[k]
+    return ok
+
+
 def _compare(x: dict, cross: bool, all_pairs: bool, near: int, similarity: float):
     """(node, other, bits) of one list (or pair of blocks) with fingerprints at most ``near`` bits apart, and ``SURE`` of 256.
 
     All pairs of different roots, node < other; or of each node its nearest other one and its nearest
     among those of lesser id, by which a group of near copies hangs together at once.  As 1 - Jaccard is
-    a metric, two texts whose distances to a common pivot differ by over 1 - similarity are no pair.
+    a metric, two texts whose distances to a common pivot differ by over 1 - similarity are no pair; nor are
+    those that are not ``_alike``, where x has sketches.
     """
     node, n = x["node"], len(x["node"])
     f = [x[f"f{k}"].view(np.uint64) for k in range(4)]
@@ -229,7 +255,8 @@ def _compare(x: dict, cross: bool, all_pairs: bool, near: int, similarity: float
         ok = bits + sum(np.bitwise_count(f[k][i] ^ f[k][j]).astype(np.int64) for k in (2, 3)) <= SURE
         i, j, bits = i[ok], j[ok], bits[ok]
         if all_pairs:
-            out.append(np.stack([node[i], node[j], bits], 1))
+            ok = _alike(x, i, j, similarity) if "odd" in x else slice(None)
+            out.append(np.stack([node[i[ok]], node[j[ok]], bits[ok]], 1))
             continue
         for part in (slice(None), node[j] < node[i]):
             own, key = i[part], bits[part] << 32 | j[part]
@@ -270,7 +297,7 @@ def _search(all_pairs: bool, near: int, similarity: float):
 
         limit = 200_000
         for batch in batches:
-            cols = dict(zip(batch.schema.names, (c.to_numpy() for c in batch.columns), strict=True))
+            cols = dict(zip(batch.schema.names, map(_array, batch.columns), strict=True))
             if not batch.num_rows:
                 continue
             if held:
@@ -303,6 +330,32 @@ def _zip(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([z.compress(t.encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["node", "z"])
 
 
+def _shingled(z: zstandard.ZstdDecompressor, raw: bytes) -> np.ndarray:
+    """Distinct shingles of a text of ``_zip``."""
+    t = z.decompress(raw)
+    s = tv.Slice(0, np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+    ws, we, _ = s.words(tv.ALNUM)
+    return np.unique(shingles(s.span_hash(ws, we)))
+
+
+def _sketched(batches):
+    """(node, z) to (node, number of distinct shingles, their odd sketch)."""
+    z = zstandard.ZstdDecompressor()
+    for batch in batches:
+        sets = [_shingled(z, raw.as_py()) for raw in batch.column(1)]
+        odd = [np.packbits((np.bincount((tv.mix(h) % tv.U64(ODD)).astype(np.int64), minlength=ODD) & 1).astype(bool)).tobytes() for h in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(odd, pa.binary())], names=["node", "size", "odd"])
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(node, size, odd) of texts (node, z): a bit of ``odd`` is the parity of the number of shingles that fall on it.
+
+    Two sketches differ in at most as many bits as there are shingles in one set only (Mitzenmacher, Pagh and
+    Pham, WWW 2014).  Versions of one document have a row each.
+    """
+    return texts.mapInArrow(tv.tidy(_sketched), "node long, size long, odd binary").distinct()
+
+
 def _similar(batches):
     """(a, b, za, zb) to (a, b, Jaccard similarity of the texts)."""
     z = zstandard.ZstdDecompressor()
@@ -314,10 +367,7 @@ def _similar(batches):
 
             def shingled(node, raw, memo=memo):
                 if node not in memo:
-                    t = z.decompress(raw)
-                    s = tv.Slice(0, np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-                    ws, we, _ = s.words(tv.ALNUM)
-                    memo[node] = np.unique(shingles(s.span_hash(ws, we)))
+                    memo[node] = _shingled(z, raw)
                 return memo[node]
 
             out = []
@@ -398,8 +448,8 @@ def links(reps: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, rec
     good = scratch.table(verified(first, own, similarity), "links")
     roots = components(good)
     pivot = scratch.table(pivots(first, good, own), "pivots")
-    again = active.join(reps, "node").join(roots, "node", "left").join(pivot, "node", "left")
-    again = again.select("node", "f0", "f1", "f2", "f3", F.coalesce("root", "node").alias("root"), F.coalesce("pivot", -1 - F.col("node")).alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"), "few")
+    again = active.join(reps, "node").join(roots, "node", "left").join(pivot, "node", "left").join(sketches(own), "node")
+    again = again.select("node", "f0", "f1", "f2", "f3", F.coalesce("root", "node").alias("root"), F.coalesce("pivot", -1 - F.col("node")).alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"), "size", "odd", "few")
     again = scratch.table(again, "active")
     # the pairs of pass one that failed are known; what is left has different roots
     rest = search(again, True).join(first, ["a", "b"], "left_anti")

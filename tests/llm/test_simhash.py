@@ -179,3 +179,47 @@ def test_unrelated_texts_have_no_candidates(spark):
     assert simhash._candidates(reps, filters_of, simhash.LIST, False, 44).count() == 0
     seen = (np.bitwise_count((f[:2000, None, :2] ^ f[None, :2000, :2]).view(np.uint64)).sum(2) <= 44).sum() - 2000
     assert seen > 100
+
+
+def test_sketches_lose_no_pair():
+    """Sets of similarity 0.8 and just more, the worst case of the bounds, and sets far from it, which they end."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    far = 0
+    for n in (8, 80, 400, 4000, 40_000):  # shingles of both together
+        for _ in range(20):
+            h = rng.integers(0, 2**63, n, dtype=np.uint64)
+            cut = rng.integers(0, n // 5 + 1)  # of the fifth that is in one only, what is the first's
+            sets = [h[: n - n // 5 + cut], np.append(h[: n - n // 5], h[n - n // 5 + cut :]), h[: n // 2], h[n // 4 : n // 4 + n // 2]]
+            odd = [np.packbits((np.bincount((simhash.tv.mix(s) % np.uint64(simhash.ODD)).astype(int), minlength=simhash.ODD) & 1).astype(bool)).view(np.uint64) for s in sets]
+            x = {"size": np.array([len(s) for s in sets]), "odd": np.stack(odd)}
+            assert simhash._alike(x, np.array([0, 1]), np.array([1, 0]), 0.8).all()
+            far += not simhash._alike(x, np.array([2]), np.array([3]), 0.8).any()
+    assert far >= 60
+
+
+def resembling(n):
+    """Texts about 0.6 to 0.75 alike, all near in bits, and two that are similar."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(n):
+        w = [f"common{k}" for k in range(300)]
+        for k in rng.sample(range(0, 300, 5), 8):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    return rows + [(n, rows[7][1] + " and more"), (n + 1, rows[9][1] + " or less")]
+
+
+def test_resembling_texts_are_not_fetched(spark, monkeypatch):
+    """Their pairs grow with the square of a group that grows with the corpus."""
+    rows, fetched, whole = resembling(60), [], simhash.verified
+
+    def verified(pairs, texts, similarity=simhash.SIMILARITY):
+        fetched.append(pairs.count())
+        return whole(pairs, texts, similarity)
+
+    monkeypatch.setattr(simhash, "verified", verified)
+    got = run(spark, rows, recall=0.99999)
+    assert got == brute(rows)
+    assert sum(d != c for d, c, _ in got) == 2 and fetched[1] <= 30

@@ -42,10 +42,11 @@ def merge(texts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray,
         raise ValueError("at most 255 shards are merged at once")
     orders = [rotations(t, depth) for t in texts]
     preceding = np.concatenate([(t[o - 2].astype(np.uint16) << np.uint16(8)) | t[o - 1] for t, o in zip(texts, orders, strict=True)])
-    start = np.concatenate(orders)
+    start = np.concatenate([o.astype(np.int32) for o in orders])
+    del orders
     shard = np.repeat(np.arange(len(texts), dtype=np.uint8), [len(t) for t in texts])
     n = len(start)
-    entry = np.arange(n)  # of each place of the merged order: the shard's entry there
+    entry = np.arange(n, dtype=np.int32)  # of each place of the merged order: the shard's entry there
     block = np.zeros(n, np.int32)
     for _ in range(0, depth, 2):
         key = preceding[entry]
@@ -53,8 +54,8 @@ def merge(texts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray,
         key, old, inter = key[order], block[order], shard[entry][order]
         block = np.zeros(n, np.int32)
         np.cumsum((key[1:] != key[:-1]) | (old[1:] != old[:-1]), out=block[1:])
-        entry = np.empty(n, np.int64)
-        entry[np.argsort(inter, kind="stable")] = np.arange(n)
+        del key, old, order
+        entry[np.argsort(inter, kind="stable")] = np.arange(n, dtype=np.int32)
         if block[-1] == n - 1:
             break
     return shard[entry], start[entry], block

@@ -47,6 +47,7 @@ GRAM = 24
 GROUP = 5000  # contexts of one hash resolved together
 BUCKET = 1 << 20  # bytes of contexts merged together
 SHARDS = 4
+PIECE = 1 << 18  # bytes hashed at once
 SAMPLE = 20_000  # documents, about, whose hashes are counted to find hot ones
 
 MARK, EDGE, HOT = 0, 1, 2
@@ -136,7 +137,7 @@ def _anchors(length: int, gram: int, hot_of):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             parts = []
-            for s in tv.slices(batch.column(1), 1 << 20):
+            for s in tv.slices(batch.column(1), PIECE):
                 row, start, n, h, c = runs_of(s, length, gram)
                 parts.append((h, c, ids[s.first + row], start, n, sides(s, s.off[row] + start, n, gram, length)))
             if not parts:
@@ -341,6 +342,13 @@ def partners(h: np.ndarray, n: np.ndarray, buf: np.ndarray, off: np.ndarray, len
     return keep
 
 
+def whole(h: np.ndarray, off: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Cuts rows sorted by hash, with offsets of their bytes, into parts of about ``size`` bytes; a hash stays whole."""
+    begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    lead = begin[np.flatnonzero(np.append(True, np.diff(off[begin] // size) > 0))]
+    return list(zip(lead.tolist(), [*lead[1:].tolist(), len(h)], strict=True))
+
+
 def resolve(doc: np.ndarray, start: np.ndarray, n: np.ndarray, pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (doc, start) of the windows of some contexts that are also at an earlier position."""
     if len(pieces) < 1:
@@ -348,20 +356,17 @@ def resolve(doc: np.ndarray, start: np.ndarray, n: np.ndarray, pieces: list[byte
     size = np.array([len(p) for p in pieces])
     total = int(size.sum())
     shard_of = np.minimum((np.cumsum(size) - size) * SHARDS // max(1, total), SHARDS - 1)
-    texts, docs, starts = [], [], []
-    for k in np.unique(shard_of):
-        mine = np.flatnonzero(shard_of == k)
-        texts.append(np.frombuffer(b"".join(pieces[i] for i in mine), np.uint8))
-        inside = tv.ragged(np.zeros(len(mine), np.int64), size[mine])
-        real = inside < np.repeat(n[mine], size[mine])
-        docs.append(np.repeat(doc[mine], size[mine]))
-        starts.append(np.where(real, np.repeat(start[mine], size[mine]) + inside, -1))
+    texts = [np.frombuffer(b"".join(pieces[i] for i in np.flatnonzero(shard_of == k)), np.uint8) for k in np.unique(shard_of)]
     shard, at, block = bwt.merge(texts, length)
+    again = block[1:] == block[:-1]
+    some = np.flatnonzero(np.append(False, again) | np.append(again, False))  # a string that is there once is not repeated
     first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    place = first[shard] + at
-    d, p = np.concatenate(docs)[place], np.concatenate(starts)[place]
-    real = p >= 0
-    d, p, block = d[real], p[real], block[real]
+    place, block = first[shard[some]] + at[some], block[some]
+    off = np.cumsum(size) - size  # shards are consecutive pieces, so places are those in all pieces
+    of = np.searchsorted(off, place, "right") - 1
+    inside = place - off[of]
+    real = inside < n[of]
+    d, p, block = doc[of[real]], start[of[real]] + inside[real], block[real]
     order, same = _first((block,), d, p)
     late = order[~same]
     return d[late], p[late]
@@ -377,7 +382,7 @@ def _resolve(length: int, gram: int):
         off = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
         buf = np.frombuffer(raw.buffers()[2], np.uint8)[off[0] : off[-1]]
         off = off - off[0]
-        keep = np.flatnonzero(partners(h, n, buf, off, length, gram))
+        keep = np.concatenate([lo + np.flatnonzero(partners(h[lo:hi], n[lo:hi], buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length, gram)) for lo, hi in whole(h, off, PIECE)])
         new = np.append(True, h[keep][1:] != h[keep][:-1]) if len(keep) else np.zeros(0, bool)
         size = np.diff(off)[keep]
         part = (np.cumsum(size) - size) // BUCKET  # merged together; a hash stays whole

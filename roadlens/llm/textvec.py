@@ -16,6 +16,7 @@ import pyarrow as pa
 U64 = np.uint64
 _libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 SLICE = 2 << 20  # bytes of text worked on at once; a longer document is a slice of its own
+STEP = 1 << 18  # entries by which the tables of powers grow
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
@@ -38,6 +39,8 @@ NONSPACE[[9, 10, 11, 12, 13, 32]] = False
 
 
 def release() -> None:
+    global _pow, _inv
+    _pow, _inv = np.ones(1, np.uint64), np.ones(1, np.uint64)  # made again in a few ms; idle workers keep none
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
@@ -66,7 +69,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, SLICE + 1)
+        size = -(-n // STEP) * STEP
         one = np.full(size, BASE, np.uint64)
         one[0] = 1
         _pow = np.cumprod(one, dtype=np.uint64)

@@ -1,9 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from roadlens.llm import bwt, suffix
+from roadlens.llm import textvec as tv
 from tests.llm import fixtures as fx
 
 
@@ -120,3 +123,35 @@ def test_contexts_without_a_common_window_are_not_merged():
         off = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
         kept = suffix.partners(h[at], n[at], np.frombuffer(b"".join(pieces), np.uint8), off, 100, 24)
         assert len(at) > 1 and kept.any() == some
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    out = work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak / 1e6
+
+
+def test_a_worker_stays_small_and_keeps_no_tables():
+    """Two workers and the heap share an executor; before, the peaks were 161 and 88 MB, and 34 MB and more stayed."""
+    rng = np.random.default_rng(7)
+    groups, size = 8000, 140
+    base = rng.integers(32, 127, (groups, size + 3)).astype(np.uint8)
+    h = np.repeat(np.arange(groups), 4)
+    j = np.tile(np.arange(4), groups)
+    cols = [h, h * 0, h * 4 + j, j.astype(np.int32), (size - 99 | (70 - j) << 16).astype(np.int32), (j * 0).astype(np.int32)]
+    text = pa.array([base[g, k : k + size].tobytes() for g, k in zip(h, j, strict=True)])
+    batches = [pa.RecordBatch.from_arrays([*(pa.array(c[lo : lo + 2000]) for c in cols), text[lo : lo + 2000]], names=["h", "c", "doc_id", "start", "n", "kind", "bytes"]) for lo in range(0, len(h), 2000)]
+    out, peak = peak_mb(lambda: list(tv.tidy(suffix._resolve(100, 24))(batches)))
+    got = np.sort(np.concatenate([b.column(2).to_numpy() * 1000 + b.column(3).to_numpy() for b in out]))
+    late = [k * 1000 + p for k in (1, 2, 3) for p in range(k, k + 40)]
+    assert np.array_equal(got, (np.arange(groups)[:, None] * 4000 + late).ravel())
+    assert peak < 90 and len(tv._pow) == len(tv._inv) == 1
+
+    class Hot:
+        value = np.zeros(0, np.int64)
+
+    docs = pa.RecordBatch.from_arrays([pa.array(np.arange(2000)), pa.array(["".join(map(chr, rng.integers(32, 127, 1000))) for _ in range(2000)])], names=["doc_id", "text"])
+    _, peak = peak_mb(lambda: sum(b.num_rows for b in tv.tidy(suffix._anchors(100, 24, Hot))([docs])))
+    assert peak < 50 and len(tv._pow) == len(tv._inv) == 1

@@ -96,11 +96,16 @@ def let_multiplier(px, py, pz, gx, gy, gz, kind: str = "range") -> Column:
 
 
 def segment_distance(px, py, ax, ay, bx, by) -> Column:
-    """Distance of a point to a segment; a segment of no length is a point."""
+    """Distance of a point to a segment; a segment of no length is a point.
+
+    The root of the sum of squares, not hypot: that is off by a last bit even for whole numbers, so equal
+    distances would not tie.
+    """
     dx, dy = bx - ax, by - ay
     sq = dx * dx + dy * dy
     t = F.when(sq > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / sq))).otherwise(F.lit(0.0))
-    return F.hypot(px - (ax + t * dx), py - (ay + t * dy))
+    ex, ey = px - (ax + t * dx), py - (ay + t * dy)
+    return F.sqrt(ex * ex + ey * ey)
 
 
 def polygon_area(points: Column) -> Column:

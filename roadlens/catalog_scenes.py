@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadlens.catalog import _CELLS, _cells, _keypoints, _motion, query, r6, read
@@ -44,10 +45,13 @@ gap AS (SELECT pair, max(greatest(pb.lo - pa.hi, pa.lo - pb.hi)) AS gap FROM pa
 SELECT frame, a, b, round(CASE WHEN gap <= 0 THEN gap ELSE d END, 5) AS distance FROM pairs JOIN far USING (pair) JOIN gap USING (pair)""")
 def box_distance(spark, sf):
     """Signed distance of each box to the next one of its frame."""
-    g = read(spark, sf, "gt_boxes").select("frame", "id", "cx", "cy", "length", "width", "heading")
-    b = g.select("frame", (_c("id") - 1).alias("id"), *(_c(c).alias(f"_{c}") for c in ("cx", "cy", "length", "width", "heading")))
-    side = lambda p: tuple(_c(p + c) for c in ("cx", "cy", "length", "width", "heading"))
-    return g.join(b, ["frame", "id"]).select("frame", _c("id").alias("a"), (_c("id") + 1).alias("b"), F.round(MF.signed_box_distance(side(""), side("_")), 5).alias("distance"))
+    box = ["cx", "cy", "length", "width", "heading"]
+    # ids of a frame are 1, 2, ..: the next row of a frame that is already together, not a join
+    after = F.lead(F.struct("id", *box)).over(Window.partitionBy("frame").orderBy("id"))
+    g = read(spark, sf, "gt_boxes").select("frame", "id", *box, after.alias("_n")).where(_c("_n.id") == _c("id") + 1)
+    g = g.select("frame", "id", *box, *(_c(f"_n.{c}").alias(f"_{c}") for c in box))
+    side = lambda p: tuple(_c(p + c) for c in box)
+    return g.select("frame", _c("id").alias("a"), (_c("id") + 1).alias("b"), F.round(MF.signed_box_distance(side(""), side("_")), 5).alias("distance"))
 
 
 @query("""SELECT frame, id, round(sin(0.1 * id) * cx + 0.5 * cy + 1, 6) AS x, round(cx - cy + 2 * cz, 6) AS y, round(r00 * cx + r01 * cy + r02, 6) AS rx, round(r10 * cx + r11 * cy + r12, 6) AS ry, round(r20 * cx + r21 * cy + r22, 6) AS rz FROM (

@@ -83,6 +83,32 @@ def corners(box: np.ndarray) -> np.ndarray:
     return np.stack([box[:, 0:1] + c * x - n * y, box[:, 1:2] + n * x + c * y], 2)
 
 
+def _seen(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of boxes b in the frame of boxes a: the larger gap along a's sides, the least squared distance of a corner of b to a."""
+    dx, dy, turn = b[:, 0] - a[:, 0], b[:, 1] - a[:, 1], b[:, 4] - a[:, 4]
+    c, s, tc, ts = np.cos(a[:, 4]), np.sin(a[:, 4]), np.cos(turn), np.sin(turn)
+    u, v = dx * c + dy * s, dy * c - dx * s
+    l, w, bl, bw = a[:, 2] / 2, a[:, 3] / 2, b[:, 2] / 2, b[:, 3] / 2
+    gap = np.maximum(np.abs(u) - l - (bl * np.abs(tc) + bw * np.abs(ts)), np.abs(v) - w - (bl * np.abs(ts) + bw * np.abs(tc)))
+    least = np.full(len(a), np.inf)
+    for k, m in ((1, -1), (1, 1), (-1, 1), (-1, -1)):
+        x = np.maximum(np.abs(u + k * bl * tc - m * bw * ts) - l, 0)
+        y = np.maximum(np.abs(v + k * bl * ts + m * bw * tc) - w, 0)
+        least = np.minimum(least, x * x + y * y)
+    return gap, least
+
+
+def box_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Signed distances of boxes a[i] and b[i] (n, 5: cx, cy, l, w, heading).
+
+    Overlapping, it is the largest (least negative) separation along the four side normals; apart, the
+    least distance of a corner of one to the other.
+    """
+    (ga, da), (gb, db) = _seen(a, b), _seen(b, a)
+    gap = np.maximum(ga, gb)
+    return np.where(gap <= 0, gap, np.sqrt(np.minimum(da, db)))
+
+
 def clip_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Areas shared by pairs of convex counter-clockwise polygons (m, k, 2): clipping by half planes."""
     m = len(a)

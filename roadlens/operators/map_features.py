@@ -2,43 +2,27 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadlens.functions import geometry as G
+from roadlens.functions import kernels as K
 
 
 def signed_box_distance(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Distance of two rotated rectangles (cx, cy, length, width, heading); negative if they overlap.
 
-    It is the distance of the origin to the Minkowski sum of one and the mirrored other.  That polygon's
-    edges have the four side normals of the rectangles: inside it the distance is the largest (least
-    negative) of the four separations; outside it is the least distance of a corner of one rectangle to
-    a side of the other.
+    As an expression it is too long to be compiled, so a kernel reads both rectangles.
     """
-    ax, ay, al, aw, ah = a
-    bx, by, bl, bw, bh = b
-    dx, dy = bx - ax, by - ay
-    turn_c, turn_s = F.abs(F.cos(bh - ah)), F.abs(F.sin(bh - ah))
-
-    def along(x: Column, y: Column, angle: Column) -> tuple[Column, Column]:
-        return F.abs(x * F.cos(angle) + y * F.sin(angle)), F.abs(y * F.cos(angle) - x * F.sin(angle))
-
-    au, av = along(dx, dy, ah)
-    bu, bv = along(dx, dy, bh)
-    gap = F.greatest(
-        au - al / 2 - (bl * turn_c + bw * turn_s) / 2,
-        av - aw / 2 - (bl * turn_s + bw * turn_c) / 2,
-        bu - bl / 2 - (al * turn_c + aw * turn_s) / 2,
-        bv - bw / 2 - (al * turn_s + aw * turn_c) / 2,
-    )
-    p, q = G.box_corners(ax, ay, al, aw, ah), G.box_corners(bx, by, bl, bw, bh)
-
-    def reach(corners: Column, sides: Column) -> Column:
-        side = F.zip_with(sides, F.concat(F.slice(sides, 2, 3), F.slice(sides, 1, 1)), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
-        return F.array_min(F.flatten(F.transform(corners, lambda c: F.transform(side, lambda e: G.segment_distance(c["x"], c["y"], e["s"]["x"], e["s"]["y"], e["t"]["x"], e["t"]["y"])))))
-
-    return F.when(gap <= 0, gap).otherwise(F.least(reach(p, q), reach(q, p)))
+    names = ["cx", "cy", "length", "width", "heading"]
+
+    @F.pandas_udf(T.DoubleType())
+    def distance(p: pd.DataFrame, q: pd.DataFrame) -> pd.Series:
+        return pd.Series(K.box_distance(p.to_numpy(float), q.to_numpy(float)))
+
+    return distance(*(F.struct(*(c.cast("double").alias(n) for c, n in zip(x, names, strict=True))) for x in (a, b)))
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, by: list[str], reach: float) -> DataFrame:

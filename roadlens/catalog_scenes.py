@@ -208,8 +208,9 @@ _IN = "row BETWEEN 0 AND 255 AND col BETWEEN 0 AND 255"
 FROM {gt}, (SELECT unnest(range(12)) AS i) a, (SELECT i AS n, i / 11.0::double - 0.5 AS u FROM (SELECT unnest(range(12)) AS i)) b, (SELECT i / 3.0::double - 0.5 AS v FROM (SELECT unnest(range(4)) AS i)) c WHERE a.i = b.n) GROUP BY 1, 2""")
 def agent_samples(spark, sf):
     """Checksums of the points spread over each agent's box."""
-    p = O.sample_agents(read(spark, sf, "gt_boxes").select("frame", "id", "cx", "cy", "length", "width", "heading"), 12, 4)
-    u = F.round(((_c("x") - _c("cx")) * F.cos("heading") + (_c("y") - _c("cy")) * F.sin("heading")) / _c("length") * 11 + 5.5)
+    g = read(spark, sf, "gt_boxes").select("frame", "id", "cx", "cy", "length", "width", "heading", F.cos("heading").alias("c"), F.sin("heading").alias("s"))
+    p = O.sample_agents(g, 12, 4)
+    u = F.floor(((_c("x") - _c("cx")) * _c("c") + (_c("y") - _c("cy")) * _c("s")) / _c("length") * 11 + 6).cast("double")
     return p.groupBy("frame", "id").agg(F.count(F.lit(1)).alias("points"), (F.round(F.sum("x"), 5) + 0.0).alias("sum_x"), (F.round(F.sum(_c("y") * u), 5) + 0.0).alias("sum_y"))
 
 

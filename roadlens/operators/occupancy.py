@@ -17,10 +17,11 @@ def to_grid(x: Column, y: Column) -> tuple[Column, Column]:
 
 def sample_agents(agents: DataFrame, along: int = 48, across: int = 16) -> DataFrame:
     """Points spread evenly over each box (cx, cy, length, width, heading), one row a point."""
-    grid = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i / F.lit(float(n - 1)) - 0.5)
-    d = agents.withColumn("_u", F.explode(grid(along))).withColumn("_v", F.explode(grid(across)))
+    grid = lambda n: F.explode(F.array(*(F.lit(i / (n - 1) - 0.5) for i in range(n))))
+    turned = agents.withColumns({"_tc": F.cos("heading"), "_ts": F.sin("heading")})  # once a box, not once a point
+    d = turned.withColumn("_u", grid(along)).withColumn("_v", grid(across))
     u, v = F.col("_u") * F.col("length"), F.col("_v") * F.col("width")
-    c, s = F.cos("heading"), F.sin("heading")
+    c, s = F.col("_tc"), F.col("_ts")
     return d.select(*agents.columns, (F.col("cx") + c * u - s * v).alias("x"), (F.col("cy") + s * u + c * v).alias("y"))
 
 

@@ -31,11 +31,29 @@ def tables(lineitem: str = "lineitem", events: str = "events") -> dict[str, str]
 
 
 SQL = tables()
+KEYS = {"lineitem": "l_orderkey", "events": "user_id"}  # what the rows of a frame or track are found by
+PART_BYTES = 4 << 20  # of Parquet: some 200,000 rows
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, or one of the derived ones."""
     if name not in SQL:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    source = {n: f"parquet.`{sf_dir}/{n}.parquet`" for n in ("lineitem", "events")}
-    return spark.sql(tables(**source)[name])
+    n = "events" if name in ("tracks", "forecasts") else "lineitem"
+    # rows of a frame or object are together from here on: joins on it and more need no other exchange
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return spark.sql(tables(**{n: source(spark, f"{sf_dir}/{n}.parquet", KEYS[n])})[name])
+
+
+def source(spark: SparkSession, path: str, key: str) -> str:
+    """A Parquet file in SQL; a large one dealt by its key to partitions of PART_BYTES.
+
+    So a task holds as much of a larger table as of a smaller one, where the session's number of shuffle
+    partitions would let it grow.
+    """
+    table = f"parquet.`{path}`"
+    size = int(str(spark.read.parquet(path)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = size // PART_BYTES
+    if n <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        return table
+    return f"(SELECT /*+ REPARTITION({n}, {key}) */ * FROM {table})"

@@ -75,6 +75,38 @@ class Mot:
         return self.misses, self.fps, self.matches, self.mismatches, self.objects, self.cost
 
 
+def _mismatches(scene: np.ndarray, step: np.ndarray, p: np.ndarray, g: np.ndarray, present: np.ndarray, truths: int) -> np.ndarray:
+    """Indices of the matches (p, g) that ``Mot`` counts as mismatches, once for each of its two reasons.
+
+    ``g`` are ranks among ``truths`` ids and ``present`` the sorted codes step * truths + g of all truths.  A truth
+    keeps its last prediction until another truth takes that one.
+    """
+    n = len(step)
+    never = np.iinfo(np.int64).max
+
+    def neighbours(who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each match the one before with the same member, or -1, and the step of the one after."""
+        order = np.lexsort((step, who, scene))
+        same = (scene[order][1:] == scene[order][:-1]) & (who[order][1:] == who[order][:-1])
+        before, after = np.full(n, -1), np.full(n, never)
+        before[order[1:][same]] = order[:-1][same]
+        after[order[:-1][same]] = step[order[1:][same]]
+        return before, after
+
+    before_g, after_g = neighbours(g)
+    before_p, after_p = neighbours(p)
+    r = np.flatnonzero(before_g >= 0)
+    q = before_g[r]
+    other = r[(p[q] != p[r]) & (after_p[q] >= step[r])]
+    r = np.flatnonzero(before_p >= 0)
+    q = before_p[r]
+    r, q = r[after_g[q] >= step[r]], q[after_g[q] >= step[r]]
+    code = step[r] * truths + g[q]
+    at = np.minimum(np.searchsorted(present, code), max(len(present) - 1, 0))
+    left = r[present[at] != code] if len(r) else r
+    return np.concatenate([other, left])
+
+
 def _scene(config: dict):
     limit = np.full(max(config["thresholds"]) + 1, np.inf)
     for t, v in config["thresholds"].items():
@@ -103,15 +135,29 @@ def _scene(config: dict):
         p0, p1 = np.searchsorted(ps, np.arange(step.max() + 1)), np.searchsorted(ps, np.arange(step.max() + 1), "right")
         g0, g1 = np.searchsorted(gs, np.arange(step.max() + 1)), np.searchsorted(gs, np.arange(step.max() + 1), "right")
         counted = level <= config["level"]
+        twice = np.zeros(len(groups), bool)  # scenes with a repeated prediction
+        twice[pg[~p_first]] = True
+        truth = np.unique(gid)
+        present = gs * len(truth) + np.searchsorted(truth, gid)  # rises: truths go by step and id
         out = []
         for cut in config["cutoffs"]:
             act = score >= cut
             k = np.flatnonzero(act[i])
+            x, y = i[k], j[k]
+            many = (np.bincount(x)[x] > 1) | (np.bincount(y)[y] > 1) if len(k) else np.zeros(0, bool)
+            # where nothing competes in a scene all matches are known; only other scenes go frame by frame
+            hard = twice.copy()
+            hard[pg[x[many]]] = True
             busy = np.zeros(step.max() + 1, bool)
-            busy[ps[i[k]]] = True  # frames in which anything may match; others only add to the sums
-            lone_p = np.flatnonzero(act & p_first & ~busy[ps] & ~nlz)
-            lone_g = np.flatnonzero(~busy[gs] & counted)
-            fps, missed = (np.bincount(x, minlength=len(groups)) for x in (pg[lone_p], gg[lone_g]))
+            busy[ps[x[hard[pg[x]]]]] = True
+            easy, k = k[~hard[pg[x]]], k[hard[pg[x]]]
+            x, y = i[easy], j[easy]
+            free_p, free_g = act & p_first & ~busy[ps] & ~nlz, ~busy[gs] & counted
+            free_p[x] = False
+            free_g[y] = False
+            total = lambda group, weights=None: np.bincount(group, weights, len(groups))
+            fps, missed, matched = total(pg[free_p]), total(gg[free_g]), total(pg[x])
+            cost, swapped = total(pg[x], 1 - overlap[easy]), total(pg[x[_mismatches(pg[x], ps[x], pid[x], np.searchsorted(truth, gid[y]), present, len(truth))]])
             mots = {}
             bounds = np.searchsorted(ps[i[k]], np.flatnonzero(busy)), np.searchsorted(ps[i[k]], np.flatnonzero(busy), "right")
             for f, lo, hi in zip(np.flatnonzero(busy).tolist(), *bounds, strict=True):
@@ -123,10 +169,14 @@ def _scene(config: dict):
                 if of not in mots:
                     mots[of] = Mot(config["thresholds"], config["kind"], config["level"])
                 mots[of].step(pid[x].tolist(), pt[x], None, nlz[x], gid[y].tolist(), gt[y], None, level[y], w)
-            for of, (scene, shard) in enumerate(groups):
-                c = mots[of].counts() if of in mots else (0, 0, 0, 0, 0, 0.0)
-                out.append((scene, shard, float(cut), c[0] + missed[of], c[1] + fps[of], c[2], c[3], c[4] + missed[of], c[5]))
-        return pd.DataFrame(out, columns=["scene", "shard", "cutoff", "misses", "fps", "matches", "mismatches", "objects", "cost"])
+            sums = np.stack([missed, fps, matched, swapped, matched + missed], 1)
+            for of, mot in mots.items():
+                c = mot.counts()
+                sums[of] += c[:5]
+                cost[of] += c[5]
+            found = pd.DataFrame(sums, columns=["misses", "fps", "matches", "mismatches", "objects"])
+            out.append(found.assign(scene=groups[:, 0], shard=groups[:, 1], cutoff=float(cut), cost=cost))
+        return pd.concat(out)[["scene", "shard", "cutoff", "misses", "fps", "matches", "mismatches", "objects", "cost"]]
 
     return run
 

@@ -64,6 +64,14 @@ def assign(weight: np.ndarray) -> np.ndarray:
     return out
 
 
+def later(weight: np.ndarray) -> np.ndarray:
+    """Whole weights with less than a half in all added to pairs, so that of equal assignments the one of later rows, then later columns, is best."""
+    rows, cols = weight.shape
+    most = min(rows, cols)
+    rank = np.arange(rows)[:, None] * (cols * most + 1) + np.arange(cols)[None, :]
+    return np.where(weight > 0, weight + rank / (2.0 * most * (rank[-1, -1] + 1)), 0)
+
+
 def greedy(weight: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Predictions by falling score (ties: first) each take their best free ground truth (ties: first)."""
     out, free = np.full(len(weight), -1), np.ones(weight.shape[1], bool)
@@ -137,8 +145,8 @@ def clip_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(n >= 3, np.abs(twice) / 2, 0)
 
 
-def pair_iou(a: np.ndarray, b: np.ndarray, kind: str = "3d") -> np.ndarray:
-    """IoU of boxes a[i] and b[i] (m, 7: cx, cy, cz, l, w, h, heading): kind aa, 2d or 3d."""
+def pair_iou(a: np.ndarray, b: np.ndarray, kind: str = "3d", digits: int | None = 9) -> np.ndarray:
+    """IoU of boxes a[i] and b[i] (m, 7: cx, cy, cz, l, w, h, heading): kind aa, 2d or 3d; ``digits`` None does not round."""
     dims = slice(3, 6) if kind == "3d" else slice(3, 5)
     ok = lambda x: ((x[:, dims] > SMALL) & (x[:, dims] < LARGE)).all(1)
     fine = np.flatnonzero(ok(a) & ok(b))
@@ -157,7 +165,8 @@ def pair_iou(a: np.ndarray, b: np.ndarray, kind: str = "3d") -> np.ndarray:
     va, vb = a[:, 3] * a[:, 4], b[:, 3] * b[:, 4]
     if kind == "3d":
         inter, va, vb = inter * shared(2), va * a[:, 5], vb * b[:, 5]
-    out[fine] = np.clip(np.round(inter / (va + vb - inter), 9), 0, 1)  # a threshold must not hang on the last bits
+    value = inter / (va + vb - inter)
+    out[fine] = np.clip(value if digits is None else np.round(value, digits), 0, 1)  # a threshold must not hang on the last bits
     return out
 
 

@@ -130,7 +130,7 @@ def match_pairs(frame: np.ndarray, i: np.ndarray, j: np.ndarray, weight: np.ndar
                 rows, cols = np.unique(x), np.unique(y)
                 w = np.zeros((len(rows), len(cols)))
                 w[np.searchsorted(rows, x), np.searchsorted(cols, y)] = cw[lo:hi]
-                match = K.greedy(w, score[rows]) if matcher == "score_first" else K.assign(w)
+                match = K.greedy(w, score[rows]) if matcher == "score_first" else K.assign(K.later(w))
                 memo[key] = rows[match >= 0], cols[match[match >= 0]]
             out_i.append(memo[key][0])
             out_j.append(memo[key][1])
@@ -167,13 +167,21 @@ def _frame_counts(config: dict):
         i, j = frame_pairs(frame, g["frame"].to_numpy())
         same = kind_p[i] == kind_g[j]
         i, j = i[same], j[same]
-        overlap = config["iou"](a[i], b[j]) if config["iou"] else let_iou(a[i], b[j], let, kind) if let else K.pair_iou(a[i], b[j], kind)
+        raw = config["iou"](a[i], b[j]) if config["iou"] else let_iou(a[i], b[j], let, kind) if let else K.pair_iou(a[i], b[j], kind, digits=None if kind == "aa" else 9)
+        overlap = np.round(raw, 9) if kind == "aa" and not config["iou"] and not let else raw
         affinity = let_affinity(a[i], b[j], let) if let else np.ones(len(i))
         ha = 1 - np.abs((a[i, 6] - b[j, 6] + np.pi) % (2 * np.pi) - np.pi) / np.pi
         need = np.where(kind_p < len(limit), limit[np.clip(kind_p, 0, len(limit) - 1)], np.inf)[i]
-        weight = np.round(overlap * affinity * QUANTUM)
+        weight = np.floor(raw * affinity * QUANTUM + 0.5)  # half up, of the overlap itself, as SQL rounds
         can = np.flatnonzero((overlap >= need) & (affinity > 0) & (overlap > 0) & (weight > 0))
         code = i * m + j  # rises with (i, j)
+        steps = np.sort(np.array(cutoffs, float))
+        top = np.where(np.isnan(score), 0, np.searchsorted(steps, score, "right"))  # a prediction is there at steps before this one
+
+        def there(rows: np.ndarray, weights=None) -> np.ndarray:
+            """For each step the number, or sum, of predictions that are there."""
+            return np.cumsum(np.bincount(top[rows], weights, len(steps) + 1)[:0:-1])[::-1]
+
         out, memo = [], {}
         for gen in generators:
             gs = g[f"g_{gen}"].to_numpy(int)
@@ -188,20 +196,37 @@ def _frame_counts(config: dict):
                     k = k[np.lexsort((j[k], overlap[k], i[k]))]
                     last = k[np.append(i[k][1:] != i[k][:-1], True)] if len(k) else k
                     other[i[last]] = (overlap[last] >= 0.01) & (gs[j[last]] != shard)
-                for cut in cutoffs:
-                    act = in_p & (score >= cut)
-                    use = mine[act[i[mine]]]
-                    mi, mj = match_pairs(frame, i[use], j[use], weight[use], score, matcher, memo)
-                    at = np.searchsorted(code, mi * m + mj)
-                    own = gs[mj] == shard if only[gen] else np.ones(len(mj), bool)
-                    tp = own & (ha[at] > least_heading)
-                    miss, lost = act & ~nlz & ~other, in_g.copy()
-                    miss[mi] = False
-                    lost[mj] = False
-                    if only[gen]:
-                        lost &= gs == shard
+                own = gs == shard if only[gen] else np.ones(m, bool)  # truths that count
+                many = (np.bincount(i[mine])[i[mine]] > 1) | (np.bincount(j[mine])[j[mine]] > 1) if len(mine) else np.zeros(0, bool)
+                lone, rivals = mine[~many], mine[many]
+                # a pair without a rival is matched at all steps that its prediction reaches: sums over all steps at once
+                hit = lone[own[j[lone]] & (ha[lone] > least_heading)]
+                free_p, free_g = in_p & ~nlz & ~other, in_g & own
+                free_p[i[mine]] = False
+                free_g[j[mine]] = False
+                tp, fp = there(i[hit]), there(np.flatnonzero(free_p))
+                sum_ha, sum_la = there(i[hit], ha[hit]), there(i[hit], affinity[hit])
+                fn = {}
+                for lv in levels:
+                    late = lone[own[j[lone]] & (level[j[lone]] <= lv)]
+                    fn[lv] = (level[free_g] <= lv).sum() + len(late) - there(i[late])
+                # the few pairs with rivals are matched anew where one of their predictions has gone
+                px, gx, done = np.unique(i[rivals]), np.unique(j[rivals]), None
+                gone = set(top[px].tolist())
+                for at in range(len(steps) if len(px) else 0):
+                    if done is None or at in gone:
+                        mi, mj = match_pairs(frame, *(x[top[i[rivals]] > at] for x in (i[rivals], j[rivals], weight[rivals])), score, matcher, memo)
+                        pair = np.searchsorted(code, mi * m + mj)
+                        pair = pair[own[mj] & (ha[pair] > least_heading)]
+                        miss = np.setdiff1d(px[(top[px] > at) & ~nlz[px] & ~other[px]], mi)
+                        lost = np.setdiff1d(gx[own[gx]], mj)
+                        done = len(pair), len(miss), ha[pair].sum(), affinity[pair].sum(), {lv: (level[lost] <= lv).sum() for lv in levels}
+                    for total, more in zip((tp, fp, sum_ha, sum_la), done, strict=False):
+                        total[at] += more
                     for lv in levels:
-                        out.append((gen, shard, int(lv), float(cut), int(tp.sum()), int(miss.sum()), int((level[lost] <= lv).sum()), float(ha[at][tp].sum()), float(affinity[at][tp].sum())))
+                        fn[lv][at] += done[4][lv]
+                for lv in levels:
+                    out += [(gen, shard, int(lv), float(cut), int(tp[at]), int(fp[at]), int(fn[lv][at]), float(sum_ha[at]), float(sum_la[at])) for at, cut in enumerate(steps)]
         return pd.DataFrame(out, columns=["generator", "shard", "level", "cutoff", "tp", "fp", "fn", "sum_ha", "sum_la"])
 
     return run
